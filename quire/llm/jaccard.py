@@ -7,10 +7,13 @@ tokens that many texts share stand last (by their count), the rest by a hash of
 
 1. Equal sets are one class, found by two 64-bit sums; only one text of each goes on.
 2. The first tokens in order 0 are dealt out by token.  Every text of a token's group is
-   paired with the group's centre, the text with the smallest hash, and keeps the centre it
-   meets most often.  These pairs, one a text at most, are checked and united.
+   paired with the group's centre, the text with the smallest share of rare tokens (the
+   original of a group of edited copies), and keeps the centre it meets most often.  These
+   pairs, one a text at most, are checked and united.
 3. Groups that still hold more than one component give the pairs across components, never
-   those within one; these are checked and united as well.
+   those within one.  Each text has ``SIGNS`` bits that its tokens flip; two texts differ in
+   at least as many tokens as bits, so most pairs fall away inside the join.  The others are
+   checked and united as well.
 Step 2 saves work only: a pair of similar texts either ends in one component there or is one
 of the pairs of step 3.
 """
@@ -31,6 +34,9 @@ K = 5
 ORDERS = 3
 #: Frequent tokens that a task reports, and that are ordered by count in all; any choice gives the same result.
 REPORTED, FREQUENT = 16_384, 131_072
+#: 64-bit words of the parity bits that bound the difference of two sets.
+SIGNS = 16
+SIGN_NAMES = [f"s{i}" for i in range(SIGNS)]
 #: Tokens whose counts a task holds before it drops the rare ones.
 HELD = 4_000_000
 
@@ -52,20 +58,31 @@ def prefix_size(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1 if n else 0
 
 
+def counted(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Count of each token in the list of frequent ones, 0 outside it."""
+    hashes, counts = frequent
+    if not len(hashes):
+        return np.zeros(len(tokens), np.int64)
+    at = np.minimum(np.searchsorted(hashes, tokens), len(hashes) - 1)
+    return np.where(hashes[at] == tokens, counts[at], 0)
+
+
 def leading(tokens: np.ndarray, order: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The first tokens of a set in one of the orders."""
     size = prefix_size(len(tokens))
-    hashes, counts = frequent
-    count = np.zeros(len(tokens), np.int64)
-    if len(hashes) and len(tokens):
-        at = np.minimum(np.searchsorted(hashes, tokens), len(hashes) - 1)
-        count = np.where(hashes[at] == tokens, counts[at], 0)
+    count = counted(tokens, frequent)
     key = tokens if order == 0 else mix(tokens, order)
     if count.any():
         return tokens[np.lexsort((key, count))[:size]]
     return tokens[:size] if order == 0 else tokens[np.argpartition(key, size - 1)[:size]] if size else tokens
 
 
+def signs(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the number of tokens at each of ``64 * SIGNS`` places."""
+    at = (mix(tokens, 21) & np.uint64(64 * SIGNS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * SIGNS) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def profiles(docs: DataFrame, k: int = K) -> DataFrame:
     """(doc_id, n, a, b, token, seen): a row a text with its set's size and sums, and rows (token, seen) of frequent tokens."""
 
@@ -130,6 +147,13 @@ def components(edges: DataFrame) -> DataFrame:
             return label.withColumnRenamed("c", "component")
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """Written as a table below the shared folder and read again."""
+    at = fresh_folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
 def _wanted(ids: DataFrame) -> tuple[np.ndarray, int]:
     """A one-hash filter over the ids, at most 8 MB whatever their number: (words, bits)."""
     n = ids.count()
@@ -208,24 +232,27 @@ def similar_groups(docs: DataFrame, k: int = K) -> DataFrame:
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            ids, n, tokens = [], [], []
+            ids, n, rare, tokens, bits = [], [], [], [], []
             for doc_id, s in zip(batch.column(0).to_pylist(), sets(batch, 1, k), strict=True):
                 if len(s) and doc_id is not None:
                     ids.append(doc_id)
                     n.append(len(s))
+                    rare.append(float((counted(s, frequent.value) == 0).mean()))
                     tokens.append(leading(s, 0, frequent.value).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "n", "tokens"])
+                    bits.append(signs(s))
+            arrays = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(rare, pa.float64()), pa.array(tokens, pa.list_(pa.int64()))]
+            words = np.array(bits, np.int64).reshape(-1, SIGNS)
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(words[:, i]) for i in range(SIGNS))], ["doc_id", "n", "rare", "tokens", *SIGN_NAMES])
 
-    led = docs.mapInArrow(lead, "doc_id long, n long, tokens array<long>")
-    led = led.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    schema = "doc_id long, n long, rare double, tokens array<long>, " + ", ".join(f"{c} long" for c in SIGN_NAMES)
+    led = _stored(docs.mapInArrow(lead, schema).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "leading")
     # short: among the first ninth, which is enough for the smaller set of a pair
-    exploded = led.select("doc_id", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "doc_id", "n", F.expr("pos <= n - ceil(8 * n / 9)").alias("short"))
+    exploded = led.select("doc_id", "n", "rare", F.posexplode("tokens").alias("pos", "token")).select("token", "doc_id", "n", "rare", F.expr("pos <= n - ceil(8 * n / 9)").alias("short"))
     group = Window.partitionBy("token")
-    centre = F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("id"), F.col("n").alias("n")))
-    at = fresh_folder(spark, "groups")
-    exploded.withColumn("centre", centre.over(group)).withColumn("members", F.count("*").over(group)).where("members > 1").drop("members").write.parquet(at)
-    groups = spark.read.parquet(at)
-    met = groups.where("centre.id <> doc_id and 5 * least(n, centre.n) >= 4 * greatest(n, centre.n)").groupBy("doc_id", F.col("centre.id").alias("c")).count()
+    centre = F.min(F.struct("rare", F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("id"), F.col("n").alias("n")))
+    groups = exploded.withColumn("centre", centre.over(group)).withColumn("members", F.count("*").over(group)).where("members > 1")
+    groups = _stored(groups.select("token", "doc_id", "n", "short", F.col("centre.id").alias("c"), F.col("centre.n").alias("m")), "groups")
+    met = groups.where("c <> doc_id and 5 * least(n, m) >= 4 * greatest(n, m)").groupBy("doc_id", "c").count()
     star = met.groupBy("doc_id").agg(F.max_by("c", F.struct("count", -F.col("c"))).alias("c")).select(F.least("doc_id", "c").alias("x"), F.greatest("doc_id", "c").alias("y")).distinct()
     star = cut(star)
     found = cut(verified(docs, star, frequent, k))
@@ -234,12 +261,13 @@ def similar_groups(docs: DataFrame, k: int = K) -> DataFrame:
     held = groups.select("token", "doc_id", "n", "short").join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     per = held.groupBy("token", "component").agg(F.count("*").alias("c"))
     mixed = per.groupBy("token").agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("c", "component")).alias("largest")).where("kinds > 1")
-    left = held.join(mixed.select("token", "largest"), "token")
-    left_at = fresh_folder(spark, "left")
-    left.write.parquet(left_at)
-    left = spark.read.parquet(left_at)
+    left = _stored(held.join(mixed.select("token", "largest"), "token").join(led.select("doc_id", *SIGN_NAMES), "doc_id"), "left")
     small, every = left.where("component <> largest").alias("p"), left.alias("q")
-    fits = "p.token = q.token and p.component <> q.component and (q.component = q.largest or p.doc_id < q.doc_id) and 5 * least(p.n, q.n) >= 4 * greatest(p.n, q.n) and ((p.n <= q.n and p.short) or (q.n <= p.n and q.short))"
+    differ = " + ".join(f"bit_count(p.{c} ^ q.{c})" for c in SIGN_NAMES)
+    fits = (
+        "p.token = q.token and p.component <> q.component and (q.component = q.largest or p.doc_id < q.doc_id) and 5 * least(p.n, q.n) >= 4 * greatest(p.n, q.n) "
+        f"and ((p.n <= q.n and p.short) or (q.n <= p.n and q.short)) and 9 * ({differ}) <= p.n + q.n"
+    )
     rest = small.join(every, F.expr(fits)).select(F.expr("least(p.doc_id, q.doc_id)").alias("x"), F.expr("greatest(p.doc_id, q.doc_id)").alias("y")).distinct()
     rest = cut(rest.join(star, ["x", "y"], "left_anti"))
     if not rest.isEmpty():
