@@ -11,9 +11,9 @@ tokens that many texts share stand last (by their count), the rest by a hash of
    original of a group of edited copies), and keeps the centre it meets most often.  These
    pairs, one a text at most, are checked and united.
 3. Groups that still hold more than one component give the pairs across components, never
-   those within one.  Each text has ``SIGNS`` bits that its tokens flip; two texts differ in
-   at least as many tokens as bits, so most pairs fall away inside the join.  The others are
-   checked and united as well.
+   those within one.  Each text has bits that its tokens flip; two texts differ in at least
+   as many tokens as bits, so most pairs fall away inside the join by ``64 * SIGNS`` of them,
+   and more by all.  The others are checked and united as well.
 Step 2 saves work only: a pair of similar texts either ends in one component there or is one
 of the pairs of step 3.
 """
@@ -77,10 +77,18 @@ def leading(tokens: np.ndarray, order: int, frequent: tuple[np.ndarray, np.ndarr
     return tokens[:size] if order == 0 else tokens[np.argpartition(key, size - 1)[:size]] if size else tokens
 
 
-def signs(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the number of tokens at each of ``64 * SIGNS`` places."""
-    at = (mix(tokens, 21) & np.uint64(64 * SIGNS - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=64 * SIGNS) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Parity bits of the number of tokens at each place; about as many places as tokens, ``64 * SIGNS`` at least."""
+    size = max(64 * SIGNS, 1 << max(1, len(tokens) - 1).bit_length())
+    at = (mix(tokens, 21) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8), bitorder="little")
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The parity bits over fewer places."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
 
 
 def profiles(docs: DataFrame, k: int = K) -> DataFrame:
@@ -166,9 +174,27 @@ def _wanted(ids: DataFrame) -> tuple[np.ndarray, int]:
     return table, bits
 
 
-def verified(docs: DataFrame, pairs: DataFrame, frequent, k: int = K) -> DataFrame:
+def near_enough(pairs: DataFrame, led: DataFrame) -> DataFrame:
+    """Those of the pairs (x, y) whose parity bits leave room for similarity."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, b, c in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                size = min(len(b), len(c))
+                own, other = (folded(np.frombuffer(v, np.uint8), size) for v in (b, c))
+                keep.append(9 * int(np.bitwise_count(own ^ other).sum()) <= n + m)
+            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    one = pairs.join(led.select(F.col("doc_id").alias("x"), "n", "bits"), "x")
+    two = one.join(led.select(F.col("doc_id").alias("y"), F.col("n").alias("m"), F.col("bits").alias("other")), "y")
+    return two.select("x", "y", "n", "m", "bits", "other").mapInArrow(kernel, "x long, y long").distinct()
+
+
+def verified(docs: DataFrame, pairs: DataFrame, led: DataFrame, frequent, k: int = K) -> DataFrame:
     """Those of the distinct pairs (x, y) that pass the filters of the other orders and are similar."""
     context = docs.sparkSession.sparkContext
+    pairs = cut(near_enough(pairs, led))
     ids = cut(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct())
     filt = context.broadcast(_wanted(ids))
 
@@ -239,12 +265,12 @@ def similar_groups(docs: DataFrame, k: int = K) -> DataFrame:
                     n.append(len(s))
                     rare.append(float((counted(s, frequent.value) == 0).mean()))
                     tokens.append(leading(s, 0, frequent.value).view(np.int64))
-                    bits.append(signs(s))
+                    bits.append(parity(s))
             arrays = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(rare, pa.float64()), pa.array(tokens, pa.list_(pa.int64()))]
-            words = np.array(bits, np.int64).reshape(-1, SIGNS)
-            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(words[:, i]) for i in range(SIGNS))], ["doc_id", "n", "rare", "tokens", *SIGN_NAMES])
+            words = np.array([folded(b, 8 * SIGNS) for b in bits], np.uint8).reshape(-1, 8 * SIGNS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([b.tobytes() for b in bits], pa.binary()), *(pa.array(words[:, i]) for i in range(SIGNS))], ["doc_id", "n", "rare", "tokens", "bits", *SIGN_NAMES])
 
-    schema = "doc_id long, n long, rare double, tokens array<long>, " + ", ".join(f"{c} long" for c in SIGN_NAMES)
+    schema = "doc_id long, n long, rare double, tokens array<long>, bits binary, " + ", ".join(f"{c} long" for c in SIGN_NAMES)
     led = _stored(docs.mapInArrow(lead, schema).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "leading")
     # short: among the first ninth, which is enough for the smaller set of a pair
     exploded = led.select("doc_id", "n", "rare", F.posexplode("tokens").alias("pos", "token")).select("token", "doc_id", "n", "rare", F.expr("pos <= n - ceil(8 * n / 9)").alias("short"))
@@ -255,7 +281,7 @@ def similar_groups(docs: DataFrame, k: int = K) -> DataFrame:
     met = groups.where("c <> doc_id and 5 * least(n, m) >= 4 * greatest(n, m)").groupBy("doc_id", "c").count()
     star = met.groupBy("doc_id").agg(F.max_by("c", F.struct("count", -F.col("c"))).alias("c")).select(F.least("doc_id", "c").alias("x"), F.greatest("doc_id", "c").alias("y")).distinct()
     star = cut(star)
-    found = cut(verified(docs, star, frequent, k))
+    found = cut(verified(docs, star, led, frequent, k))
     part = components(found)
     # What is left: groups with more than one component.
     held = groups.select("token", "doc_id", "n", "short").join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -271,7 +297,7 @@ def similar_groups(docs: DataFrame, k: int = K) -> DataFrame:
     rest = small.join(every, F.expr(fits)).select(F.expr("least(p.doc_id, q.doc_id)").alias("x"), F.expr("greatest(p.doc_id, q.doc_id)").alias("y")).distinct()
     rest = cut(rest.join(star, ["x", "y"], "left_anti"))
     if not rest.isEmpty():
-        more = cut(verified(docs, rest, frequent, k))
+        more = cut(verified(docs, rest, led, frequent, k))
         if not more.isEmpty():
             part = components(found.union(more))
     named = classes.join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component"))
