@@ -200,8 +200,10 @@ def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def _calibrate(net: Network, texts: list[np.ndarray], labels: np.ndarray) -> None:
-    h, first = _joined(texts)
-    z, language = net.logits(h, first), languages(h, first, net.language_table)
+    z, language = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for at in range(0, len(texts), BATCH):
+        h, first = _joined(texts[at : at + BATCH])
+        z[at : at + BATCH], language[at : at + BATCH] = net.logits(h, first), languages(h, first, net.language_table)
     net.thresholds[:] = _best_cut(z, labels) if labels.min() < labels.max() else 0.0
     for code in range(len(LANGUAGES)):
         own = language == code
