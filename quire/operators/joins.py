@@ -59,7 +59,7 @@ def exact_candidates(requests: DataFrame, metadata: DataFrame) -> DataFrame:
 def _single(items: DataFrame, children: DataFrame, name: str) -> DataFrame:
     per = children.groupBy("parent_key").agg(F.count("*").alias("n"), F.min("item_key").alias("child"))
     code = F.when(F.col("n").isNull(), f"{name}_UNAVAILABLE").when(F.col("n") > 1, f"{name}_AMBIGUOUS")
-    rows = items.select("item_key").join(per, F.col("item_key") == F.col("parent_key"), "left")
+    rows = items.select("item_key").distinct().join(per, F.col("item_key") == F.col("parent_key"), "left")
     return rows.select("item_key", F.when(F.col("n") == 1, F.col("child")).alias("child_key"), code.alias("code"))
 
 

@@ -327,7 +327,7 @@ def captured(spark, d):
     rows = fx.view(spark, d, "v_identifiers").select("request_id", F.posexplode(F.array("doi", "arxiv", "isbn", "repo", "web")).alias("k", "input"))
     requests = rows.select((F.col("request_id") * 10 + F.col("k")).alias("request_id"), "input", F.lit(None).cast("string").alias("type"))
     ids = fx.view(spark, d, "v_identifiers")
-    metadata = ids.select(F.concat(F.lit("k"), F.col("request_id") % 30).alias("item_key"), "doi", F.lit(None).cast("string").alias("arxiv_id"), F.lit(None).cast("string").alias("isbn"), F.lit(None).cast("string").alias("url")).distinct()
+    metadata = ids.select(F.concat(F.lit("k"), F.col("request_id") % 40).alias("item_key"), "doi", F.lit(None).cast("string").alias("arxiv_id"), F.lit(None).cast("string").alias("isbn"), F.lit(None).cast("string").alias("url")).distinct()
     children = metadata.select(F.col("item_key").alias("parent_key"), F.concat(F.lit("c"), F.col("item_key")).alias("item_key"), F.lit("application/pdf").alias("content_type"), F.lit("imported_file").alias("link_mode"))
     sources = fx.details(spark, d).where("kind = 'source'").withColumns({n: F.lit(None).cast("string") for n in ("doi", "arxiv_id")}).withColumn("canonical_url", F.col("title"))
     return bulk.bulk_capture(requests, sources, metadata, children, "2024-01-02T00:00:00Z")[0]
