@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.shared import cut, fresh_folder
@@ -274,10 +274,11 @@ def similar_groups(docs: DataFrame, k: int = K) -> DataFrame:
     led = _stored(docs.mapInArrow(lead, schema).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "leading")
     # short: among the first ninth, which is enough for the smaller set of a pair
     exploded = led.select("doc_id", "n", "rare", F.posexplode("tokens").alias("pos", "token")).select("token", "doc_id", "n", "rare", F.expr("pos <= n - ceil(8 * n / 9)").alias("short"))
-    group = Window.partitionBy("token")
+    # Centres are aggregated before the shuffle and written, so that the join can split the group of a frequent token.
     centre = F.min(F.struct("rare", F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("id"), F.col("n").alias("n")))
-    groups = exploded.withColumn("centre", centre.over(group)).withColumn("members", F.count("*").over(group)).where("members > 1")
-    groups = _stored(groups.select("token", "doc_id", "n", "short", F.col("centre.id").alias("c"), F.col("centre.n").alias("m")), "groups")
+    centres = exploded.groupBy("token").agg(centre.alias("centre"), F.count("*").alias("members")).where("members > 1")
+    centres = _stored(centres.select("token", F.col("centre.id").alias("c"), F.col("centre.n").alias("m")), "centres")
+    groups = _stored(exploded.drop("rare").join(centres, "token"), "groups")
     met = groups.where("c <> doc_id and 5 * least(n, m) >= 4 * greatest(n, m)").groupBy("doc_id", "c").count()
     star = met.groupBy("doc_id").agg(F.max_by("c", F.struct("count", -F.col("c"))).alias("c")).select(F.least("doc_id", "c").alias("x"), F.greatest("doc_id", "c").alias("y")).distinct()
     star = cut(star)
@@ -287,7 +288,8 @@ def similar_groups(docs: DataFrame, k: int = K) -> DataFrame:
     held = groups.select("token", "doc_id", "n", "short").join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     per = held.groupBy("token", "component").agg(F.count("*").alias("c"))
     mixed = per.groupBy("token").agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("c", "component")).alias("largest")).where("kinds > 1")
-    left = _stored(held.join(mixed.select("token", "largest"), "token").join(led.select("doc_id", *SIGN_NAMES), "doc_id"), "left")
+    mixed = _stored(mixed.select("token", "largest"), "mixed")
+    left = _stored(held.join(mixed, "token").join(led.select("doc_id", *SIGN_NAMES), "doc_id"), "left")
     small, every = left.where("component <> largest").alias("p"), left.alias("q")
     differ = " + ".join(f"bit_count(p.{c} ^ q.{c})" for c in SIGN_NAMES)
     fits = (
