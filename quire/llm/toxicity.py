@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import held_out, training_ids
+from quire.llm.shared import cut, held_out, training_ids
 from quire.llm.text import LETTERS, slices, utf8, words
 
 #: Labelled texts used for training at most, and words of them in all.
@@ -217,7 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     """Train on at most ``sample`` labelled rows of ``docs``; only hashes of their words reach the driver.
 
     Every text is kept whole; texts are left out of the sample, in the order of their id's hash,
-    once they hold ``SAMPLE_WORDS`` words in all.
+    once they hold ``SAMPLE_WORDS`` words in all.  Only lengths are collected before that is
+    settled.  Of rows with one doc_id the text with the smallest word hashes is used.
     """
     ids = F.broadcast(training_ids(labels, "toxic", sample))
 
@@ -228,10 +229,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own, pa.binary())], ["doc_id", "label", "words"])
 
     rows = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "label").mapInArrow(kernel, "doc_id long, label int, words binary")
-    got = sorted(rows.collect(), key=lambda r: (hash(r["doc_id"] * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFF), r["doc_id"], bytes(r["words"])))
+    rows = cut(rows.groupBy("doc_id", "label").agg(F.min("words").alias("words")))
+    order = sorted(rows.select("doc_id", F.expr("octet_length(words) div 8").alias("n")).collect(), key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFF, r["doc_id"]))
+    keep = [r["doc_id"] for r, total in zip(order, np.cumsum([r["n"] for r in order]), strict=True) if total <= SAMPLE_WORDS]
+    place = {doc_id: i for i, doc_id in enumerate(keep)}
+    wanted = rows if len(keep) == len(order) else rows.where(F.col("doc_id").isin(keep))
+    got = sorted(wanted.collect(), key=lambda r: place[r["doc_id"]])
     texts = [np.frombuffer(r["words"], np.uint64) for r in got]
-    keep = int(np.searchsorted(np.cumsum([len(t) for t in texts]), SAMPLE_WORDS, "right")) if texts else 0
-    return train(texts[:keep], np.array([r["label"] for r in got[:keep]]))
+    return train(texts, np.array([r["label"] for r in got]))
 
 
 def _batch_scores(net: Network, batch: pa.RecordBatch, column: int) -> np.ndarray:
