@@ -51,7 +51,8 @@ def bulk_capture(requests: DataFrame, sources: DataFrame, metadata: DataFrame, c
     )
     identity = idn.canonical_identity(F.col("type"), F.col("doi"), F.col("arxiv"), F.col("isbn"), F.col("url"), F.col("host"), F.col("path"), F.lit(None).cast("string"))
     rows = rows.withColumn("result", code).withColumn("identity", identity)
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("result", "identity").orderBy("request_id")))
+    # requests without an identity are each alone, or they would all be one window partition
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("result", "identity", F.when(F.col("identity").isNull(), F.col("request_id"))).orderBy("request_id")))
     new = F.col("result") == "CREATED"
     fresh = F.when(new, new_id("src", F.col("identity")))
     results = rows.select("request_id", F.when(new & (F.col("nth") > 1), "EXISTING").otherwise(F.col("result")).alias("result"), F.coalesce(fresh, F.when(F.col("result") == "EXISTING", F.col("source_ids")[0])).alias("source_id"), F.col("type").alias("source_type"))

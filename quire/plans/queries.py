@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire import schemas
 from quire.functions import identity as idn
 from quire.functions import text as tx
-from quire.operators import bulk, catalog, joins, maintain, search, validate
+from quire.operators import bulk, catalog, joins, maintain, migrate, projection, search, validate
 from quire.plans import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -363,3 +363,123 @@ def projection_counts(spark, d):
     from quire.sources.vault import projection_counts as counts
 
     return counts({n: fx.view(spark, d, f"v_{n}") for n in ("citations", "objects", "relations", "segments")})
+
+
+#: Requests from the orders: a note, another note and a source each, some of them unknown.
+_REQUESTS = """
+    asked AS (SELECT o_orderkey AS request_id, concat('note_', CAST(o_custkey % (SELECT max(doc_id) + 20 FROM documents) AS VARCHAR)) AS note_id,
+        concat('note_', CAST(o_orderkey % (SELECT max(doc_id) + 20 FROM documents) AS VARCHAR)) AS other_id, concat('src_', CAST(o_custkey % (SELECT max(page_id) + 10 FROM pages) AS VARCHAR)) AS source_id FROM orders)"""
+
+
+def _requests(spark, d):
+    tops = [spark.read.parquet(f"{d}/{t}.parquet").agg((F.max(c) + more).alias(name)) for t, c, more, name in (("documents", "doc_id", 20, "m"), ("pages", "page_id", 10, "p"))]
+    rows = spark.read.parquet(f"{d}/orders.parquet").crossJoin(F.broadcast(tops[0])).crossJoin(F.broadcast(tops[1]))
+    name = lambda prefix, c, top: F.concat(F.lit(prefix), (F.col(c) % F.col(top)).cast("string"))
+    return rows.select(F.col("o_orderkey").alias("request_id"), name("note_", "o_custkey", "m").alias("note_id"), name("note_", "o_orderkey", "m").alias("other_id"), name("src_", "o_custkey", "p").alias("source_id"))
+
+
+@query(f""", {_REQUESTS} SELECT request_id, note_id AS id, CASE WHEN n.id IS NULL THEN 'NOTE_NOT_FOUND' WHEN subtype = 'idea' THEN 'CHANGED' ELSE 'NOTE_TRANSITION_INVALID' END AS result,
+    CASE WHEN subtype = 'idea' THEN 'concept' ELSE subtype END AS subtype, maturity, CASE WHEN subtype = 'idea' THEN 1 ELSE 0 END AS n_steps FROM asked LEFT JOIN v_notes n ON n.id = note_id""")
+def notes_evolved(spark, d):
+    """BK4."""
+    notes = fx.details(spark, d).withColumns({"type_history": F.lit(None).cast(schemas.HISTORY), "updated": F.col("updated").cast("string")})
+    rows = bulk.evolve_notes(_requests(spark, d).select("request_id", F.col("note_id").alias("id"), F.lit("me").alias("actor_id")), notes, "2024-01-02T00:00:00Z")
+    return rows.select("request_id", "id", "result", "subtype", "maturity", F.coalesce(F.size("type_history"), F.lit(0)).alias("n_steps"))
+
+
+@query(f""", {_REQUESTS} SELECT to_id, relation_type, count(*) AS n FROM (SELECT source_id AS to_id, 'summarizes' AS relation_type FROM asked JOIN v_sources s ON s.id = source_id
+    UNION ALL SELECT source_id, 'SOURCE_NOT_FOUND' FROM asked WHERE source_id NOT IN (SELECT id FROM v_sources)) GROUP BY ALL""")
+def notes_created(spark, d):
+    """BK6: the edges made for each source, and the requests that found none."""
+    asked = _requests(spark, d).select("request_id", "source_id", F.lit(None).cast("string").alias("title"))
+    results, _, edges = bulk.create_notes(asked, fx.details(spark, d), "2024-01-02T00:00:00Z")
+    lost = results.where("result <> 'CREATED'").join(asked, "request_id").select(F.col("source_id").alias("to_id"), F.col("result").alias("relation_type"))
+    return edges.select("to_id", "relation_type").unionByName(lost).groupBy("to_id", "relation_type").agg(F.count("*").alias("n"))
+
+
+_RELATED = _REQUESTS + ", wish AS (SELECT request_id, least(note_id, other_id) AS from_id, greatest(note_id, other_id) AS to_id FROM asked)"
+
+
+def _unrelate(spark, d):
+    asked = _requests(spark, d).select("request_id", F.col("note_id").alias("from_id"), F.col("other_id").alias("to_id"), F.lit("related_to").alias("relation_type"), F.lit(None).cast("string").alias("to_section_id"))
+    return bulk.remove_relations(_edges(spark, d).drop("locator"), asked)
+
+
+@query(f""", {_RELATED} SELECT request_id, CASE WHEN r.from_id IS NULL THEN 'RELATION_NOT_FOUND' ELSE 'REMOVED' END AS result FROM wish w LEFT JOIN v_relations r ON r.from_id = w.from_id AND r.to_id = w.to_id AND relation_type = 'related_to'""")
+def relations_removed(spark, d):
+    """BK5."""
+    return _unrelate(spark, d)[0]
+
+
+@query(f""", {_RELATED} SELECT from_id, to_id, relation_type FROM v_relations r WHERE relation_type <> 'related_to' OR NOT EXISTS (SELECT 1 FROM wish w WHERE w.from_id = r.from_id AND w.to_id = r.to_id)""")
+def relations_left(spark, d):
+    """BK5."""
+    return _unrelate(spark, d)[1].select("from_id", "to_id", "relation_type")
+
+
+@query("SELECT DISTINCT id AS object_id, tag FROM (SELECT id, tag1 AS tag FROM v_objects UNION ALL SELECT id, tag2 FROM v_objects)")
+def object_tags(spark, d):
+    """PR2."""
+    return projection.project_tags(fx.details(spark, d))[1]
+
+
+@query("SELECT checksum AS id, min(path) AS path, count(*) - 1 AS n_later FROM (SELECT checksum, concat('objects/', id, '.md') AS path FROM v_notes UNION ALL SELECT checksum, concat('objects/', id, '.md') FROM v_sources) GROUP BY checksum")
+def first_of_each_id(spark, d):
+    """WI1, VA7: objects with one checksum as id, the first by path and how many come later."""
+    rows = fx.view(spark, d, "v_notes").select("id", "checksum").union(fx.view(spark, d, "v_sources").select("id", "checksum"))
+    first, more = validate.dedupe_objects(rows.select(F.col("checksum").alias("id"), F.concat(F.lit("objects/"), F.col("id"), F.lit(".md")).alias("path")))
+    later = more.groupBy(F.col("id").alias("later")).agg(F.count("*").alias("n_later"))
+    return first.join(later, F.expr("id <=> later"), "left").select("id", "path", F.coalesce("n_later", F.lit(0)).alias("n_later"))
+
+
+@query("""SELECT p.item_key, CASE WHEN n = 1 THEN child END AS child_key, CASE WHEN n IS NULL THEN 'ATTACHMENT_UNAVAILABLE' WHEN n > 1 THEN 'ATTACHMENT_AMBIGUOUS' END AS code FROM (SELECT p_partkey AS item_key FROM part) p
+    LEFT JOIN (SELECT l_partkey, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS child FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7 GROUP BY ALL) c ON c.l_partkey = item_key""")
+def primary_attachments(spark, d):
+    """JO7: order lines as the children of parts."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    kind = F.when(F.col("l_returnflag") == "R", "application/pdf").otherwise("text/html")
+    mode = F.when(F.col("l_linenumber") == 7, "imported_file").otherwise("linked_file")
+    children = lines.select(F.col("l_partkey").alias("parent_key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_key"), kind.alias("content_type"), mode.alias("link_mode"))
+    return joins.select_primary_attachment(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("item_key")), children)
+
+
+@query("SELECT url AS request_id, list_sort(list(concat('src_', CAST(page_id AS VARCHAR)))) AS source_ids FROM pages WHERE url IS NOT NULL GROUP BY url")
+def alias_matches(spark, d):
+    """JO3, TX12: every address against the aliases of all sources."""
+    none = F.lit(None).cast("string")
+    alias = idn.source_aliases(F.lit("web"), none, none, none, F.col("canonical_url"), none, none)
+    rows = fx.view(spark, d, "v_sources").select("id", "canonical_url", alias.alias("aliases"))
+    return joins.match_aliases(rows.select(F.col("canonical_url").alias("request_id"), "aliases").distinct(), rows)
+
+
+MIGRATED = """
+    sums AS (SELECT from_id, count(*) AS n, min(to_id) AS only_id FROM v_relations WHERE relation_type = 'summarizes' GROUP BY ALL),
+    literature AS (SELECT id, coalesce(n, 0) AS n, only_id FROM v_notes LEFT JOIN sums ON from_id = id WHERE subtype = 'literature'),
+    old AS (SELECT id AS from_id, 'summarizes' AS relation_type, only_id AS to_id FROM literature WHERE n = 1
+        UNION ALL SELECT least(from_id, to_id), relation_type, greatest(from_id, to_id) FROM v_relations WHERE relation_type = 'related_to' AND from_id IN (SELECT id FROM v_notes)
+        UNION ALL SELECT from_id, relation_type, to_id FROM v_relations WHERE relation_type = 'supersedes' AND from_id IN (SELECT id FROM v_notes)
+        UNION ALL SELECT from_id, relation_type, to_id FROM v_relations WHERE relation_type NOT IN ('summarizes', 'related_to', 'supersedes')),
+    ends AS (SELECT o.*, f.id IS NOT NULL AND t.id IS NOT NULL AS whole FROM (SELECT DISTINCT * FROM old) o LEFT JOIN v_objects f ON f.id = from_id LEFT JOIN v_objects t ON t.id = to_id)"""
+
+
+def _v1(spark, d):
+    edges = fx.view(spark, d, "v_relations")
+    of = lambda kind, name: edges.where(F.col("relation_type") == kind).groupBy(F.col("from_id").alias("id")).agg(F.collect_set("to_id").alias(name))
+    v1 = fx.details(spark, d).withColumn("superseded_by", F.lit(None).cast("string"))
+    for kind, name in (("summarizes", "source_ids"), ("related_to", "related_notes"), ("supersedes", "supersedes")):
+        v1 = v1.join(of(kind, name), "id", "left")
+    return v1, edges.where("relation_type not in ('summarizes', 'related_to', 'supersedes')")
+
+
+@query(f", {MIGRATED} SELECT from_id, relation_type, to_id FROM ends WHERE whole")
+def migrated_relations(spark, d):
+    """MG3: version 1 fields gathered from the relations, and back to edges."""
+    return migrate.migrate_relations(*_v1(spark, d))[0]
+
+
+@query(f""", {MIGRATED} SELECT kind, code, count(*) AS n FROM (SELECT 'change' AS kind, 'OBJECT_CONVERTED' AS code FROM v_objects UNION ALL SELECT 'blocker', 'RELATION_ENDPOINT_MISSING' FROM ends WHERE NOT whole
+    UNION ALL SELECT 'decision', 'LITERATURE_SOURCE_UNDECIDED' FROM literature WHERE n <> 1) GROUP BY ALL""")
+def migration_findings(spark, d):
+    """MG4."""
+    v1, edges = _v1(spark, d)
+    return migrate.migration_report(v1, migrate.migrate_relations(v1, edges)[1])[0].groupBy("kind", "code").agg(F.count("*").alias("n"))
