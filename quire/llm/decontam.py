@@ -26,6 +26,8 @@ SPAN, K = 13, 5
 PART = 2_000_000
 #: Bits of the table that fingerprints are first looked up in.
 FILTER_BITS = 22
+#: Stands for the id of an item that has none.
+NAMELESS = np.iinfo(np.int64).min
 
 
 def lowest(g: np.ndarray, width: int) -> np.ndarray:
@@ -81,13 +83,13 @@ def index_rows(benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
 class Index:
     """One part of the index, as the kernels look it up."""
 
-    def __init__(self, rows: list[tuple[int, int, int, int]], span: int, k: int):
+    def __init__(self, rows: pa.Table, span: int, k: int):
         self.span, self.k = span, k
-        table = np.array(rows, np.int64).reshape(-1, 4)
+        table = np.stack([rows.column(c).cast(pa.int64()).fill_null(NAMELESS).to_numpy() for c in ("size", "run", "mark", "item_id")], axis=1)
         self.by_size = {}
         for size in np.unique(table[:, 0]):
             own = table[table[:, 0] == size]
-            run = own[:, 1].view(np.uint64) if own.flags["C_CONTIGUOUS"] and own.shape[1] == 1 else own[:, 1].copy().view(np.uint64)
+            run = own[:, 1].copy().view(np.uint64)
             order = np.argsort(run, kind="stable")
             self.by_size[int(size)] = (run[order], own[order, 3])
         self.marks = np.unique(table[table[:, 0] == span, 2].copy().view(np.uint64))
@@ -149,7 +151,8 @@ def scan(index: Index, batch: pa.RecordBatch, column: int) -> Iterator[tuple[int
             new = np.append(True, begin[1:] > reach[:-1])
             edge = np.flatnonzero(new)
             spans = list(zip(begin[edge].tolist(), reach[np.append(edge[1:], b - a) - 1].tolist(), strict=True))
-        yield i, int(first[i + 1] - first[i]), spans, np.unique(item[a:b]).tolist()
+        found = np.unique(item[a:b])
+        yield i, int(first[i + 1] - first[i]), spans, found[found != NAMELESS].tolist()
 
 
 def parts_of(benchmark: DataFrame, span: int, k: int, part: int) -> Iterator[Index]:
@@ -157,9 +160,11 @@ def parts_of(benchmark: DataFrame, span: int, k: int, part: int) -> Iterator[Ind
     rows = cut(index_rows(benchmark, span, k))
     parts = max(1, -(-rows.count() // part))
     for p in range(parts):
-        yield Index([tuple(r) for r in rows.where(F.pmod(F.xxhash64("run"), F.lit(parts)) == p).collect()], span, k)
+        yield Index(rows.where(F.pmod(F.xxhash64("run"), F.lit(parts)) == p).toArrow(), span, k)
 
 
+#: Words in the spans.
+HIT = "aggregate(spans, 0L, (total, s) -> total + s.last - s.first)"
 FOUND = "doc_id long, text_hash long, n_words long, spans array<struct<first:long,last:long>>, item_ids array<long>"
 
 
@@ -169,8 +174,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
     ``spans`` are the merged stretches of words [first, last) that lie in occurrences of runs of
     ``span`` consecutive item words (or of a whole shorter item); ``item_ids`` the items these
     runs come from.  Null and empty texts have no words; items without words never occur;
-    repeated rows each get their row; an empty benchmark hits nothing; other columns aren't read.
+    an item without an id marks words but is not listed; repeated rows each get their row; an
+    empty benchmark hits nothing; other columns aren't read.
     """
+    return _found(docs, benchmark, span, k, part).drop("text_hash")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, span: int, k: int, part: int) -> DataFrame:
+    """What ``contamination`` gives, with the text's hash."""
     context = docs.sparkSession.sparkContext
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     found = []
@@ -185,16 +196,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "n_words", "spans", "item_ids"])
 
         found.append(source.mapInArrow(kernel, FOUND))
-    if len(found) == 1:
-        return found[0].drop("text_hash")
-    return _merged(found)
+    return found[0] if len(found) == 1 else _merged(found)
 
 
 def _merged(found: list[DataFrame]) -> DataFrame:
     """Unites what the parts of the index found; all rows of one (doc_id, text) are one group."""
-    hits = found[0].where("size(item_ids) > 0")
+    hits = found[0].where("size(spans) > 0")
     for f in found[1:]:
-        hits = hits.unionByName(f.where("size(item_ids) > 0"))
+        hits = hits.unionByName(f.where("size(spans) > 0"))
     joined = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("i"))
     merged = F.expr(
         "aggregate(s, cast(array() as array<struct<first:bigint,last:bigint>>), (done, x) -> "
@@ -205,14 +214,13 @@ def _merged(found: list[DataFrame]) -> DataFrame:
     rows = found[0].select("doc_id", "text_hash", "n_words")
     out = rows.alias("r").join(joined.select("doc_id", "text_hash", merged.alias("m"), "i").alias("j"), F.expr("r.doc_id <=> j.doc_id and r.text_hash = j.text_hash"), "left")
     empty = F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)")
-    return out.select("r.doc_id", "r.n_words", F.coalesce("m", empty).alias("spans"), F.coalesce("i", F.expr("cast(array() as array<bigint>)")).alias("item_ids"))
+    return out.select("r.doc_id", "r.text_hash", "r.n_words", F.coalesce("m", empty).alias("spans"), F.coalesce("i", F.expr("cast(array() as array<bigint>)")).alias("item_ids"))
 
 
 def counts(found: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) from ``contamination``."""
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["last"] - s["first"])
     names = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
-    out = found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"))
+    out = found.select("doc_id", "n_words", F.expr(HIT).alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"))
     return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
@@ -225,8 +233,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: int = 20, span: int = SP
     indexes = parts_of(benchmark, span, k, part)
     first = next(indexes)
     if next(indexes, None) is not None:
-        verdict = counts(contamination(docs, benchmark, span, k, part)).where("contaminated").select("doc_id").distinct()
-        return docs.join(verdict, "doc_id", "left_anti").select(docs.columns)
+        found = _found(docs, benchmark, span, k, part).withColumn("n_hit", F.expr(HIT))
+        verdict = found.where(f"n_hit > 0 and {share} * n_hit >= n_words").select("doc_id", "text_hash").distinct()
+        same = F.col("d.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.xxhash64("d.text") == F.col("v.text_hash"))
+        return docs.alias("d").join(verdict.alias("v"), same, "left_anti")
     shared = docs.sparkSession.sparkContext.broadcast(first)
     return docs.mapInArrow(_filter("text", lambda batch, column: np.array([not (hit := sum(b - a for a, b in s)) or share * hit < n for _, n, s, _ in scan(shared.value, batch, column)])), docs.schema)
 
