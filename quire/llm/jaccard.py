@@ -38,7 +38,7 @@ REPORTED, FREQUENT = 16_384, 131_072
 SIGNS = 16
 SIGN_NAMES = [f"s{i}" for i in range(SIGNS)]
 #: Tokens whose counts a task holds before it drops the rare ones.
-HELD = 4_000_000
+HELD = 2_000_000
 
 
 def sets(batch: pa.RecordBatch, column: int, k: int = K) -> list[np.ndarray]:
@@ -91,27 +91,55 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
+class Counter:
+    """How many sets hold each token, for the frequent ones; memory is bounded by ``HELD``."""
+
+    def __init__(self):
+        self.pending: list[np.ndarray] = []
+        self.size, self.tokens, self.seen = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, tokens: np.ndarray) -> None:
+        self.pending.append(tokens)
+        self.size += len(tokens)
+        if self.size > HELD:
+            self.fold()
+
+    def fold(self) -> None:
+        """Takes the pending tokens in; those seen only once so far are forgotten, then the rarest if there are too many."""
+        if not self.size:
+            return
+        x = np.concatenate(self.pending)
+        self.pending.clear()
+        self.size = 0
+        x.sort()
+        first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        n = np.diff(np.append(first, len(x)))
+        x = x[first]
+        at = np.searchsorted(self.tokens, x)
+        old = at < len(self.tokens)
+        old[old] = self.tokens[at[old]] == x[old]
+        self.seen[at[old]] += n[old]
+        new = ~old & (n >= 2)
+        self.tokens, self.seen = np.insert(self.tokens, at[new], x[new]), np.insert(self.seen, at[new], n[new])
+        if len(self.tokens) > HELD // 4:
+            top = np.sort(np.argpartition(-self.seen, HELD // 8)[: HELD // 8])
+            self.tokens, self.seen = self.tokens[top], self.seen[top]
+
+    def top(self) -> tuple[np.ndarray, np.ndarray]:
+        """At most ``REPORTED`` tokens with their counts, most frequent first."""
+        self.fold()
+        top = np.argsort(-self.seen, kind="stable")[:REPORTED]
+        top = top[self.seen[top] >= 4]
+        return self.tokens[top], self.seen[top]
+
+
 def profiles(docs: DataFrame, k: int = K) -> DataFrame:
     """(doc_id, n, a, b, token, seen): a row a text with its set's size and sums, and rows (token, seen) of frequent tokens."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "a", "b", "token", "seen"]
         known: set[tuple[int, int]] = set()
-        pending: list[np.ndarray] = []
-        size, tokens, seen = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def fold() -> None:
-            nonlocal size, tokens, seen
-            new, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *pending]), return_counts=True)
-            both, at = np.unique(np.concatenate([tokens, new]), return_inverse=True)
-            total = np.bincount(at, np.concatenate([seen, n]), len(both)).astype(np.int64)
-            many = total >= 2
-            tokens, seen, size = both[many], total[many], 0
-            pending.clear()
-            if len(tokens) > HELD // 4:
-                top = np.sort(np.argpartition(-seen, HELD // 8)[: HELD // 8])
-                tokens, seen = tokens[top], seen[top]
-
+        counter = Counter()
         for batch in slices(batches, "text"):
             n, a, b = [], [], []
             for s in sets(batch, 1, k):
@@ -122,17 +150,12 @@ def profiles(docs: DataFrame, k: int = K) -> DataFrame:
                 if (x, y) not in known:
                     if len(known) < 1_000_000:
                         known.add((x, y))
-                    pending.append(s)
-                    size += len(s)
-                if size > HELD:
-                    fold()
+                    counter.add(s)
             none = pa.nulls(len(n), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), none, none], names)
-        fold()
-        top = np.argsort(-seen, kind="stable")[:REPORTED]
-        top = top[seen[top] >= 4]
-        none = pa.nulls(len(top), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(tokens[top].view(np.int64)), pa.array(seen[top])], names)
+        tokens, seen = counter.top()
+        none = pa.nulls(len(tokens), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(tokens.view(np.int64)), pa.array(seen)], names)
 
     return docs.select("doc_id", "text").mapInArrow(kernel, "doc_id long, n long, a long, b long, token long, seen long")
 
