@@ -483,3 +483,114 @@ def migration_findings(spark, d):
     """MG4."""
     v1, edges = _v1(spark, d)
     return migrate.migration_report(v1, migrate.migrate_relations(v1, edges)[1])[0].groupBy("kind", "code").agg(F.count("*").alias("n"))
+
+
+def _bodies(spark, d):
+    """Parsed bodies of the notes: a section a segment, with its citations."""
+    none = F.lit(None).cast("string")
+    locator = F.from_json(F.to_json(F.struct(F.lit(1).alias("locator_version"), F.col("locator_type").alias("source_type"))), schemas.LOCATOR)
+    cite = F.struct("ordinal", F.struct("source_id", locator.alias("locator")).alias("c"))
+    cites = fx.view(spark, d, "v_citations").groupBy("segment_id").agg(F.array_sort(F.collect_list(cite)).alias("cites"))
+    block = F.struct(F.col("role").alias("kind"), "text", none.alias("artifact_id"), F.transform("cites", lambda x: x["c"]).alias("citations"))
+    section = F.struct("ordinal", F.struct("section_id", "role", F.lit("").alias("heading"), F.array(block).alias("blocks")).alias("s"))
+    rows = fx.view(spark, d, "v_segments").join(cites, "segment_id", "left").groupBy("object_id").agg(F.array_sort(F.collect_list(section)).alias("s"))
+    return rows.select("object_id", F.lit("note").alias("kind"), none.alias("text"), F.transform("s", lambda x: x["s"]).alias("sections"))
+
+
+_SEGMENT = "concat('seg_', sha256(concat('segment-v1', chr(0), object_id, chr(0), section_id, chr(0), '0')))"
+
+
+@query("SELECT object_id, section_id, role, ordinal FROM v_segments")
+def note_sections(spark, d):
+    """PR4, WI5."""
+    return projection.project_sections(_bodies(spark, d)).select("object_id", "section_id", "role", "ordinal")
+
+
+@query(f"SELECT {_SEGMENT} AS segment_id, object_id, section_id, role, md5(text) AS text_hash FROM v_segments")
+def note_segments(spark, d):
+    """PR5, TX3."""
+    return projection.project_segments(_bodies(spark, d)).select("segment_id", "object_id", "section_id", "role", F.md5("text").alias("text_hash"))
+
+
+@query(f"""SELECT {_SEGMENT} AS segment_id, c.ordinal, source_id, concat('{{"locator_version":1,"source_type":"', locator_type, '"}}') AS locator FROM v_citations c JOIN v_segments s ON s.segment_id = c.segment_id""")
+def note_citations(spark, d):
+    """PR6, TX15."""
+    return projection.project_citations(_bodies(spark, d))
+
+
+@query("""SELECT CASE WHEN role = 'fact' AND n IS NULL THEN 'FACT_CITATION_MISSING' WHEN role = 'ai' THEN 'NOTE_BLOCK_METADATA_MISSING' ELSE 'CITATION_SOURCE_INVALID' END AS code, object_id, section_id
+    FROM v_segments LEFT JOIN (SELECT segment_id, count(*) AS n FROM v_citations GROUP BY ALL) USING (segment_id) WHERE role IN ('fact', 'ai')""")
+def body_findings(spark, d):
+    """VA6."""
+    return validate.check_bodies(_bodies(spark, d)).select("code", "object_id", "section_id")
+
+
+@query("""SELECT CASE WHEN s.id IS NULL THEN 'FACT_SOURCE_MISSING' ELSE 'FACT_LOCATOR_MISMATCH' END AS code, object_id, section_id FROM v_citations c JOIN v_segments g ON g.segment_id = c.segment_id
+    LEFT JOIN v_sources s ON s.id = source_id WHERE s.id IS NULL OR s.subtype <> locator_type OR locator_type = 'web'""")
+def fact_findings(spark, d):
+    """VA10, TX14: the web locators carry no snapshot, so they disagree."""
+    return validate.check_facts(_bodies(spark, d), fx.details(spark, d)).select("code", "object_id", "section_id")
+
+
+_NOTE_FINDINGS = "SELECT 'NOTE_MATURITY_INVALID' AS code, id AS object_id, concat('notes/', substring(id, 6, 20), '.md') AS path FROM v_notes WHERE subtype = 'idea' AND maturity <> 'seed'"
+
+
+def _note_findings(spark, d):
+    notes = fx.details(spark, d).withColumns({"type_history": F.lit(None).cast(schemas.HISTORY), "path": F.concat(F.lit("notes/"), F.substring("id", 6, 20), F.lit(".md"))})
+    return validate.check_notes(notes)
+
+
+@query(_NOTE_FINDINGS)
+def note_findings(spark, d):
+    """VA3."""
+    return _note_findings(spark, d).select("code", "object_id", "path")
+
+
+@query(f", nf AS ({_NOTE_FINDINGS}) SELECT code, object_id, path FROM nf WHERE path IN (SELECT coalesce(a.path, b.path) FROM v_scan_new a FULL JOIN v_scan_old b ON a.path = b.path WHERE a.checksum IS DISTINCT FROM b.checksum)")
+def findings_of_changes(spark, d):
+    """FI7, ST1."""
+    changed = catalog.changed_paths(fx.view(spark, d, "v_scan_new"), fx.view(spark, d, "v_scan_old"))
+    return catalog.filter_findings(_note_findings(spark, d), changed).select("code", "object_id", "path")
+
+
+@query(f""", nf AS ({_NOTE_FINDINGS}) SELECT (SELECT count(*) FROM v_scan_new) AS files, (SELECT count(*) FROM v_objects) AS objects, (SELECT count(DISTINCT from_id) FROM v_relations) AS shards, (SELECT count(*) FROM nf) AS findings""")
+def scan_totals(spark, d):
+    """AG5."""
+    return catalog.scan_summary(fx.view(spark, d, "v_scan_new"), fx.view(spark, d, "v_objects"), fx.view(spark, d, "v_relations"), _note_findings(spark, d))
+
+
+@query("SELECT request_id, concat('item', CAST(request_id % 40 AS VARCHAR)) AS item_key FROM v_identifiers")
+def metadata_candidates(spark, d):
+    """JO4: items found by DOI or arXiv, each under both."""
+    ids, none = fx.view(spark, d, "v_identifiers"), F.lit(None).cast("string")
+    asked = ids.select("request_id", idn.normalize_doi(F.col("doi")).alias("doi"), idn.normalize_arxiv(F.col("arxiv"))["base"].alias("arxiv"), none.alias("isbn"), none.alias("url"))
+    items = ids.select(F.concat(F.lit("item"), (F.col("request_id") % 40).cast("string")).alias("item_key"), "doi", F.col("arxiv").alias("arxiv_id"), none.alias("isbn"), none.alias("url")).distinct()
+    return joins.exact_candidates(asked, items)
+
+
+@query("""SELECT request_id, lower(doi) AS by_doi, concat('arxiv:', regexp_extract(arxiv, 'arXiv:(.*)v2', 1)) AS by_arxiv FROM v_identifiers""")
+def identities(spark, d):
+    """TX12: papers with and without a DOI."""
+    none, c = F.lit(None).cast("string"), F.col
+    of = lambda doi: idn.canonical_identity(F.lit("paper"), doi, c("arxiv"), none, none, none, none, none)
+    return fx.view(spark, d, "v_identifiers").select("request_id", of(c("doi")).alias("by_doi"), of(none).alias("by_arxiv"))
+
+
+@query("""SELECT p.item_key, CASE WHEN n = 1 THEN child END AS child_key, CASE WHEN n IS NULL THEN 'SNAPSHOT_UNAVAILABLE' WHEN n > 1 THEN 'SNAPSHOT_AMBIGUOUS' END AS code FROM (SELECT p_partkey AS item_key FROM part) p
+    LEFT JOIN (SELECT l_partkey, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS child FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 6 GROUP BY ALL) c ON c.l_partkey = item_key""")
+def web_snapshots(spark, d):
+    """JO7: order lines as the stored pages of parts."""
+    kind = F.when(F.col("l_returnflag") == "A", "text/html").otherwise("application/pdf")
+    mode = F.when(F.col("l_linenumber") == 6, "imported_url").otherwise("linked_url")
+    children = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_partkey").alias("parent_key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_key"), kind.alias("content_type"), mode.alias("link_mode"))
+    return joins.select_web_snapshot(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("item_key")), children)
+
+
+@query("""SELECT id, 0 AS ordinal, 'sec_my_interpretation' AS section_id, 'human' AS role FROM v_notes
+    UNION ALL SELECT id, 1, 'sec_original_facts', 'fact' FROM v_notes WHERE maturity IN ('mature', 'evergreen')""")
+def migrated_sections(spark, d):
+    """MG2: the second section of a seed is unknown and that of a developing note repeats the first, so both block."""
+    second = F.when(F.col("maturity") == "seed", "sec_elsewhere").when(F.col("maturity") == "developing", "sec_my_interpretation").otherwise("sec_original_facts")
+    part = lambda name, head, text: F.concat(F.lit("<!-- section_id: "), name, F.lit(f" -->\n## {head}\n\n"), F.coalesce(text, F.lit("")), F.lit("\n\n"))
+    notes = fx.view(spark, d, "v_notes").select("id", F.concat(F.lit("notes/"), F.col("id"), F.lit(".md")).alias("path"), F.concat(part(F.lit("sec_my_interpretation"), "Mine", F.col("title")), part(second, "More", F.col("tag1"))).alias("body"))
+    return migrate.migrate_sections(notes)[0].select("id", "ordinal", "section_id", "role")
