@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from quire import schemas
 from quire.operators import projection as pr
 from quire.operators.catalog import changed_paths, snapshot_hash
 from quire.operators.index import build_postings
+from quire.sources.vault import Roots
 
 #: Child tables and the column that names the object their rows belong to.
 OWNED = {"type_transitions": "object_id", "sections": "object_id", "segments": "object_id", "object_tags": "object_id", "relations": "from_id", "search_fields": "object_id"}
@@ -43,18 +46,21 @@ def index_status(tables: dict[str, DataFrame] | None, current: DataFrame) -> tup
     return ("fresh" if changed.isEmpty() else "stale"), changed
 
 
-def incremental_update(tables: dict[str, DataFrame], changed: DataFrame, objects: DataFrame, bodies: DataFrame, edges: DataFrame, current: DataFrame, built_at: str) -> dict[str, DataFrame]:
+def incremental_update(tables: dict[str, DataFrame], changed: DataFrame, objects: DataFrame, bodies: DataFrame, edges: DataFrame, current: DataFrame, built_at: str, roots: Roots = Roots()) -> dict[str, DataFrame]:
     """The tables after the changed paths, equal row for row to a rebuild.
 
     ``objects``, ``bodies`` and ``edges`` are parsed from the files at changed paths that still
     exist.  Objects whose path is gone or whose id comes again are taken out of all their
-    tables, and so are edges of changed shards; then the new rows are added.  Document
-    frequencies change by the difference of the postings taken out and added.
+    tables, and so are edges of changed shards, which are told by the names of their files, so
+    that removed and emptied ones count too; then the new rows are added.  As in the reference,
+    a shard is named after its from_id and is the only one of it; a scan has findings otherwise.
+    Document frequencies change by the difference of the postings taken out and added.
     """
     spark = changed.sparkSession
     paths = changed.select("path")
     out = tables["objects"].join(paths, "path", "left_semi").select("id").unionByName(objects.select("id")).distinct()
-    shards = tables["relation_files"].join(paths, "path", "left_semi").select("from_id").unionByName(edges.select("from_id")).distinct() if "relation_files" in tables else edges.select("from_id").distinct()
+    stem = F.regexp_extract("path", rf"^{re.escape(roots.relations.rstrip('/'))}/(?:.*/)?([^/]+?)(?:\.[^./]+)?$", 1)
+    shards = paths.select(stem.alias("from_id")).where("from_id <> ''").unionByName(edges.select("from_id")).distinct()
     new = tables_of(objects, bodies, edges)
     gone = tables["segments"].join(out.withColumnRenamed("id", "object_id"), "object_id", "left_semi").select("segment_id")
     done = {}

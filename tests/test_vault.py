@@ -125,6 +125,28 @@ def test_incremental_equals_rebuild(spark, tmp_path):
     assert maintain.index_status(full, f2)[0] == "fresh"
 
 
+def test_incremental_drops_edges_of_removed_and_emptied_shards(spark, tmp_path):
+    def shard(name, *to):
+        edges = "".join(f"\n- {{to_id: {ID[t]}, relation_type: derived_from, reason: r, created_at: '2024-01-01T00:00:00Z', actor: {{type: human, id: me}}}}" for t in to)
+        return {f"relations/{ID[name]}.yaml": f"schema_version: 2\nfrom_id: {ID[name]}\nrelations:{edges or ' []'}\n"}
+
+    old = files() | shard("con4", "web1", "oss2") | shard("art6", "web1") | shard("sn5", "web1", "oss2")
+    new = old | shard("con4") | shard("sn5", "oss2")
+    del new[f"relations/{ID['lit3']}.yaml"]
+    written(tmp_path / "old", old)
+    written(tmp_path / "new", new)
+    before = maintain.rebuild(spark, *parsed(spark, tmp_path / "old"), "t")
+    f, o, b, e, bad = parsed(spark, tmp_path / "new")
+    _, changed = maintain.index_status(before, f.select("path", "checksum"))
+    assert sorted(r.change for r in changed.collect()) == ["changed", "changed", "removed"]
+    after = maintain.incremental_update(before, changed, o.limit(0), b.limit(0), e.join(changed.select("path"), "path", "left_semi"), f.select("path", "checksum"), "t")
+    full = maintain.rebuild(spark, f, o, b, e, bad, "t")
+    assert sorted((r.from_id, r.to_id) for r in after["relations"].collect()) == sorted([(ID["art6"], ID["web1"]), (ID["sn5"], ID["oss2"])])
+    for name in full:
+        cols = full[name].columns
+        assert sorted(map(str, after[name].select(cols).collect())) == sorted(map(str, full[name].collect())), name
+
+
 def test_search_context_and_lookup(spark, small):
     f, objects, bodies, edges, bad = small
     tables = maintain.rebuild(spark, f, objects, bodies, edges, bad, "t")
