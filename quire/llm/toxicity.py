@@ -24,6 +24,8 @@ from quire.llm.text import LETTERS, slices, utf8, words
 
 #: Labelled texts used for training at most, and words of them in all.
 SAMPLE, SAMPLE_WORDS = 10_000, 8_000_000
+#: Longer texts than this part of the words only take what room the others leave.
+SHARE = 100
 ROWS, DEPTH, WIDTHS, FILTERS = 1 << 18, 4, (1, 2, 3), 4
 EPOCHS, BATCH, RATE = 4, 64, 0.05
 PRIOR = 6.0
@@ -213,12 +215,26 @@ def _calibrate(net: Network, texts: list[np.ndarray], labels: np.ndarray) -> Non
     net.sharpness = 2.0 / max(float(np.median(spread)), 1e-3)
 
 
+def fitting(sizes: list[int], budget: int) -> list[bool]:
+    """Which texts of these lengths fit into the budget, in order, each that doesn't being passed over.
+
+    Texts of more than 1/``SHARE`` of the budget come last, so that none of them displaces others.
+    """
+    keep, left = [False] * len(sizes), budget
+    for long in (False, True):
+        for i, n in enumerate(sizes):
+            if (n * SHARE > budget) == long and n <= left:
+                keep[i] = True
+                left -= n
+    return keep
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     """Train on at most ``sample`` labelled rows of ``docs``; only hashes of their words reach the driver.
 
-    Every text is kept whole; texts are left out of the sample, in the order of their id's hash,
-    once they hold ``SAMPLE_WORDS`` words in all.  Only lengths are collected before that is
-    settled.  Of rows with one doc_id the text with the smallest word hashes is used.
+    Every text is kept whole; in the order of their id's hash, texts that don't fit into what is
+    left of ``SAMPLE_WORDS`` words are left out of the sample, and the next ones are tried.  Only
+    lengths are collected before that is settled.  Of rows with one doc_id the text with the smallest word hashes is used.
     """
     ids = F.broadcast(training_ids(labels, "toxic", sample))
 
@@ -231,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     rows = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "label").mapInArrow(kernel, "doc_id long, label int, words binary")
     rows = cut(rows.groupBy("doc_id", "label").agg(F.min("words").alias("words")))
     order = sorted(rows.select("doc_id", F.expr("octet_length(words) div 8").alias("n")).collect(), key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFF, r["doc_id"]))
-    keep = [r["doc_id"] for r, total in zip(order, np.cumsum([r["n"] for r in order]), strict=True) if total <= SAMPLE_WORDS]
+    keep = [r["doc_id"] for r, fits in zip(order, fitting([r["n"] for r in order], SAMPLE_WORDS), strict=True) if fits]
     place = {doc_id: i for i, doc_id in enumerate(keep)}
     wanted = rows if len(keep) == len(order) else rows.where(F.col("doc_id").isin(keep))
     got = sorted(wanted.collect(), key=lambda r: place[r["doc_id"]])

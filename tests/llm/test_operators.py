@@ -365,6 +365,30 @@ def test_classifiers_on_held_out_texts(spark, module, column, cut):
     assert module.score(docs, nothing).count() == docs.count()
 
 
+@pytest.mark.parametrize("giant", [100_001, 90_000])
+def test_a_giant_does_not_empty_the_toxicity_sample(spark, monkeypatch, giant):
+    monkeypatch.setattr(toxicity, "SAMPLE_WORDS", 100_000)
+    docs, labels = labelled(spark)
+    used = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 != 0]
+    first = min(used, key=lambda i: i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFF)
+    long = F.when(F.col("doc_id") == first, F.repeat(F.lit("sea "), giant)).otherwise(F.col("text"))
+    seen = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.append(len(texts)) or train(texts, y))
+    net = toxicity.fit(docs.withColumn("text", long), labels)
+    assert seen == [len(used) - 1]
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    held = [r for r in toxicity.score(docs, net).where("held_out").collect() if truth.get(r.doc_id) is not None]
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+
+
+def test_the_toxicity_sample_passes_over_what_does_not_fit():
+    assert toxicity.fitting([990, 5, 10, 3, 95], 1000) == [False, True, True, True, True]
+    assert toxicity.fitting([1001, 5, 995, 5], 1000) == [False, True, False, True]
+    assert toxicity.fitting([10] * 99 + [11, 10, 10], 1000) == [True] * 99 + [False, True, False]
+    assert toxicity.fitting([], 1000) == []
+
+
 def test_convolution_does_not_cross_texts():
     net = toxicity.train([toxicity.hashes(["grubnak vulmort sea"]), toxicity.hashes(["sea hill"])] * 8, np.array([1, 0] * 8))
     one, two = toxicity.hashes(["sea hill grubnak"]), toxicity.hashes(["vulmort sea"])
