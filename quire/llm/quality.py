@@ -112,7 +112,7 @@ def train(x: np.ndarray, labels: np.ndarray, seed: int = 5) -> Voters:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Voters:
     """Voters from at most ``sample`` labelled rows of ``docs``; their texts are read whole, only the counts reach the driver, once for each doc_id."""
-    ids = F.broadcast(training_ids(labels, "quality", sample))
+    ids = F.broadcast(training_ids(docs, labels, "quality", sample))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

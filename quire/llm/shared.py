@@ -38,12 +38,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def training_ids(labels: DataFrame, column: str, limit: int) -> DataFrame:
-    """At most ``limit`` labelled ids for training: (doc_id, label).
+def training_ids(docs: DataFrame, labels: DataFrame, column: str, limit: int) -> DataFrame:
+    """At most ``limit`` labelled ids of ``docs`` for training: (doc_id, label).
 
     Only rows whose crc32 of the id as text leaves a remainder by 5 take part.  Ids are
     taken in the order of their hash, so the sample is the same in every run and
-    independent of layout; rows with a null or conflicting label are left out.
+    independent of layout; rows with a null or conflicting label are left out.  Labels of other
+    documents don't count towards the limit.
     """
     crc = F.crc32(F.col("doc_id").cast("string"))
     rows = (
@@ -52,6 +53,7 @@ def training_ids(labels: DataFrame, column: str, limit: int) -> DataFrame:
         .agg(F.min(column).alias("label"), F.max(column).alias("other"))
         .where("label = other")
     )
+    rows = rows.join(docs.select("doc_id"), "doc_id", "left_semi")
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id", F.col("label").cast("int").alias("label"))
 
 

@@ -236,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     left of ``SAMPLE_WORDS`` words are left out of the sample, and the next ones are tried.  Only
     lengths are collected before that is settled.  Of rows with one doc_id the text with the smallest word hashes is used.
     """
-    ids = F.broadcast(training_ids(labels, "toxic", sample))
+    ids = F.broadcast(training_ids(docs, labels, "toxic", sample))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

@@ -382,6 +382,15 @@ def test_a_giant_does_not_empty_the_toxicity_sample(spark, monkeypatch, giant):
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
 
 
+def test_labels_of_other_documents_take_no_room_in_the_sample(spark):
+    docs, labels = labelled(spark)
+    other = spark.range(10_000, 30_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "cast(id % 2 as int) as toxic")
+    used = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(600))
+    assert len(quality.fit(docs, labels.union(other), 600).labels) == used
+    alone, among = (toxicity.fit(docs, x, 600) for x in (labels, labels.union(other)))
+    assert all((a == b).all() for a, b in zip(alone.tables, among.tables, strict=True))
+
+
 def test_the_toxicity_sample_passes_over_what_does_not_fit():
     assert toxicity.fitting([990, 5, 10, 3, 95], 1000) == [False, True, True, True, True]
     assert toxicity.fitting([1001, 5, 995, 5], 1000) == [False, True, False, True]
