@@ -333,7 +333,22 @@ def similar_groups(docs: DataFrame, k: int = K) -> DataFrame:
 def one_of_each(docs: DataFrame, k: int = K) -> DataFrame:
     """The rows of ``docs``, columns as they are, without those that are not the first of their group.
 
-    Repeated rows of a kept doc_id all stay.
+    Repeated rows of a kept doc_id and text all stay.  Different texts of one doc_id are
+    decided apart, the one with the smaller hash being first.  Rows without doc_id come after
+    all others; of equal texts with words among them one row stays.
     """
-    gone = similar_groups(docs, k).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    text = F.xxhash64("text")
+    ids = docs.select("doc_id", text.alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    if ids.where("doc_id is null or low <> high").isEmpty():
+        gone = similar_groups(docs, k).where("doc_id <> component_id").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # Each (doc_id, text) is a document of its own, under a hash of both; who is first is settled by the real ids.
+    key = F.xxhash64("doc_id", F.isnull("doc_id"), text)
+    groups = cut(similar_groups(docs.select(key.alias("doc_id"), "text"), k).distinct())
+    own = docs.select(key.alias("key"), F.struct(F.isnull("doc_id"), "doc_id", text, key).alias("place")).distinct()
+    placed = groups.select(F.col("doc_id").alias("key"), "component_id").join(own, "key")
+    first = placed.groupBy("component_id").agg(F.min("place").alias("first"))
+    gone = placed.join(first, "component_id").where("place <> first").select(F.col("key").alias("key_"))
+    kept = docs.withColumn("key_", key).join(gone, "key_", "left_anti")
+    lone = F.isnull("doc_id") & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return kept.where(~lone).unionByName(kept.where(lone).dropDuplicates(["key_"])).select(docs.columns)

@@ -277,6 +277,20 @@ def test_similar_groups_equal_brute_force(spark):
     assert jaccard.similar_groups(df.limit(0)).collect() == []
 
 
+def test_one_of_each_decides_by_id_and_text(spark):
+    words = [f"w{i}" for i in range(40)]
+    a, near = " ".join(words), " ".join([*words[:-1], "x"])
+    b, c, d = (" ".join(f"{p}{i}" for i in range(40)) for p in "bcd")
+    rows = [(1, a), (5, a), (5, b), (5, near), (6, c), (6, c), (7, b), (None, near), (None, c), (None, d), (None, d), (None, d + " end"), (None, ""), (None, ""), (None, None), (9, "")]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    out = jaccard.one_of_each(df)
+    assert out.columns == df.columns
+    got = sorted((str(r.doc_id), str(r.text)) for r in out.collect())
+    alone = [r for r in got if not r[1].startswith("d0")]
+    assert alone == sorted([("1", a), ("5", b), ("6", c), ("6", c), ("None", ""), ("None", ""), ("None", "None"), ("9", "")])
+    assert len(got) == len(alone) + 1  # one of the two copies and the near copy without ids
+
+
 def test_prefixes_share_a_token_in_every_order():
     rng = np.random.default_rng(8)
     hot = np.sort(rng.integers(0, 2**63, 40).astype(np.uint64))
