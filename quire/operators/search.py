@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass, fields
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +17,10 @@ from quire.functions.locators import LOCATOR, locator_mismatches
 
 K1, B = 1.2, 0.75
 DEFAULT_ROLES = ("source", "human", "fact", "snippet")
-#: Rows of a query table up to which it is broadcast to the postings.
+#: Terms of all queries up to which they are broadcast to the postings.
 BROADCAST_TERMS = 200_000
+#: Characters of all queries that are broadcast to the lines at a time, about.
+BROADCAST_CHARS = 8_000_000
 
 
 @dataclass(frozen=True)
@@ -94,8 +97,10 @@ def matches(index: dict[str, DataFrame], queries: DataFrame, fold_diacritics: bo
     Query terms meet postings by term: broadcast while their number is small, by a shuffle on
     the term beyond that.  Scores are rounded to nine digits so that their sum's order is no matter.
     """
-    terms = query_terms(queries, fold_diacritics).join(index["term_stats"], "term")
-    terms = F.broadcast(terms) if queries.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+    terms = query_terms(queries, fold_diacritics)
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    terms = terms.join(index["term_stats"], "term")
+    terms = F.broadcast(terms) if few else terms
     hits = index["postings"].join(terms, "term").join(index["segment_stats"], "segment_id").crossJoin(F.broadcast(index["corpus_stats"]))
     share = F.col("times") * bm25(F.col("tf"), F.col("df"), F.col("n_segments"), F.col("n_tokens"), F.col("avg_tokens"))
     scored = hits.groupBy("query_id", "segment_id", "n_terms").agg(F.count("*").alias("found"), F.round(F.sum(share), 9).alias("score"))
@@ -246,6 +251,19 @@ def _columns(line: str, query: str) -> list[int]:
     return out
 
 
+def lines_with(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` joined with each query (query_id, q) whose q stands in their ``normal``.
+
+    Queries are broadcast in blocks of about ``BROADCAST_CHARS`` characters, dealt by their
+    hash; more queries take more passes over the lines.
+    """
+    chars = wanted.agg(F.sum(F.length("q") + 8)).first()[0] or 0
+    blocks = max(1, -(-chars // BROADCAST_CHARS))
+    at = F.pmod(F.xxhash64("query_id", "q"), F.lit(blocks))
+    hits = [rows.join(F.broadcast(wanted.where(at == i) if blocks > 1 else wanted), F.col("normal").contains(F.col("q"))) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, hits)
+
+
 def grep(files: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """(query_id, path, line, column, excerpt, object_id, section_id, rank): literal occurrences, line by line.
 
@@ -261,7 +279,7 @@ def grep(files: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     above = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("section_id", F.when(F.col("path").endswith(".md"), F.last(F.nullif(marker, F.lit("")), ignorenulls=True).over(above)))
     rows = rows.withColumn("normal", tx.normalized(F.col("source")))
-    hits = rows.join(F.broadcast(wanted), F.col("normal").contains(F.col("q")))
+    hits = lines_with(rows, wanted)
 
     @F.pandas_udf("array<int>")
     def places(line: pd.Series, query: pd.Series) -> pd.Series:

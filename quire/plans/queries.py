@@ -140,7 +140,7 @@ def grep_lines(spark, d):
     files = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("notes/"), F.col("doc_id"), F.lit(".md")).alias("path"), F.lit("x").alias("object_id"), "text")
     rows = files.select("path", F.posexplode(tx.lines(F.col("text"))).alias("n", "source")).withColumn("normal", tx.normalized(F.col("source")))
     wanted = fx.queries_of(spark, d).select("query_id", tx.normalize_query(F.col("query")).alias("q"))
-    return rows.join(F.broadcast(wanted), F.col("normal").contains(F.col("q"))).groupBy("query_id").agg(F.count_distinct("path", "n").alias("n_lines"))
+    return search.lines_with(rows, wanted).groupBy("query_id").agg(F.count_distinct("path", "n").alias("n_lines"))
 
 
 @query()

@@ -180,6 +180,26 @@ def test_grep_places(spark):
     assert got == [(1, "a.md", 2, 8, "sec_abc"), (1, "a.md", 2, 18, "sec_abc"), (1, "b.txt", 2, 8, None), (1, "b.txt", 2, 18, None), (2, "a.md", 3, 1, "sec_abc"), (2, "a.md", 3, 3, "sec_abc"), (2, "b.txt", 3, 1, None), (2, "b.txt", 3, 3, None)]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_query_tables_are_not_broadcast_whole(spark, monkeypatch):
+    f = spark.createDataFrame([("a.md", "one two\nthree one", "o"), ("b.md", "two", "o")], "path string, text string, object_id string")
+    q = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three one"), (4, "none")], "query_id int, query string")
+    whole = search.grep(f, q)
+    want = sorted(map(str, whole.collect()))
+    monkeypatch.setattr(search, "BROADCAST_CHARS", 10)
+    parts = search.grep(f, q)
+    assert sorted(map(str, parts.collect())) == want and len(want) == 5
+    assert plan_of(parts).count("Join Inner") > plan_of(whole).count("Join Inner")
+    one = lambda s, row: spark.createDataFrame([row], s)
+    index = {"term_stats": one("term string, df long", ("one", 1)), "postings": one("term string, segment_id string, tf long", ("one", "s", 1)), "segment_stats": one("segment_id string, n_tokens long", ("s", 2)), "corpus_stats": one("n_segments long, avg_tokens double", (1, 2.0))}
+    monkeypatch.setattr(search, "BROADCAST_TERMS", 5)
+    few, many = (search.matches(index, spark.createDataFrame([(1, text)], "query_id int, query string")) for text in ("one", "one two three four five six"))
+    assert plan_of(few).count("broadcast") > plan_of(many).count("broadcast")
+
+
 def test_paging(spark):
     rows = spark.range(51).select(F.format_string("n%02d", "id").alias("id"), F.lit("d").alias("updated"))
     second, facts = catalog.paginate(rows, [F.desc("updated"), "id"], 2)
