@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import cut
+from quire.llm.shared import cut, tidy
 from quire.llm.text import ALNUM, grams, slices, utf8, words
 
 SPAN, K = 13, 5
@@ -77,7 +77,7 @@ def index_rows(benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
                 n = both.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, size, np.int32)), pa.array(both[0].view(np.int64)), pa.array(both[1].view(np.int64)), pa.array([item] * n, pa.int64())], ["size", "run", "mark", "item_id"])
 
-    return benchmark.select("item_id", "text").mapInArrow(kernel, "size int, run long, mark long, item_id long")
+    return benchmark.select("item_id", "text").mapInArrow(tidy(kernel), "size int, run long, mark long, item_id long")
 
 
 class Index:
@@ -195,7 +195,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, span: int, k: int, part: int)
                 arrays = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([[{"first": a, "last": b} for a, b in s] for s in spans], kind), pa.array(items, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "n_words", "spans", "item_ids"])
 
-        found.append(source.mapInArrow(kernel, FOUND))
+        found.append(source.mapInArrow(tidy(kernel), FOUND))
     return found[0] if len(found) == 1 else _merged(found)
 
 

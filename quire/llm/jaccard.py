@@ -1,9 +1,10 @@
 """Near-duplicate join on word 5-grams at Jaccard similarity 0.8, with several token orders.
 
 Two sets that are similar enough share a token among the first 20 % of each, in whatever
-order the tokens stand, as long as it is the same order for all.  So every order is a filter,
-and a pair is compared in full only if it passes all ``ORDERS`` of them.  In each order
-tokens that many texts share stand last (by their count), the rest by a hash of their own.
+order the tokens stand, as long as it is the same order for all.  So every order is a filter;
+the first one deals out candidates, and their sets are sent and compared only if the prefixes
+meet under all ``ORDERS`` orders.  In each order tokens that many texts share stand last (by
+their count), the rest by a hash of their own.
 
 1. Equal sets are one class, found by two 64-bit sums; only one text of each goes on.
 2. The first tokens in order 0 are dealt out by token.  Every text of a token's group is
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import cut, fresh_folder
+from quire.llm.shared import batches_of, cut, fresh_folder, removed, tidy
 from quire.llm.text import NOT_SPACE, grams, mix, slices, utf8, words
 
 K = 5
@@ -37,8 +38,12 @@ REPORTED, FREQUENT = 16_384, 131_072
 #: 64-bit words of the parity bits that bound the difference of two sets.
 SIGNS = 16
 SIGN_NAMES = [f"s{i}" for i in range(SIGNS)]
-#: Tokens whose counts a task holds before it drops the rare ones.
-HELD = 2_000_000
+#: Columns of the first tokens in each order but the first, by 32 bits of their hashes.
+PREFIXES = [f"prefix{order}" for order in range(1, ORDERS)]
+#: Tokens whose counts a task holds before it drops the rare ones, and sets that it knows again.
+HELD, KNOWN = 1_000_000, 65_536
+#: Rows of an Arrow batch of texts, and of pairs with what is compared.
+TEXTS, PAIRS = 2_000, 256
 
 
 def sets(batch: pa.RecordBatch, column: int, k: int = K) -> list[np.ndarray]:
@@ -148,8 +153,9 @@ def profiles(docs: DataFrame, k: int = K) -> DataFrame:
                 a.append(x)
                 b.append(y)
                 if (x, y) not in known:
-                    if len(known) < 1_000_000:
-                        known.add((x, y))
+                    if len(known) == KNOWN:
+                        known.clear()
+                    known.add((x, y))
                     counter.add(s)
             none = pa.nulls(len(n), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), none, none], names)
@@ -157,7 +163,7 @@ def profiles(docs: DataFrame, k: int = K) -> DataFrame:
         none = pa.nulls(len(tokens), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(tokens.view(np.int64)), pa.array(seen)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(kernel, "doc_id long, n long, a long, b long, token long, seen long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(kernel), "doc_id long, n long, a long, b long, token long, seen long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -178,11 +184,20 @@ def components(edges: DataFrame) -> DataFrame:
             return label.withColumnRenamed("c", "component")
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Written as a table below the shared folder and read again."""
-    at = fresh_folder(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.parquet(at)
+class Stored:
+    """Tables written below the shared folder and read again, until they are dropped."""
+
+    def __init__(self, spark):
+        self.spark, self.folders = spark, []
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        at = fresh_folder(self.spark, name)
+        df.write.parquet(at)
+        self.folders.append(at)
+        return self.spark.read.parquet(at)
+
+    def drop(self) -> None:
+        removed(self.spark, *self.folders)
 
 
 def _wanted(ids: DataFrame) -> tuple[np.ndarray, int]:
@@ -198,7 +213,7 @@ def _wanted(ids: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def near_enough(pairs: DataFrame, led: DataFrame) -> DataFrame:
-    """Those of the pairs (x, y) whose parity bits leave room for similarity."""
+    """Those of the pairs (x, y) whose prefixes meet in the other orders and whose parity bits leave room for similarity."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,17 +224,20 @@ def near_enough(pairs: DataFrame, led: DataFrame) -> DataFrame:
                 keep.append(9 * int(np.bitwise_count(own ^ other).sum()) <= n + m)
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(led.select(F.col("doc_id").alias("x"), "n", "bits"), "x")
-    two = one.join(led.select(F.col("doc_id").alias("y"), F.col("n").alias("m"), F.col("bits").alias("other")), "y")
-    return two.select("x", "y", "n", "m", "bits", "other").mapInArrow(kernel, "x long, y long").distinct()
+    one = pairs.join(led.select(F.col("doc_id").alias("x"), "n", "bits", *PREFIXES), "x")
+    two = one.join(led.select(F.col("doc_id").alias("y"), F.col("n").alias("m"), F.col("bits").alias("other"), *(F.col(p).alias(f"{p}_") for p in PREFIXES)), "y")
+    meet = " and ".join(f"arrays_overlap({p}, {p}_)" for p in PREFIXES)
+    two = two.where(f"5 * least(n, m) >= 4 * greatest(n, m) and {meet}")
+    return two.select("x", "y", "n", "m", "bits", "other").mapInArrow(tidy(kernel), "x long, y long").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, led: DataFrame, frequent, k: int = K) -> DataFrame:
-    """Those of the distinct pairs (x, y) that pass the filters of the other orders and are similar."""
-    context = docs.sparkSession.sparkContext
-    pairs = cut(near_enough(pairs, led))
+def verified(docs: DataFrame, pairs: DataFrame, led: DataFrame, k: int = K) -> DataFrame:
+    """Those of the distinct pairs (x, y) that pass all filters and are similar; materialised."""
+    spark = docs.sparkSession
+    with batches_of(spark, PAIRS):
+        pairs = cut(near_enough(pairs, led))
     ids = cut(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct())
-    filt = context.broadcast(_wanted(ids))
+    filt = spark.sparkContext.broadcast(_wanted(ids))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bits = filt.value
@@ -231,19 +249,17 @@ def verified(docs: DataFrame, pairs: DataFrame, led: DataFrame, frequent, k: int
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], ["id", "tokens"])
 
     source = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    tokens = source.mapInArrow(load, "id long, tokens binary").join(ids, "id", "left_semi")
+    tokens = source.mapInArrow(tidy(load), "id long, tokens binary").join(ids, "id", "left_semi")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                keep.append(passes(s, t, frequent.value))
+            keep = [similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair)) for pair in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     one = pairs.join(tokens.select(F.col("id").alias("x"), F.col("tokens").alias("s")), "x")
     two = one.join(tokens.select(F.col("id").alias("y"), F.col("tokens").alias("t")), "y")
-    return two.select("x", "y", "s", "t").mapInArrow(check, "x long, y long")
+    with batches_of(spark, PAIRS):
+        return cut(two.select("x", "y", "s", "t").mapInArrow(tidy(check), "x long, y long"))
 
 
 def similar(s: np.ndarray, t: np.ndarray) -> bool:
@@ -251,16 +267,6 @@ def similar(s: np.ndarray, t: np.ndarray) -> bool:
     return 100 * both >= 80 * (len(s) + len(t) - both)
 
 
-def passes(s: np.ndarray, t: np.ndarray, frequent) -> bool:
-    """All filters but the first, which made the pair, and then the similarity itself."""
-    if 5 * min(len(s), len(t)) < 4 * max(len(s), len(t)):
-        return False
-    for order in range(1, ORDERS):
-        if not np.isin(leading(s, order, frequent), leading(t, order, frequent)).any():
-            return False
-    return similar(s, t)
-
-
 def similar_groups(docs: DataFrame, k: int = K) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
@@ -270,8 +276,9 @@ def similar_groups(docs: DataFrame, k: int = K) -> DataFrame:
     they go in, and rows with one doc_id share its links.  Other columns aren't read.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    profile = cut(profiles(docs, k))
+    docs, stored = docs.select("doc_id", "text"), Stored(docs.sparkSession)
+    with batches_of(spark, TEXTS):
+        profile = cut(profiles(docs, k))
     rows = profile.where("n is not null").select("doc_id", "n", "a", "b")
     top = profile.where("seen is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(FREQUENT).collect()
     hashes, counts = np.array([r["token"] for r in top], np.int64).view(np.uint64), np.array([r["seen"] for r in top], np.int64)
@@ -282,37 +289,41 @@ def similar_groups(docs: DataFrame, k: int = K) -> DataFrame:
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             ids, n, rare, tokens, bits = [], [], [], [], []
+            prefixes: list[list[np.ndarray]] = [[] for _ in PREFIXES]
             for doc_id, s in zip(batch.column(0).to_pylist(), sets(batch, 1, k), strict=True):
                 if len(s) and doc_id is not None:
                     ids.append(doc_id)
                     n.append(len(s))
-                    rare.append(float((counted(s, frequent.value) == 0).mean()))
+                    rare.append(int(4096 * (counted(s, frequent.value) == 0).mean()))
                     tokens.append(leading(s, 0, frequent.value).view(np.int64))
+                    for i, p in enumerate(prefixes, 1):
+                        p.append((leading(s, i, frequent.value) >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     bits.append(parity(s))
-            arrays = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(rare, pa.float64()), pa.array(tokens, pa.list_(pa.int64()))]
+            arrays = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(rare, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), *(pa.array(p, pa.list_(pa.int32())) for p in prefixes)]
             words = np.array([folded(b, 8 * SIGNS) for b in bits], np.uint8).reshape(-1, 8 * SIGNS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([b.tobytes() for b in bits], pa.binary()), *(pa.array(words[:, i]) for i in range(SIGNS))], ["doc_id", "n", "rare", "tokens", "bits", *SIGN_NAMES])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([b.tobytes() for b in bits], pa.binary()), *(pa.array(words[:, i]) for i in range(SIGNS))], ["doc_id", "n", "rare", "tokens", *PREFIXES, "bits", *SIGN_NAMES])
 
-    schema = "doc_id long, n long, rare double, tokens array<long>, bits binary, " + ", ".join(f"{c} long" for c in SIGN_NAMES)
-    led = _stored(docs.mapInArrow(lead, schema).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "leading")
+    schema = "doc_id long, n long, rare int, tokens array<long>, " + ", ".join([*(f"{c} array<int>" for c in PREFIXES), "bits binary", *(f"{c} long" for c in SIGN_NAMES)])
+    with batches_of(spark, TEXTS):
+        led = stored.put(docs.mapInArrow(tidy(lead), schema).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "leading")
     # short: among the first ninth, which is enough for the smaller set of a pair
     exploded = led.select("doc_id", "n", "rare", F.posexplode("tokens").alias("pos", "token")).select("token", "doc_id", "n", "rare", F.expr("pos <= n - ceil(8 * n / 9)").alias("short"))
     # Centres are aggregated before the shuffle and written, so that the join can split the group of a frequent token.
-    centre = F.min(F.struct("rare", F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("id"), F.col("n").alias("n")))
+    centre = F.min(F.struct("rare", F.col("doc_id").alias("id"), F.col("n").alias("n")))
     centres = exploded.groupBy("token").agg(centre.alias("centre"), F.count("*").alias("members")).where("members > 1")
-    centres = _stored(centres.select("token", F.col("centre.id").alias("c"), F.col("centre.n").alias("m")), "centres")
-    groups = _stored(exploded.drop("rare").join(centres, "token"), "groups")
+    centres = stored.put(centres.select("token", F.col("centre.id").alias("c"), F.col("centre.n").alias("m")), "centres")
+    groups = stored.put(exploded.drop("rare").join(centres, "token"), "groups")
     met = groups.where("c <> doc_id and 5 * least(n, m) >= 4 * greatest(n, m)").groupBy("doc_id", "c").count()
     star = met.groupBy("doc_id").agg(F.max_by("c", F.struct("count", -F.col("c"))).alias("c")).select(F.least("doc_id", "c").alias("x"), F.greatest("doc_id", "c").alias("y")).distinct()
     star = cut(star)
-    found = cut(verified(docs, star, led, frequent, k))
+    found = verified(docs, star, led, k)
     part = components(found)
     # What is left: groups with more than one component.
     held = groups.select("token", "doc_id", "n", "short").join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     per = held.groupBy("token", "component").agg(F.count("*").alias("c"))
     mixed = per.groupBy("token").agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("c", "component")).alias("largest")).where("kinds > 1")
-    mixed = _stored(mixed.select("token", "largest"), "mixed")
-    left = _stored(held.join(mixed, "token").join(led.select("doc_id", *SIGN_NAMES), "doc_id"), "left")
+    mixed = stored.put(mixed.select("token", "largest"), "mixed")
+    left = stored.put(held.join(mixed, "token").join(led.select("doc_id", *SIGN_NAMES), "doc_id"), "left")
     small, every = left.where("component <> largest").alias("p"), left.alias("q")
     differ = " + ".join(f"bit_count(p.{c} ^ q.{c})" for c in SIGN_NAMES)
     fits = (
@@ -322,9 +333,10 @@ def similar_groups(docs: DataFrame, k: int = K) -> DataFrame:
     rest = small.join(every, F.expr(fits)).select(F.expr("least(p.doc_id, q.doc_id)").alias("x"), F.expr("greatest(p.doc_id, q.doc_id)").alias("y")).distinct()
     rest = cut(rest.join(star, ["x", "y"], "left_anti"))
     if not rest.isEmpty():
-        more = cut(verified(docs, rest, led, frequent, k))
+        more = verified(docs, rest, led, k)
         if not more.isEmpty():
             part = components(found.union(more))
+    stored.drop()
     named = classes.join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component"))
     out = rows.join(named, ["n", "a", "b"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import Splitter, code_points
-from quire.llm.shared import cut
+from quire.llm.shared import cut, tidy
 from quire.llm.text import mix, slices, _powers
 
 CAPACITY = 2048
@@ -127,7 +127,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0,
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 18):
             docs = enc.documents([x or "" for x in batch.column(1).to_pylist()])
             rows: list[tuple] = []
             kept: list[np.ndarray] = []
@@ -147,7 +147,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0,
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return df.select("doc_id", "text").mapInArrow(kernel, PIECES + (", ids array<int>" if keep_ids else ""))
+    return df.select("doc_id", "text").mapInArrow(tidy(kernel), PIECES + (", ids array<int>" if keep_ids else ""))
 
 
 class BestFit:
@@ -202,7 +202,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS)
     keys = ["doc_id", "piece", "start", "ids_crc32"]
     schema = items.schema.add("sequence_id", "long").add("offset", "long")
     dealt = items.repartition(tasks, F.xxhash64(*keys)).sortWithinPartitions(F.desc("length"), *keys)
-    return dealt.mapInPandas(kernel, schema)
+    return dealt.mapInPandas(tidy(kernel), schema)
 
 
 def pack_documents(df: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

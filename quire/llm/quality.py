@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import held_out, training_ids
+from quire.llm.shared import held_out, tidy, training_ids
 from quire.llm.text import LETTERS, NOT_SPACE, slices, utf8, words
 
 #: Labelled texts in the vote at most; dimensions of the latent space; neighbours that vote.
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Voters:
                 own = [r.astype(np.float16).tobytes() for r in features(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(own, pa.binary())], ["doc_id", "label", "x"])
 
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "label").mapInArrow(kernel, "doc_id long, label int, x binary")
+    rows = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "label").mapInArrow(tidy(kernel), "doc_id long, label int, x binary")
     got = sorted(rows.groupBy("doc_id", "label").agg(F.min("x").alias("x")).collect(), key=lambda r: r["doc_id"])
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, CELLS), np.float32)
     return train(x, np.array([r["label"] for r in got]))
@@ -139,7 +139,7 @@ def score(docs: DataFrame, voters: Voters, threshold: float = THRESHOLD) -> Data
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1)))], ["doc_id", "score"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(kernel, "doc_id long, score double")
+    rows = docs.select("doc_id", "text").mapInArrow(tidy(kernel), "doc_id long, score double")
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -152,4 +152,4 @@ def keep_good(docs: DataFrame, voters: Voters, threshold: float = THRESHOLD) ->
             s = shared.value.scores(batch.column(batch.schema.get_field_index("text")))
             yield batch.filter(pa.array(s >= threshold))
 
-    return docs.mapInArrow(kernel, docs.schema)
+    return docs.mapInArrow(tidy(kernel), docs.schema)

@@ -13,9 +13,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at a time; bounds the memory of the 8-byte arrays.
-STEP = 1 << 20
+STEP = 1 << 18
 #: Text bytes of the rows that a kernel sees at once (one longer text comes alone).
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _VALUES = _rng.integers(1, 2**64, 256, dtype=np.uint64)

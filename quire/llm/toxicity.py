@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import cut, held_out, training_ids
+from quire.llm.shared import cut, held_out, tidy, training_ids
 from quire.llm.text import LETTERS, slices, utf8, words
 
 #: Labelled texts used for training at most, and words of them in all.
@@ -244,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
             own = [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own, pa.binary())], ["doc_id", "label", "words"])
 
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "label").mapInArrow(kernel, "doc_id long, label int, words binary")
+    rows = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "label").mapInArrow(tidy(kernel), "doc_id long, label int, words binary")
     rows = cut(rows.groupBy("doc_id", "label").agg(F.min("words").alias("words")))
     order = sorted(rows.select("doc_id", F.expr("octet_length(words) div 8").alias("n")).collect(), key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFF, r["doc_id"]))
     keep = [r["doc_id"] for r, fits in zip(order, fitting([r["n"] for r in order], SAMPLE_WORDS), strict=True) if fits]
@@ -273,7 +273,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
             s = _batch_scores(shared.value, batch, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], ["doc_id", "score"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(kernel, "doc_id long, score double")
+    rows = docs.select("doc_id", "text").mapInArrow(tidy(kernel), "doc_id long, score double")
     return rows.select("doc_id", held_out().alias("held_out"), "score", F.expr("cast(score >= 0.5 as int)").alias("predicted"))
 
 
@@ -285,4 +285,4 @@ def keep_clean(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFra
         for batch in slices(batches, "text"):
             yield batch.filter(pa.array(_batch_scores(shared.value, batch, batch.schema.get_field_index("text")) < threshold))
 
-    return docs.mapInArrow(kernel, docs.schema)
+    return docs.mapInArrow(tidy(kernel), docs.schema)
