@@ -8,11 +8,12 @@ together with the pre-token that is being read.  Two prefixes with the same set
 state, so states are few and are compiled when first reached; the table is rebuilt when it
 outgrows ``MAX_STATES``.
 
-Texts are cut into chunks of ``CHUNK`` bytes that run side by side, one table lookup for all
-chunks per byte.  A chunk's map from entry state to (exit state, count) is constant from its
-first white space on, since white space leads to the start state: chunks are run from there,
-a prefix scan finds for every chunk the last constant map before it, and the stretches in
-between run from the state that it leaves.
+Texts are cut into chunks of ``CHUNK`` bytes, and each chunk becomes a map from entry state to
+(exit state, count).  All chunks run side by side, one table lookup for all of them per byte.
+A map is kept for the entry states that can arise: first the one that the ``LOOK`` bytes
+before the chunk lead to, then, until nothing is missing, every exit of the chunk before.
+States forget what lies further back, so maps stay small.  A prefix scan composes the maps by
+doubling, which gives each chunk's true entry state and count with or without white space.
 """
 
 from __future__ import annotations
@@ -25,10 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quire.llm.bpe import LETTER, NUMBER, OTHER, SPACE, Splitter, code_points
+from quire.llm.shared import tidy
 from quire.llm.text import slices
 
-CHUNK = 256
-MAX_STATES = 400_000
+CHUNK, LOOK = 256, 32
+#: Bytes of the chunks that are mapped at a time, which bounds the states that come new meanwhile.
+GROUP = 1 << 18
+#: States, and pairs of tokens known to fit, beyond which the table is compiled anew.
+MAX_STATES, MAX_PAIRS = 400_000, 1_000_000
 END = "</w>"
 
 
@@ -116,6 +121,7 @@ class Transducer:
         self.splitter = Splitter(path)
         self.merges = Merges(path)
         self.chars = byte_symbols()
+        self.ascii_kinds = (self.splitter.kinds(np.arange(128, dtype=np.uint32)) & 3).tolist()
         self.column = np.zeros(1024, np.int32)  # symbol to table column
         self.columns = 1
         self.clear()
@@ -167,7 +173,7 @@ class Transducer:
             return NUMBER
         if symbol >= 128:
             return LETTER
-        return int(self.splitter.kinds(np.array([symbol], np.uint32))[0] & 3)
+        return self.ascii_kinds[symbol]
 
     def _finish(self, places: tuple, pending: int) -> int:
         return self.merges.step(places, self.chars[pending] + END)[1]
@@ -220,13 +226,17 @@ class Transducer:
         for pair in np.unique(states.astype(np.int64) * 1024 + columns):
             s, c = divmod(int(pair), 1024)
             to, n = self._go(self.states[s], int(self.by_column[c - 1]))
-            k = self.ids.get(to)
-            if k is None:
-                k = self.ids[to] = len(self.states)
-                self.states.append(to)
-                self._room(k, c)
+            k = self._number(to, c)
             self.next[s, c], self.emit[s, c] = k, n
 
+    def _number(self, state: tuple, column: int) -> int:
+        k = self.ids.get(state)
+        if k is None:
+            k = self.ids[state] = len(self.states)
+            self.states.append(state)
+            self._room(k, column)
+        return k
+
     def run(self, cols: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Run lanes (start, size) of the column sequence from their states: (end state, tokens)."""
         order = np.argsort(-size, kind="stable")
@@ -251,44 +261,65 @@ class Transducer:
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each normalised text without special strings."""
-        if len(self.states) > MAX_STATES:
-            self.clear()
         texts = [t + " " for t in texts]  # every text ends between pre-tokens
         points, _ = code_points(texts)
-        raw = "".join(texts).encode("utf-8", "surrogatepass")
-        data = np.frombuffer(raw, np.uint8)
-        offsets = np.zeros(len(texts) + 1, np.int64)
-        ends = np.cumsum([len(t) for t in texts])
-        leads = np.flatnonzero((data & 0xC0) != 0x80)
-        offsets[1:] = np.append(leads, len(data))[ends]
+        data = np.frombuffer("".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
+        leads = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        offsets = np.append(0, leads[np.cumsum([len(t) for t in texts], dtype=np.int64)])
         cols = self.symbols(points, data)
-        chunks = np.arange(0, len(data), CHUNK)
-        upto = np.append(chunks[1:], len(data))
-        spaces = np.flatnonzero(cols == self.column[32])
-        first = np.append(spaces, len(data))[np.searchsorted(spaces, chunks)]  # first white space at or after the chunk's start
-        constant = first < upto
-        chunks, upto, first = chunks[constant], upto[constant], first[constant]  # a chunk without one joins those before it
-        # The constant part of each map, from the start state; it ends at the next chunk's beginning.
-        state, tail = self.run(cols, first + 1, upto - first - 1, np.zeros(len(chunks), np.int32))
-        # The rest: from the exit state of the last constant map through to the next white space.
-        entry = np.concatenate([np.zeros(1, np.int32), state])[:-1]
-        begin = np.concatenate([np.zeros(1, np.int64), upto])[:-1]
-        _, head = self.run(cols, begin, first + 1 - begin, entry)
-        # Tokens up to each place follow from the sums; texts end at white space, so their shares are read off there.
-        marks = self._marks(cols, chunks, upto, first, begin, entry, tail, head, offsets)
-        return np.diff(marks)
-
-    def _marks(self, cols, chunks, upto, first, begin, entry, tail, head, offsets) -> np.ndarray:
-        """Tokens before each offset, from the scan of the chunk maps and one more run within a chunk."""
-        done = np.concatenate([np.zeros(1, np.int64), np.cumsum(head + tail)])
-        k = np.searchsorted(begin, offsets, "right") - 1
-        k = np.minimum(k, len(begin) - 1)
-        in_head = offsets <= first[k] + 1
-        base = done[k] + np.where(in_head, 0, head[k])
-        start = np.where(in_head, begin[k], first[k] + 1)
-        size = offsets - start
-        _, extra = self.run(cols, start, size, np.where(in_head, entry[k], 0).astype(np.int32))
-        return base + extra
+        # Chunks begin at every text's beginning, and every CHUNK bytes within it.
+        per = -(-np.diff(offsets) // CHUNK)
+        owner = np.repeat(np.arange(len(texts)), per)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+        begin = offsets[owner] + nth * CHUNK
+        size = np.minimum(begin + CHUNK, offsets[owner + 1]) - begin
+        out = np.zeros(len(texts), np.int64)
+        state, at = 0, 0
+        while at < len(begin):  # in groups; the state at a group's end is carried over
+            if len(self.states) > MAX_STATES:
+                state = self.restart(state)
+            to = max(at + 1, int(np.searchsorted(begin, begin[at] + GROUP)))
+            tokens, state = self.scan(cols, begin[at:to], size[at:to], nth[at:to] == 0, state)
+            out += np.bincount(owner[at:to], tokens, len(texts)).astype(np.int64)
+            at = to
+        return out
+
+    def restart(self, state: int) -> int:
+        """Forgets the table but for one state; its new number."""
+        kept = self.states[state]
+        self.clear()
+        if len(self.merges.fits) > MAX_PAIRS:
+            self.merges.fits.clear()
+        return self._number(kept, 0)
+
+    def scan(self, cols: np.ndarray, begin: np.ndarray, size: np.ndarray, fresh: np.ndarray, state: int) -> tuple[np.ndarray, int]:
+        """(tokens of each chunk, state after the last) of chunks in a row, ``state`` before the first; ``fresh`` ones begin a text."""
+        n = len(begin)
+        back = np.where(fresh, 0, LOOK)
+        entry, _ = self.run(cols, begin - back, back, np.zeros(n, np.int32))
+        entry[0] = state
+        # The maps as rows (chunk, entry state, exit state, count), in order; one of each pair.
+        key, exits, counts = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        new = np.arange(n, dtype=np.int64) << 32 | entry
+        while len(new):
+            chunk = new >> 32
+            end, tokens = self.run(cols, begin[chunk], size[chunk], (new & 0xFFFFFFFF).astype(np.int32))
+            key, exits, counts = np.concatenate([key, new]), np.concatenate([exits, end]), np.concatenate([counts, tokens])
+            follow = (chunk + 1) << 32 | end
+            new = np.setdiff1d(follow[chunk + 1 < n], key)
+        order = np.argsort(key)
+        key, exits, counts = key[order], exits[order], counts[order]
+        follow = ((key >> 32) + 1) << 32 | exits
+        jump = np.minimum(np.searchsorted(key, follow), len(key) - 1)  # rows of the last chunk lead nowhere and aren't followed
+        row = np.full(n, np.searchsorted(key, state))
+        # Composition by doubling: jump leads over 1, 2, 4 ... chunks at once.
+        left = np.arange(n)
+        while left.any():
+            odd = left & 1 == 1
+            row[odd] = jump[row[odd]]
+            jump = jump[jump]
+            left >>= 1
+        return counts[row], int(exits[row[-1]])
 
 
 _compiled: dict[str, Transducer] = {}
@@ -310,7 +341,7 @@ def count_tokens(df: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             parts, owner, extra = [], [], np.zeros(len(texts), np.int64)
             for i, x in enumerate(texts):
@@ -325,4 +356,4 @@ def count_tokens(df: DataFrame, path: str, limit: int = 2048) -> DataFrame:
             sizes = [len(x) if x.isascii() else len(x.encode()) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(extra), pa.array(extra > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return df.select("doc_id", "text").mapInArrow(kernel, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return df.select("doc_id", "text").mapInArrow(tidy(kernel), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
