@@ -3,9 +3,9 @@
 Tokenizing is a map over documents.  Its words are looked up by their hash in a table of the
 ids that the tokenizers library gave for each distinct pre-token, so the library encodes
 every pre-token once a worker.  The pieces (no text, no ids unless asked for) are dealt out
-evenly and packed task by task: a fixed number of open bins, kept by free space in a bitset
-from which the tightest bin that fits is read as the lowest set bit; if none fits and all
-bins are taken, the fullest is closed.  Each task sees its pieces longest first.
+evenly and packed online, task by task, in an order that has nothing to do with their length:
+a fixed number of open bins, kept by free space in a bitset from which the tightest bin that
+fits is read as the lowest set bit; if none fits and all bins are taken, the fullest is closed.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from quire.llm.shared import cut, tidy
 from quire.llm.text import mix, slices, _powers
 
 CAPACITY = 2048
-#: Open bins of a task; pieces dealt to a task on average, below that number.
-OPEN_BINS = 65_536
+#: Open bins of a task, whatever it is dealt; pieces dealt to a task on average.
+OPEN_BINS = 64
 PIECES_PER_TASK = 40_000
 #: Distinct pre-tokens whose ids a worker remembers.
 REMEMBERED = 2_000_000
@@ -188,8 +188,9 @@ class BestFit:
 def pack(items: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """Adds (sequence_id long, offset long) to items with a ``length`` from 1 to ``capacity``.
 
-    ``items`` should be materialised, since it is counted first: pieces are dealt to so many
-    tasks that each gets about ``PIECES_PER_TASK``.  An empty table gives an empty result.
+    ``items`` should be materialised, since it is counted first: pieces are dealt in turn, so
+    that equal rows spread as well, to so many tasks that each gets about ``PIECES_PER_TASK``.
+    They arrive by a hash of their keys.  An empty table gives an empty result.
     """
     tasks = max(1, -(-items.count() // PIECES_PER_TASK))
 
@@ -201,7 +202,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS)
 
     keys = ["doc_id", "piece", "start", "ids_crc32"]
     schema = items.schema.add("sequence_id", "long").add("offset", "long")
-    dealt = items.repartition(tasks, F.xxhash64(*keys)).sortWithinPartitions(F.desc("length"), *keys)
+    dealt = items.repartition(tasks).sortWithinPartitions(F.xxhash64(*keys), *keys)
     return dealt.mapInPandas(tidy(kernel), schema)
 
 
