@@ -84,13 +84,20 @@ class Voters:
             if not len(self.labels):
                 out.append(np.full(min(block, len(column) - at), self.share))
                 continue
-            like = self.project(features(column.slice(at, block))) @ self.vectors.T
-            k = min(NEIGHBOURS, like.shape[1])
-            near = np.argpartition(-like, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(like, near, axis=1), 1e-3) ** SHARPNESS
-            out.append((w * self.labels[near]).sum(axis=1) / w.sum(axis=1))
+            x = self.project(features(column.slice(at, block)))
+            voted = self.vote(x @ self.vectors.T)
+            out.append(np.where(x.any(axis=1), voted, self.share))
         return np.clip(np.concatenate([np.zeros(0), *out]).astype(np.float64), 0, 1)
 
+    def vote(self, like: np.ndarray) -> np.ndarray:
+        """Weighted share of label 1 among the most similar voters of each row; of equally similar ones the first in order."""
+        k = min(NEIGHBOURS, like.shape[1])
+        least = np.partition(like, like.shape[1] - k, axis=1)[:, -k, None]
+        above, level = like > least, like == least
+        take = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+        w = np.where(take, np.maximum(like, 1e-3) ** SHARPNESS, 0)
+        return (w @ self.labels) / w.sum(axis=1)
+
 
 def train(x: np.ndarray, labels: np.ndarray, seed: int = 5) -> Voters:
     """The latent space of the sample (randomised SVD with power steps) and its vectors."""
@@ -130,8 +137,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Voters:
 def score(docs: DataFrame, voters: Voters, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; texts are read whole.
 
-    Null and empty texts are the vote on a text without any feature (all similarities 0: the
-    plain vote of some voters).  Repeated rows each get their row; other columns aren't read.
+    Null and empty texts, like any text without a feature of the latent space, get the voters'
+    share of label 1, and without voters 0.5.  Voters are in the order of their doc_id, which
+    settles ties for the last neighbour.  Repeated rows each get their row; other columns aren't
+    read; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(voters)
 
@@ -144,7 +153,11 @@ def score(docs: DataFrame, voters: Voters, threshold: float = THRESHOLD) -> Data
 
 
 def keep_good(docs: DataFrame, voters: Voters, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows with a score of at least ``threshold``, columns as they are; a filter where the rows lie."""
+    """The rows with a score of at least ``threshold``, columns as they are; a filter where the rows lie.
+
+    Scores are those of ``score``, so null and empty texts stay if the voters' share reaches the
+    threshold; repeated rows are decided alike, whatever else their columns hold.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(voters)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
