@@ -19,6 +19,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.shared import tidy
+
 #: Reserved ids above the vocabulary, and how they are written out.
 START, END = 50257, 50258
 WRITTEN = {START: "<|im_start|>", END: "<|im_end|>"}
@@ -77,6 +79,22 @@ def read_turns(text: str) -> list[tuple[str, str]]:
     return [(_role_of(m[1]), unescape(m[2])) for m in TURN.finditer(text)]
 
 
+#: Rows and bytes of a batch that are Python objects at a time; one longer turn comes alone.
+ROWS, BYTES = 512, 1 << 20
+
+
+def cut_by_size(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``ROWS`` rows and, but for single rows, about ``BYTES`` bytes."""
+    todo = [batch.slice(at, ROWS) for at in range(batch.num_rows - batch.num_rows % ROWS, -1, -ROWS)]
+    while todo:
+        part = todo.pop()
+        if part.num_rows > 1 and part.nbytes > BYTES:
+            half = part.num_rows // 2
+            todo += [part.slice(half), part.slice(0, half)]
+        elif part.num_rows:
+            yield part
+
+
 FORMATTED = "conv_id long, turn long, role string, text string, ids array<int>, loss_from int, loss_to int"
 
 
@@ -90,8 +108,7 @@ def format_turns(conversations: DataFrame, path: str, pattern: str) -> DataFrame
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in cut_by_size(batch):
                 ids, begin, end = [], [], []
                 for role, text in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     own, mask = assemble(role or "", text or "", enc)
@@ -102,7 +119,7 @@ def format_turns(conversations: DataFrame, path: str, pattern: str) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], ["conv_id", "turn", "role", "text", "ids", "loss_from", "loss_to"])
 
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    return rows.mapInArrow(kernel, FORMATTED)
+    return rows.mapInArrow(tidy(kernel), FORMATTED)
 
 
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -120,8 +137,7 @@ def read_back(formatted: DataFrame, path: str, pattern: str) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in cut_by_size(batch):
                 roles, texts, losses, chars = [], [], [], []
                 for ids, a, b in zip(part.column(2), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
                     own = ids.values.to_numpy()
@@ -137,7 +153,7 @@ def read_back(formatted: DataFrame, path: str, pattern: str) -> DataFrame:
         current: object = digest
         turns = loss = None
         n = lost = chars = 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in cut_by_size(whole)):
             done = []
             for conv, role, text, own, size in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4, 5)), strict=True):
                 if conv != current:
@@ -156,5 +172,5 @@ def read_back(formatted: DataFrame, path: str, pattern: str) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in READ.split(", ")])
 
-    rows = formatted.select("conv_id", "turn", "ids", "loss_from", "loss_to").mapInArrow(parse, "conv_id long, turn long, role string, text string, loss string, chars long")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(digest, READ)
+    rows = formatted.select("conv_id", "turn", "ids", "loss_from", "loss_to").mapInArrow(tidy(parse), "conv_id long, turn long, role string, text string, loss string, chars long")
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(tidy(digest), READ)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.shared import cut, fresh_folder
+from quire.llm.shared import cut, fresh_folder, tidy
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 #: Bytes of records after which a new package begins; rows of one at most.
@@ -120,12 +120,13 @@ def write_packages(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
         for p, rows, size in done:
             yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([rows], pa.int64()), pa.array([size], pa.int64())], ["path", "rows", "size"])
 
-    return cut(planned(pages, least).mapInArrow(kernel, "path string, rows long, size long"))
+    return cut(planned(pages, least).mapInArrow(tidy(kernel), "path string, rows long, size long"))
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-    for at in range(0, batch.num_rows, 64):
-        yield from zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True)
+    """The rows as tuples, one at a time as Python objects."""
+    for at in range(batch.num_rows):
+        yield tuple(c[at].as_py() for c in batch.columns)
 
 
 def _extra64(extra: bytes, fields: list[int], wide: list[int]) -> list[int]:
@@ -224,7 +225,7 @@ def read_packages(packages: DataFrame, folder: str) -> DataFrame:
                         yield _found(rows)
 
     spread = packages.select("path").repartition(max(1, min(10_000, packages.count())), F.xxhash64("path"))
-    return spread.mapInArrow(kernel, FOUND)
+    return spread.mapInArrow(tidy(kernel), FOUND)
 
 
 def _found(rows: list[tuple]) -> pa.RecordBatch:
