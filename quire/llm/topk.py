@@ -162,6 +162,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             for row in range(batch.num_rows):
                 q_ids, q, floor, ids, x = (np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in enumerate((np.int64, float, float, np.int64, float)))
                 q, x = q.reshape(-1, width), x.reshape(-1, width)
+                norm = np.sqrt((q * q).sum(axis=1))
+                if (norm * batch.column(5)[row].as_py() * (1 + 1e-9) < floor).all():
+                    continue  # the block's longest vector can't reach any query's threshold
                 qr, xr = q @ axes, x @ axes
                 rest = np.sqrt((qr[:, lead:] ** 2).sum(axis=1))[:, None] * np.sqrt((xr[:, lead:] ** 2).sum(axis=1))[None, :]
                 bound = qr[:, :lead] @ xr[:, :lead].T + rest
@@ -181,7 +184,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 who = np.concatenate(who)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[who]), pa.array(who), pa.array(np.concatenate(which)), pa.array(np.concatenate(value))], ["query_id", "place", "vec_id", "score"])
 
-    met = sent.join(blocks.select("group", "ids", "v"), "group").select("q_ids", "q", "floors", "ids", "v")
+    met = sent.join(blocks.select("group", "ids", "v", "longest"), "group").select("q_ids", "q", "floors", "ids", "v", "longest")
     found = _small_batches(spark, met, meet, "query_id long, place long, vec_id long, score long")
     order = Window.partitionBy("query_id", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
