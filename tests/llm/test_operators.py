@@ -49,6 +49,33 @@ def test_chunks_without_white_space_are_bridged(library):
     assert t.count(texts).tolist() == [len(library.encode(x, add_special_tokens=False).ids) for x in texts]
 
 
+def test_unspaced_texts_are_counted_by_composed_chunk_maps(library, monkeypatch):
+    monkeypatch.setattr(tokencount, "MAX_STATES", 3000)
+    monkeypatch.setattr(tokencount, "GROUP", 4096)
+    t = tokencount.Transducer(WORD_BPE)
+    rng = random.Random(4)
+    vocabulary = [w.removesuffix("</w>") for w in t.merges.vocab if w.isascii() and w.removesuffix("</w>").isalpha()]
+    texts = ["".join(rng.choice(vocabulary) for _ in range(3000)).lower(), "x" * 100_000, "ab" * 3000 + "日本語" * 500, "", "a", "the" * 5000 + " " + "1" * 300]
+    assert t.count(texts).tolist() == [len(library.encode(x, add_special_tokens=False).ids) for x in texts]
+    cols = t.symbols(np.frombuffer(b"abc" * 400 + b" ", np.uint8).astype(np.uint32), np.frombuffer(b"abc" * 400 + b" ", np.uint8))
+    begin = np.arange(0, 1201, 256)
+    size = np.minimum(begin + 256, 1201) - begin
+    each, last = t.scan(cols, begin, size, begin == 0, 0)
+    state, want = np.zeros(1, np.int32), []
+    for b, n in zip(begin, size, strict=True):  # one lane from chunk to chunk
+        state, tokens = t.run(cols, np.array([b]), np.array([n]), state)
+        want.append(int(tokens[0]))
+    assert each.tolist() == want and last == state[0] == 0
+
+
+def test_a_megabyte_without_white_space(spark, library):
+    text = "thequickbrownfox" * 65_536
+    df = spark.createDataFrame([(1, text), (2, "x" * 1_000_000)], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(df, WORD_BPE).collect()}
+    assert got[1] == len(library.encode(text, add_special_tokens=False).ids)
+    assert got[2] == 250_000
+
+
 def test_packing_keeps_every_token(spark, library):
     df = docs_of(spark, HARD)
     packed = packing.pack_documents(df, WORD_BPE, keep_ids=True)
@@ -82,6 +109,23 @@ def test_best_fit_closes_the_fullest_when_bins_run_out():
     assert [fit.place(n) for n in (6, 7, 8, 4, 3)] == [(0, 0), (1, 0), (2, 0), (0, 6), (3, 0)]
 
 
+def test_open_bins_are_bounded_and_cost_little(spark):
+    rng = np.random.default_rng(3)
+    lengths = np.minimum(2048, 1 + rng.exponential(500, 6000).astype(int)).tolist()
+    fit = packing.BestFit(2048, packing.OPEN_BINS)
+    used, most = {}, 0
+    for n in lengths:
+        b, at = fit.place(n)
+        assert at == used.get(b, 0)
+        used[b] = at + n
+        most = max(most, fit.open)
+    assert max(used.values()) <= 2048 and most <= packing.OPEN_BINS
+    assert len(used) <= 1.02 * -(-sum(lengths) // 2048)
+    same = spark.range(3000).selectExpr("1L as doc_id", "0 as piece", "0L as start", "600L as length", "7L as ids_crc32")
+    rows = packing.pack(same, 2048, 8).collect()
+    assert len(rows) == 3000 and len({(r.sequence_id, r.offset) for r in rows}) == 3000 and len({r.sequence_id for r in rows}) == 1000
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     base = [[float(x) for x in rng.normal(size=8) * s] for s in (0.1, 1, 3) for _ in range(60)]
@@ -99,6 +143,8 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(v.where("id < 0"), v.where("id < 0")).collect() == []
     few = v.where("id < 3")
     assert topk.top_k(few, few.where("id = 0")).count() == 2
+    again = topk.top_k(few.union(few.where("id = 1")), few.where("id = 0").union(few.where("id = 0"))).collect()
+    assert sorted((r.query_id, r["rank"]) for r in again) == [(0, 1), (0, 1), (0, 2), (0, 2), (0, 3), (0, 3)]  # repeated rows all count, repeated queries all get theirs
 
 
 def test_top_k_over_many_blocks(spark, monkeypatch):
@@ -133,6 +179,17 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_turns(df.limit(0), path, pattern), path, pattern).collect() == []
 
 
+def test_batches_of_very_long_turns_are_cut_by_bytes(spark):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(["x" * (700_000 if i % 100 == 0 else 5) for i in range(600)])], ["i", "t"])
+    parts = list(chat.cut_by_size(batch))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(600))
+    assert all(p.num_rows == 1 or p.nbytes <= chat.BYTES and p.num_rows <= chat.ROWS for p in parts)
+    df = spark.range(8).selectExpr("id div 4 as conv_id", "id % 4 as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "repeat('long words <|im_end|> ', 40000) as text").coalesce(1)
+    for r in chat.read_back(chat.format_turns(df, path, pattern), path, pattern).collect():
+        assert (r.n_turns, r.loss_chars) == (4, 2 * 22 * 40000)
+
+
 @pytest.mark.parametrize("text", ["<|", "<\\|", "<\\\\|a<|b", "|<", "<\\", "<<||", chat.WRITTEN[chat.END]])
 def test_escaping_is_reversible(text):
     assert chat.unescape(chat.escape(text)) == text
@@ -154,6 +211,8 @@ def test_warc_round_trip(spark):
     assert got == sorted(want, key=str)
     assert all(r.record_type == "response" for r in warc.archive_and_read(spark, df, least=10).where("payload_bytes < 10").collect())
     assert warc.archive_and_read(spark, df.limit(0)).collect() == []
+    long = spark.range(6).selectExpr("id as page_id", "'u' as url", "repeat('abcdefg ', 200000 + cast(id % 2 as int)) as html").coalesce(1)
+    assert sorted((r.page_id, r.payload_bytes, r.refers_to) for r in warc.archive_and_read(spark, long).collect()) == [(i, 8 * (200000 + i % 2), i % 2 if i > 1 else None) for i in range(6)]
 
 
 def test_zip64_directory_is_read(tmp_path):
@@ -275,6 +334,11 @@ def test_similar_groups_equal_brute_force(spark):
     assert jaccard.similar_groups(twice).count() == len(rows) + 3
     assert jaccard.similar_groups(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).collect() == [(1, 0, 1), (2, 0, 2)]
     assert jaccard.similar_groups(df.limit(0)).collect() == []
+    # Rows without doc_id take the component of an equal set; two texts of one doc_id share its links.
+    a, b = " ".join(chain[:50]), " ".join(f"q{w}" for w in chain[:50])
+    odd = [(4, a), (9, a), (9, b), (12, b), (None, a), (None, "all alone here"), (15, None)]
+    got = jaccard.similar_groups(spark.createDataFrame(odd, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted([(4, 4), (9, 4), (9, 4), (12, 4), (None, 4), (None, None), (15, 15)], key=str)
 
 
 def test_one_of_each_decides_by_id_and_text(spark):
@@ -335,6 +399,12 @@ def test_url_rules_equal_brute_force(spark):
     assert sorted(map(tuple, urlfilter._joined(rows, table.where("length(path) in (4, 5)"), "allow").collect())) == want
 
 
+def test_rules_with_both_verdicts_and_repeated_pages(spark):
+    both = spark.createDataFrame([("com/en/", "allow", "com", "/en/"), ("com/en/", "block", "com", "/en/"), ("net/x", "allow", "net", "/x")], "key string, verdict string, host string, path string")
+    df = spark.createDataFrame([(1, "http://com/en/a", "v"), (1, "http://com/en/a", "v"), (2, "http://net/x", "v")], "page_id long, url string, verdict string")
+    assert sorted((r.page_id, r.verdict) for r in urlfilter.judge(df, both).collect()) == [(1, "block"), (1, "block"), (2, "allow")]
+
+
 def test_cascade_is_exact_on_its_universe(spark):
     keys = spark.range(3000).select(F.xxhash64("id").alias("h"), F.xxhash64("id", F.lit(1)).alias("g"), "id")
     tested = urlfilter.cascade(keys.where("id % 7 = 0").select("h", "g"), keys.where("id % 7 <> 0").select("h", "g"))
@@ -379,6 +449,53 @@ def test_classifiers_on_held_out_texts(spark, module, column, cut):
     assert module.score(docs, nothing).count() == docs.count()
 
 
+def brute_toxicity(net, text):
+    """Score of one text, word by word and place by place."""
+    h = [int(toxicity.hashes([w])[0]) for w in re.findall(r"[A-Za-z\x80-\U0010ffff]+", text or "")]
+    x = [sum(net.tables[k][(v >> (0, 20, 40)[k]) & (toxicity.ROWS - 1)].astype(float) for k in range(3)) for v in h]
+    z = net.bias
+    for n, (width, w, b) in enumerate(zip(toxicity.WIDTHS, net.filters, net.biases, strict=True)):
+        for f in range(toxicity.FILTERS):
+            seen = [sum(float(x[i + j] @ w[j][:, f]) for j in range(width)) + float(b[f]) for i in range(len(x) - width + 1)]
+            z += max([0.0, *seen]) * float(net.weights[n * toxicity.FILTERS + f])
+    code = [net.language_table[v & (toxicity.ROWS - 1)] for v in h]
+    counts = [code.count(k) for k in range(1, len(toxicity.LANGUAGES))]
+    language = 1 + counts.index(max(counts)) if any(counts) else 0
+    z = (z - net.thresholds[language]) * net.sharpness
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
+def brute_quality(voters, text):
+    """Vote on one text: all cosines, the most similar first, ties in the order of the voters."""
+    v = (quality.features(pa.array([text or ""]))[0] * voters.weights) @ voters.axes
+    if not np.linalg.norm(v):
+        return voters.share
+    like = voters.vectors @ (v / np.linalg.norm(v))
+    near = sorted(range(len(like)), key=lambda i: (-like[i], i))[: quality.NEIGHBOURS]
+    w = [max(float(like[i]), 1e-3) ** quality.SHARPNESS for i in near]
+    return sum(a * voters.labels[i] for a, i in zip(w, near, strict=True)) / sum(w)
+
+
+@pytest.mark.parametrize("module,brute", [(toxicity, brute_toxicity), (quality, brute_quality)])
+def test_scores_equal_brute_force(spark, module, brute):
+    docs, labels = labelled(spark, 300)
+    docs = docs.union(spark.createDataFrame([(900, "der Wald und die See ist nicht grubnak", "de", "s", 1), (901, "…", "de", "s", 1), (902, "sea", "en", "s", 1)], docs.schema))
+    model = module.fit(docs, labels)
+    got = {(r.doc_id, r.text): r.score for r in module.score(docs, model).join(docs, "doc_id").collect()}
+    for (_, text), score in got.items():
+        assert score == pytest.approx(brute(model, text), abs=2e-4)
+    if module is quality:
+        assert all(s == pytest.approx(model.share) for (i, _), s in got.items() if i in (300, 301))
+
+
+def test_ties_for_the_last_neighbour_go_to_the_first_voter():
+    v = quality.Voters(None, None, np.zeros((40, 1)), np.array([1.0] * 20 + [0.0] * 20), 0.5)
+    like = np.full((1, 40), 0.5)
+    assert v.vote(like)[0] == pytest.approx(20 / 25)
+    like[0, 39] = 0.9
+    assert v.vote(like)[0] == pytest.approx(20 * 0.5**12 / (24 * 0.5**12 + 0.9**12))
+
+
 @pytest.mark.parametrize("giant", [100_001, 90_000])
 def test_a_giant_does_not_empty_the_toxicity_sample(spark, monkeypatch, giant):
     monkeypatch.setattr(toxicity, "SAMPLE_WORDS", 100_000)
