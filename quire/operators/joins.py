@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import identity as idn
@@ -29,7 +29,7 @@ def get_objects(tables: dict[str, DataFrame], ids: DataFrame) -> tuple[DataFrame
 
 
 def list_relations(relations: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, direction, from_id, to_id, relation_type, to_section_id) of all edges at the ids."""
+    """(id, direction, from_id, to_id, relation_type, to_section_id) of all edges at the ids, one row each whatever their number."""
     wanted = ids.select("id").distinct()
     cols = ["id", "direction", "from_id", "to_id", "relation_type", "to_section_id"]
     out = relations.join(wanted, F.col("from_id") == F.col("id")).withColumn("direction", F.lit("outgoing")).select(cols)
@@ -37,6 +37,17 @@ def list_relations(relations: DataFrame, ids: DataFrame) -> DataFrame:
     return out.unionByName(into).orderBy("id", "direction", "from_id", "to_id", "relation_type", "to_section_id")
 
 
+def alias_hits(requests: DataFrame, sources: DataFrame) -> DataFrame:
+    """(request_id, n_sources, first_id, n_types, source_type): how many sources, and types of them, share an alias with each request.
+
+    Two least and greatest ids and types tell one from several, so nothing is gathered.
+    """
+    a = requests.select("request_id", F.explode("aliases").alias("alias"))
+    b = sources.select(F.col("id").alias("source_id"), F.col("subtype").alias("source_type"), F.explode("aliases").alias("alias"))
+    several = lambda c: F.when(F.min(c) == F.max(c), 1).otherwise(2)
+    return a.join(b, "alias").groupBy("request_id").agg(several("source_id").alias("n_sources"), F.min("source_id").alias("first_id"), several("source_type").alias("n_types"), F.min("source_type").alias("source_type"))
+
+
 def match_aliases(requests: DataFrame, sources: DataFrame) -> DataFrame:
     """(request_id, source_ids): sources that share an alias with a request; both sides carry ``aliases``."""
     a = requests.select("request_id", F.explode("aliases").alias("alias"))
@@ -56,18 +67,39 @@ def exact_candidates(requests: DataFrame, metadata: DataFrame) -> DataFrame:
     return wish.join(metadata.select("item_key", F.explode(have).alias("alias")), "alias").select("request_id", "item_key").distinct()
 
 
-def _single(items: DataFrame, children: DataFrame, name: str) -> DataFrame:
-    per = children.groupBy("parent_key").agg(F.count("*").alias("n"), F.min("item_key").alias("child"))
-    code = F.when(F.col("n").isNull(), f"{name}_UNAVAILABLE").when(F.col("n") > 1, f"{name}_AMBIGUOUS")
+#: What an attachment brings along, where the children have it.
+CARRIED = ("version", "filename", "size", "sha256")
+
+
+def _single(items: DataFrame, children: DataFrame, eligible: Column, none: str, several: str) -> DataFrame:
+    """(item_key, child_key, code, what is CARRIED): the only eligible attachment of each item."""
+    carried = [c for c in CARRIED if c in children.columns]
+    first = F.min(F.struct(F.col("item_key").alias("child"), *carried)).alias("c")
+    per = children.where(F.col("item_type") == "attachment").where(eligible).groupBy("parent_key").agg(F.count("*").alias("n"), first)
     rows = items.select("item_key").distinct().join(per, F.col("item_key") == F.col("parent_key"), "left")
-    return rows.select("item_key", F.when(F.col("n") == 1, F.col("child")).alias("child_key"), code.alias("code"))
+    only = lambda c: F.when(F.col("n") == 1, F.col(f"c.{c}"))
+    return rows.select("item_key", only("child").alias("child_key"), F.when(F.col("n").isNull(), none).when(F.col("n") > 1, several).alias("code"), *(only(c).alias(c) for c in carried))
 
 
 def select_primary_attachment(items: DataFrame, children: DataFrame) -> DataFrame:
-    """(item_key, child_key, code): the only PDF of each item; none or several are coded."""
-    return _single(items, children.where("content_type = 'application/pdf' and link_mode like 'imported%'"), "ATTACHMENT")
+    """(item_key, child_key, code, ...): the only PDF of each item; none or several are coded.
+
+    children: parent_key, item_key, item_type, filename, content_type, link_mode and what is
+    ``CARRIED``.  A PDF is an attachment with a file name, stored or linked, that has the PDF
+    type or a name that ends in ``.pdf``.  The only one's name must not be a path.
+    """
+    named = F.coalesce(F.col("filename"), F.lit("")) != ""
+    pdf = F.col("content_type").eqNullSafe("application/pdf") | F.lower("filename").endswith(".pdf")
+    out = _single(items, children, named & pdf, "PAPER_ATTACHMENT_UNAVAILABLE", "PAPER_ATTACHMENT_AMBIGUOUS")
+    unsafe = F.col("filename").contains("/") | F.col("filename").isin(".", "..")
+    return out.withColumns({"code": F.when(unsafe, "ZOTERO_RESPONSE_INVALID").otherwise(F.col("code")), "child_key": F.when(~unsafe, F.col("child_key"))})
 
 
 def select_web_snapshot(items: DataFrame, children: DataFrame) -> DataFrame:
-    """(item_key, child_key, code): the only stored HTML snapshot of each item."""
-    return _single(items, children.where("content_type = 'text/html' and link_mode = 'imported_url'"), "SNAPSHOT")
+    """(item_key, child_key, code, ...): the only stored HTML or XHTML snapshot of each web page; any other number, or another kind of item, is coded."""
+    html = F.col("content_type").isin("text/html", "application/xhtml+xml") & (F.col("link_mode") == "imported_url")
+    out = _single(items, children, html, "ZOTERO_ITEM_UNAVAILABLE", "ZOTERO_ITEM_UNAVAILABLE")
+    kinds = items.select("item_key", F.col("item_type").alias("kind_")).distinct()
+    page = F.coalesce(F.col("kind_") == "webpage", F.lit(False))
+    out = out.join(kinds, "item_key").withColumns({"child_key": F.when(page, F.col("child_key")), "code": F.when(page, F.col("code")).otherwise("ZOTERO_ITEM_UNAVAILABLE")})
+    return out.drop("kind_")
