@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from quire import schemas
 from quire.functions import identity as idn
 from quire.functions.locators import locator_json
-from quire.operators.joins import exact_candidates, match_aliases, select_primary_attachment, select_web_snapshot
-from quire.operators.validate import relation_allowed, with_ends
+from quire.operators.joins import alias_hits, exact_candidates, select_primary_attachment, select_web_snapshot
+from quire.operators.validate import direction_broken, relation_allowed, target_broken, with_ends
+
+#: Item types of a reference manager that are papers.
+PAPER_ITEMS = ("journalArticle", "conferencePaper", "preprint", "thesis", "report", "manuscript")
 
 
 def new_id(prefix: str, *parts: Column) -> Column:
@@ -22,45 +25,74 @@ def new_id(prefix: str, *parts: Column) -> Column:
 
 def with_aliases(sources: DataFrame) -> DataFrame:
     c = F.col
-    return sources.withColumn("aliases", idn.source_aliases(c("subtype"), c("doi"), c("arxiv_id"), c("isbn"), c("canonical_url"), c("repository_host"), c("repository_path")))
+    return sources.withColumn("aliases", idn.source_aliases(c("subtype"), c("doi"), c("arxiv_id"), c("isbn"), c("canonical_url"), c("repository_host"), c("repository_path"), c("commit")))
 
 
-def bulk_capture(requests: DataFrame, sources: DataFrame, metadata: DataFrame, children: DataFrame, now: str, hosts: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+def bulk_capture(requests: DataFrame, sources: DataFrame, metadata: DataFrame, children: DataFrame, now: str, hosts: Sequence[str] = (), repositories: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, new sources) of capture requests (request_id, input, type).
 
-    A request is invalid, matches one existing source, conflicts (several sources, or one of
-    another type), finds ambiguous metadata or attachments, or becomes a private source in the
-    inbox.  Of requests for one new identity the first by id creates it, the others match it.
+    A request names an existing source by its own identifier, or needs exactly one metadata
+    item of a fitting type (a repository: a row of ``repositories``: url, title, commit,
+    default_branch); the source made from that is looked up again by all its identifiers.
+    Several sources, or one of another type, are a conflict.  A web page needs its one
+    snapshot; a paper without its one PDF is made with a warning.  Of requests for one new
+    identity the first by id creates the private source in the inbox, the others match it.
     """
+    spark, c = requests.sparkSession, F.col
     # inline() keeps the optimiser from copying the recognition into every later column
-    r = requests.select("request_id", "input", F.inline(F.array(idn.recognize_input(F.col("input"), F.col("type"), hosts))))
-    r = r.withColumn("aliases", idn.source_aliases(F.col("type"), F.col("doi"), F.col("arxiv"), F.col("isbn"), F.col("url"), F.col("host"), F.col("path")))
-    known = with_aliases(sources)
-    found = match_aliases(r, known)
-    kinds = found.select("request_id", F.explode("source_ids").alias("source_id")).join(known.select(F.col("id").alias("source_id"), "subtype"), "source_id").groupBy("request_id").agg(F.collect_set("subtype").alias("types"))
-    items = exact_candidates(r, metadata).groupBy("request_id").agg(F.count("*").alias("n_items"), F.min("item_key").alias("item_key"))
-    pdf = select_primary_attachment(metadata, children).select("item_key", F.col("code").alias("pdf_code"), F.col("child_key").alias("pdf_key"))
-    web = select_web_snapshot(metadata, children).select("item_key", F.col("code").alias("web_code"), F.col("child_key").alias("web_key"))
-    rows = r.join(found, "request_id", "left").join(kinds, "request_id", "left").join(items, "request_id", "left").join(pdf, "item_key", "left").join(web, "item_key", "left")
-    n = F.coalesce(F.size("source_ids"), F.lit(0))
-    code = (
-        F.when(F.col("code").isNotNull(), F.col("code")).when((n > 1) & (F.col("type") == "paper"), "PAPER_IDENTITY_CONFLICT").when(n > 1, "SOURCE_IDENTITY_CONFLICT")
-        .when((n == 1) & ~F.array_contains("types", F.col("type")), "SOURCE_IDENTITY_CONFLICT").when(n == 1, "EXISTING").when(F.col("n_items") > 1, "METADATA_AMBIGUOUS")
-        .when((F.col("type") == "paper") & F.col("n_items").isNull(), "METADATA_UNAVAILABLE").when((F.col("type") == "paper") & (F.col("pdf_code") == "ATTACHMENT_AMBIGUOUS"), "ATTACHMENT_AMBIGUOUS")
-        .when((F.col("type") == "web") & (F.col("web_code") == "SNAPSHOT_AMBIGUOUS"), "SNAPSHOT_AMBIGUOUS").otherwise("CREATED")
+    r = requests.select("request_id", c("type").alias("asked"), F.inline(F.array(idn.recognize_input(c("input"), c("type"), hosts))))
+    by = F.when(c("arxiv").isNotNull(), "arxiv").when(c("doi").isNotNull(), "doi").when(c("isbn").isNotNull(), "isbn").when(c("host").isNotNull(), "repo").when(c("url").isNotNull(), "web")
+    own = F.when(by == "arxiv", F.concat(F.lit("arxiv:"), "arxiv")).when(by == "doi", F.concat(F.lit("doi:"), "doi")).when(by == "isbn", F.concat(F.lit("isbn:"), "isbn")).when(by == "web", F.concat(F.lit("url:"), "url"))
+    r = r.withColumn("by", by).withColumn("aliases", F.array_compact(F.array(own))).persist()  # read three times, recognised once
+    known = with_aliases(sources).select("id", "subtype", "aliases")
+    first = alias_hits(r, known).select("request_id", *(c(x).alias(f"a_{x}") for x in ("n_sources", "first_id", "n_types", "source_type")))
+    wish = r.select("request_id", "doi", "arxiv", "isbn", F.when(c("by") == "web", c("url")).alias("url"))
+    items = exact_candidates(wish, metadata).groupBy("request_id").agg(F.count("*").alias("n_items"), F.min("item_key").alias("item_key"))
+    pdf = select_primary_attachment(metadata, children).select("item_key", c("code").alias("pdf_code"), c("child_key").alias("pdf_key"))
+    web = select_web_snapshot(metadata, children).select("item_key", c("code").alias("web_code"), c("child_key").alias("web_key"))
+    isbns = idn.isbn_values(c("isbn"))
+    m = metadata.select("item_key", c("item_type").alias("m_type"), c("title").alias("m_title") if "title" in metadata.columns else F.lit(None).cast("string").alias("m_title"), idn.normalize_doi(c("doi")).alias("m_doi"), idn.normalize_arxiv(c("arxiv_id"))["base"].alias("m_arxiv"), F.get(isbns, F.lit(0)).alias("m_isbn"))
+    if repositories is None:
+        repositories = spark.createDataFrame([], "url string, title string, commit string, default_branch string")
+    repo = repositories.select(c("url").alias("r_url"), c("title").alias("r_title"), c("commit").alias("r_commit"), "default_branch")
+    rows = r.drop("aliases").join(first, "request_id", "left").join(items, "request_id", "left").join(m, "item_key", "left").join(pdf, "item_key", "left").join(web, "item_key", "left").join(repo, (c("by") == "repo") & (c("url") == c("r_url")), "left")
+    one = F.coalesce(c("n_items") == 1, F.lit(False))
+    paper, book = one & c("m_type").isin(*PAPER_ITEMS), one & (c("m_type") == "book")
+    typed = c("asked").isin("paper", "book")
+    detected = (
+        F.when(c("by") == "repo", F.when(c("r_commit").isNotNull(), "oss")).when(c("by") == "web", F.when(one & (c("m_type") == "webpage") & c("web_key").isNotNull(), "web"))
+        .when(c("by") == "isbn", F.when(book, "book")).when(c("by") == "arxiv", F.when(paper, "paper"))
+        .when(typed, F.when((c("asked") == "paper") & paper, "paper").when((c("asked") == "book") & book, "book")).when(paper, "paper").when(book, "book")
+    )
+    free_doi = (c("by") == "doi") & ~F.coalesce(typed, F.lit(False))
+    expected = F.when(free_doi, c("a_source_type")).otherwise(c("type"))
+    early = (
+        F.when(c("code").isNotNull(), c("code")).when((c("a_n_sources") > 1) | (c("a_source_type") != expected), "ADD_IDENTITY_CONFLICT").when(c("a_n_sources") == 1, "EXISTING")
+        .when(c("detected").isNull(), F.when(free_doi, "ADD_TYPE_AMBIGUOUS").otherwise("ADD_METADATA_UNAVAILABLE")).when((c("detected") == "paper") & (c("pdf_code") == "ZOTERO_RESPONSE_INVALID"), "ADD_METADATA_UNAVAILABLE")
     )
-    identity = idn.canonical_identity(F.col("type"), F.col("doi"), F.col("arxiv"), F.col("isbn"), F.col("url"), F.col("host"), F.col("path"), F.lit(None).cast("string"))
-    rows = rows.withColumn("result", code).withColumn("identity", identity)
-    # requests without an identity are each alone, or they would all be one window partition
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("result", "identity", F.when(F.col("identity").isNull(), F.col("request_id"))).orderBy("request_id")))
-    new = F.col("result") == "CREATED"
-    fresh = F.when(new, new_id("src", F.col("identity")))
-    results = rows.select("request_id", F.when(new & (F.col("nth") > 1), "EXISTING").otherwise(F.col("result")).alias("result"), F.coalesce(fresh, F.when(F.col("result") == "EXISTING", F.col("source_ids")[0])).alias("source_id"), F.col("type").alias("source_type"))
-    create = rows.where(new & (F.col("nth") == 1)).select(
-        fresh.alias("id"), F.lit("source").alias("kind"), F.col("type").alias("subtype"), F.lit("private").alias("visibility"), F.lit("active").alias("record_status"), F.lit("inbox").alias("workflow_stage"), F.lit(now[:10]).alias("created"), F.lit(now[:10]).alias("updated"),
-        "doi", F.col("arxiv").alias("arxiv_id"), "isbn", F.when(F.col("type").isin("web", "oss"), F.col("url")).alias("canonical_url"), F.col("host").alias("repository_host"), F.col("path").alias("repository_path"), F.col("item_key").alias("zotero_key"), F.col("pdf_key").alias("attachment_key"),
+    rows = rows.withColumn("detected", detected).withColumn("early", early)
+    of = lambda kinds, col: F.when(c("detected").isin(*kinds), col)
+    rows = rows.withColumns({"doi": of(("paper", "book"), c("m_doi")), "arxiv": of(("paper",), c("m_arxiv")), "isbn": of(("book",), c("m_isbn"))})
+    fields = (c("detected"), c("doi"), c("arxiv"), c("isbn"), c("url"), c("host"), c("path"), c("r_commit"))
+    rows = rows.withColumn("identity", idn.canonical_identity(*fields)).withColumn("aliases", F.when(c("early").isNull(), idn.source_aliases(*fields))).persist()
+    second = alias_hits(rows.where("early is null"), known).select("request_id", *(c(x).alias(f"b_{x}") for x in ("n_sources", "first_id", "n_types", "source_type")))
+    rows = rows.join(second, "request_id", "left")
+    result = F.coalesce("early", F.when((c("b_n_sources") > 1) | (c("b_n_types") > 1) | (c("b_source_type") != c("detected")), "ADD_IDENTITY_CONFLICT").when(c("b_n_sources") == 1, "EXISTING").otherwise("CREATED"))
+    rows = rows.withColumn("result", result)
+    # requests that create nothing are each alone, or they would all be one window partition
+    new = c("result") == "CREATED"
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(F.when(new, c("identity")), F.when(~new, c("request_id"))).orderBy("request_id")))
+    fresh = F.when(new, new_id("src", c("identity")))
+    warning = F.when((c("detected") == "paper") & c("result").isin("CREATED", "EXISTING") & c("early").isNull(), c("pdf_code"))
+    final = F.when(new & (c("nth") > 1), "EXISTING").otherwise(c("result"))
+    kind = F.when(c("early") == "EXISTING", c("a_source_type")).when(c("result").isin("CREATED", "EXISTING"), c("detected"))
+    results = rows.select("request_id", final.alias("result"), F.coalesce(fresh, F.when(c("result") == "EXISTING", F.coalesce("a_first_id", "b_first_id"))).alias("source_id"), kind.alias("source_type"), warning.alias("warning"))
+    create = rows.where(new & (c("nth") == 1)).select(
+        fresh.alias("id"), F.lit("source").alias("kind"), c("detected").alias("subtype"), F.coalesce("r_title", "m_title").alias("title"), F.lit("private").alias("visibility"), F.lit("active").alias("record_status"), F.lit("inbox").alias("workflow_stage"),
+        F.lit(now[:10]).alias("created"), F.lit(now[:10]).alias("updated"), "doi", c("arxiv").alias("arxiv_id"), "isbn", of(("web", "oss"), c("url")).alias("canonical_url"), c("host").alias("repository_host"), c("path").alias("repository_path"),
+        c("r_commit").alias("commit"), "default_branch", of(("oss",), F.lit("NOASSERTION")).alias("license"), "item_key", of(("paper",), c("pdf_key")).alias("attachment_key"), of(("web",), c("web_key")).alias("snapshot_key"),
     )
-    return results, create
+    return results, create.withColumnRenamed("item_key", "zotero_key")
 
 
 def advance_workflow(requests: DataFrame, sources: DataFrame) -> DataFrame:
@@ -72,33 +104,57 @@ def advance_workflow(requests: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.select("request_id", "source_id", "was", "target", result.alias("result"))
 
 
-MANAGED = ("title", "authors", "year", "doi", "arxiv_id", "arxiv_version", "isbn", "edition", "canonical_url")
+#: The fields that a metadata sync manages.
+MANAGED = ("title", "authors", "year", "doi", "arxiv_id", "arxiv_version", "canonical_url", "attachment_key", "attachment_version", "attachment_filename", "attachment_media_type", "attachment_size", "attachment_sha256")
 
 
-def sync_sources(sources: DataFrame, metadata: DataFrame, adopt: bool = False, accept_attachment: bool = False) -> DataFrame:
-    """(id, decision, new_hash): what a metadata sync does with each source, by the first rule that applies.
+def sync_sources(sources: DataFrame, metadata: DataFrame, attachments: DataFrame, now: str, adopt: bool = False, accept_attachment: bool = False) -> DataFrame:
+    """(id, decision, warnings, new_hash, updated, and the managed fields as they are afterwards) of every source, by the first rule that applies.
 
-    metadata: zotero_key, version, title, authors, year, doi, arxiv_id, isbn, url, attachment_key.
+    metadata: zotero_key, version, title, authors, year, doi, arxiv_id, url.  attachments: one
+    row an item (item_key, child_key, code, version, filename, size, sha256), as
+    ``select_primary_attachment`` gives it.  A source keeps its recorded attachment where the
+    item has none or several, which is a warning.  Rows that aren't UPDATED keep their fields.
     """
     c = F.col
-    m = metadata.select(*(F.col(x).alias(f"m_{x}") for x in ("zotero_key", "version", "title", "authors", "year", "doi", "arxiv_id", "isbn", "attachment_key")))
-    rows = sources.where("kind = 'source'").join(m, c("zotero_key") == c("m_zotero_key"), "left")
-    mine = idn.managed_fields_hash({f: c(f) for f in ("title", "authors", "year", "doi", "arxiv_id", "isbn")})
-    theirs = idn.managed_fields_hash({f: c(f"m_{f}") for f in ("title", "authors", "year", "doi", "arxiv_id", "isbn")})
-    doi, m_doi = idn.normalize_doi(c("doi")), idn.normalize_doi(c("m_doi"))
-    arx, m_arx = idn.normalize_arxiv(c("arxiv_id"))["base"], idn.normalize_arxiv(c("m_arxiv_id"))["base"]
-    rows = rows.withColumn("mine", mine).withColumn("theirs", theirs).withColumn("identity", F.coalesce(m_doi, m_arx))
-    owners = sources.where("kind = 'source'").select(F.coalesce(doi, arx).alias("identity"), "id").where("identity is not null").groupBy("identity").agg(F.collect_set("id").alias("owners"))
-    rows = rows.join(owners, "identity", "left")
+    m = metadata.select(*(c(x).alias(f"m_{x}") for x in ("zotero_key", "version", "title", "authors", "year", "doi", "arxiv_id", "url")))
+    a = attachments.select(c("item_key").alias("a_item"), c("child_key").alias("a_key"), c("code").alias("a_code"), *(c(x).alias(f"a_{x}") for x in ("version", "filename", "size", "sha256")))
+    rows = sources.where("kind = 'source'").join(m, c("zotero_key") == c("m_zotero_key"), "left").join(a, c("zotero_key") == c("a_item"), "left")
+    doi, arx = idn.normalize_doi(c("doi")), idn.normalize_arxiv(c("arxiv_id"))["base"]
+    there = c("a_key").isNotNull()
+    kept = lambda name, new: F.when(there, new).otherwise(c(name))
+    rows = rows.withColumns({"own_doi": doi, "own_arxiv": arx, "n_doi": idn.normalize_doi(c("m_doi")), "n_arxiv": idn.normalize_arxiv(c("m_arxiv_id")), "n_sha256": kept("attachment_sha256", c("a_sha256"))})
+    remote = {
+        "title": c("m_title"), "authors": c("m_authors"), "year": c("m_year"), "doi": c("n_doi"), "arxiv_id": c("n_arxiv.base"), "arxiv_version": c("n_arxiv.version"), "canonical_url": idn.canonicalize_url(c("m_url")),
+        "attachment_key": kept("attachment_key", c("a_key")), "attachment_version": kept("attachment_version", c("a_version")), "attachment_filename": kept("attachment_filename", c("a_filename")),
+        "attachment_media_type": kept("attachment_media_type", F.lit("application/pdf")), "attachment_size": kept("attachment_size", c("a_size")), "attachment_sha256": c("n_sha256"),
+    }
+    rows = rows.withColumn("mine", idn.managed_fields_hash({f: c(f) for f in MANAGED})).withColumn("theirs", idn.managed_fields_hash(remote))
+    # Another source with either identifier is a collision; two least and greatest owners tell.
+    alias = lambda p, x: F.when(x.isNotNull(), F.concat(F.lit(p), x))
+    papers = sources.where("kind = 'source' and subtype = 'paper'")
+    owners = papers.select("id", F.explode(F.array_compact(F.array(alias("doi:", doi), alias("arxiv:", arx)))).alias("alias")).groupBy("alias").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    wanted = rows.select("id", F.explode(F.array_compact(F.array(alias("doi:", c("n_doi")), alias("arxiv:", c("n_arxiv.base"))))).alias("alias"))
+    taken = wanted.join(owners, "alias").where("low <> id or high <> id").select("id").distinct().withColumn("taken", F.lit(True))
+    rows = rows.join(taken, "id", "left")
+    baseline = c("managed_fields_hash").isNotNull()
+    changed = F.coalesce(c("attachment_sha256") != c("n_sha256"), F.lit(False))
     decision = (
-        F.when(c("subtype") != "paper", "SYNC_TYPE_UNSUPPORTED").when(c("m_zotero_key").isNull(), "METADATA_UNAVAILABLE").when(c("managed_fields_hash").isNull() & F.lit(not adopt), "ADOPTION_REQUIRED")
-        .when(c("managed_fields_hash").isNotNull() & (c("managed_fields_hash") != c("mine")), "LOCAL_MODIFIED").when(c("identity").isNull(), "IDENTITY_MISSING")
-        .when((doi.isNotNull() & m_doi.isNotNull() & (doi != m_doi)) | (arx.isNotNull() & m_arx.isNotNull() & (arx != m_arx)), "IDENTITY_REPLACED")
-        .when(F.exists("owners", lambda x: x != c("id")), "IDENTITY_COLLISION").when(c("attachment_key").isNotNull() & ~c("attachment_key").eqNullSafe(c("m_attachment_key")) & F.lit(not accept_attachment), "ATTACHMENT_CHANGED")
-        .when(c("attachment_key").isNull() & c("m_attachment_key").isNotNull() & F.lit(not accept_attachment), "BASELINE_REQUIRED")
-        .when((c("mine") == c("theirs")) & c("zotero_item_version").eqNullSafe(c("m_version")) & c("managed_fields_hash").isNotNull(), "NO_CHANGE").otherwise("UPDATED")
+        F.when(c("subtype") != "paper", "SOURCE_TYPE_UNSUPPORTED").when(F.lit(adopt) & baseline, "SOURCE_SYNC_ADOPTION_INVALID").when(baseline & (c("managed_fields_hash") != c("mine")), "SOURCE_SYNC_LOCAL_MODIFIED")
+        .when(c("m_zotero_key").isNull(), "ZOTERO_ITEM_UNAVAILABLE").when(c("n_doi").isNull() & c("n_arxiv").isNull(), "PAPER_CANONICAL_IDENTITY_MISSING")
+        .when((c("own_doi").isNotNull() & ~c("own_doi").eqNullSafe(c("n_doi"))) | (c("own_arxiv").isNotNull() & ~c("own_arxiv").eqNullSafe(c("n_arxiv.base"))) | c("taken"), "PAPER_IDENTITY_CONFLICT")
+        .when(changed & F.lit(not accept_attachment), "PAPER_ATTACHMENT_CHANGED").when(~baseline & (c("mine") != c("theirs")) & F.lit(not adopt), "SOURCE_SYNC_BASELINE_REQUIRED")
+        .when((c("managed_fields_hash") == c("theirs")) & c("zotero_item_version").eqNullSafe(c("m_version")) & c("synced_at").isNotNull(), "NO_CHANGE").otherwise("UPDATED")
+    )
+    rows = rows.withColumn("decision", decision)
+    done = c("decision").isin("NO_CHANGE", "UPDATED")
+    warnings = F.when(done, F.array_compact(F.array(c("a_code"), F.when(changed, F.lit("PAPER_ATTACHMENT_ACCEPTED_LOCATORS_REVIEW"))))).otherwise(F.array().cast("array<string>"))
+    new = c("decision") == "UPDATED"
+    after = {f: F.when(new, v).otherwise(c(f)) for f, v in remote.items()}
+    return rows.select(
+        "id", "decision", warnings.alias("warnings"), F.when(new, c("theirs")).otherwise(c("managed_fields_hash")).alias("new_hash"), F.when(new, F.lit(now[:10])).otherwise(c("updated").cast("string")).alias("updated"),
+        F.when(new, F.lit(now)).otherwise(c("synced_at")).alias("synced_at"), F.when(new, c("m_version")).otherwise(c("zotero_item_version")).alias("zotero_item_version"), *(v.alias(f) for f, v in after.items()),
     )
-    return rows.select("id", decision.alias("decision"), c("theirs").alias("new_hash"))
 
 
 def evolve_notes(requests: DataFrame, notes: DataFrame, now: str) -> DataFrame:
@@ -131,8 +187,7 @@ def add_relations(edges: DataFrame, requests: DataFrame, objects: DataFrame) ->
     rows = with_ends(asked, objects).join(have, "k", "left").withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy("request_id")))
     c, t = F.col, F.col("relation_type")
     result = (
-        F.when(c("f_id").isNull(), "RELATION_SOURCE_MISSING").when(c("t_id").isNull(), "RELATION_TARGET_MISSING").when(~relation_allowed(), "RELATION_KIND_INVALID")
-        .when(((t == "summarizes") & (c("f_subtype") != "literature")) | ((t == "synthesizes") & (c("f_subtype") != "synthesis")), "RELATION_DIRECTION_INVALID")
+        F.when(c("f_id").isNull(), "RELATION_SOURCE_MISSING").when(c("t_id").isNull(), "RELATION_TARGET_MISSING").when(~relation_allowed(), "RELATION_KIND_INVALID").when(direction_broken(), "RELATION_DIRECTION_INVALID").when(target_broken(), "RELATION_TARGET_INVALID")
         .when((t == "related_to") & (c("from_id") == c("to_id")), "RELATION_NOT_CANONICAL")
         .when(t.isin(*schemas.CONTENT_DEPENDENCIES) & (c("f_visibility") == "public") & (c("t_visibility") == "private"), "RELATION_PRIVATE_DEPENDENCY")
         .when(c("there") | (c("nth") > 1), "RELATION_EXISTS").otherwise("ADDED")
