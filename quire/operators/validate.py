@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,41 +52,45 @@ def _missing(*names: str) -> Column:
 
 
 def check_source_identity(objects: DataFrame) -> DataFrame:
+    """What a source of each type must be known by, then the first field out of its range."""
     c = F.col
-    arxiv = idn.normalize_arxiv(c("arxiv_id"))
     gone = (
-        F.when(c("subtype") == "paper", _missing("doi") & _missing("arxiv_id") & _missing("zotero_key")).when(c("subtype") == "web", _missing("canonical_url", "captured_at"))
-        .when(c("subtype") == "book", _missing("isbn") & _missing("doi") & _missing("zotero_key")).when(c("subtype") == "oss", _missing("canonical_url", "repository_host", "repository_path", "commit", "license"))
+        F.when(c("subtype") == "paper", _missing("canonical_url") & _missing("doi") & _missing("zotero_key")).when(c("subtype") == "web", _missing("canonical_url", "captured_at"))
+        .when(c("subtype") == "book", _missing("isbn") & _missing("doi") & _missing("zotero_key") & _missing("canonical_url")).when(c("subtype") == "oss", _missing("canonical_url", "repository_host", "repository_path", "commit", "license"))
     )
-    positive = [(n, c(n).isNotNull() & (c(n) < 1)) for n in ("arxiv_version", "attachment_size")] + [(n, c(n).isNotNull() & (c(n) < 0)) for n in ("zotero_item_version", "attachment_version")]
+    given = lambda name, broken: (name, c(name).isNotNull() & broken)
+    trimmed = lambda name: (c(name) != "") & (c(name) == F.trim(c(name)))
+    digest = lambda name: given(name, ~c(name).rlike(r"^sha256:[0-9a-f]{64}\z"))
     field = first_code(
-        ("zotero_library_type", c("zotero_library_type").isNotNull() & ~c("zotero_library_type").isin("user", "group")), *positive,
-        ("arxiv_id", c("arxiv_id").isNotNull() & (arxiv.isNull() | arxiv["version"].isNotNull())), ("arxiv_version", c("arxiv_version").isNotNull() & c("arxiv_id").isNull()),
-        ("edition", c("edition").isNotNull() & (c("subtype") != "book")), ("attachment_media_type", c("attachment_media_type").isNotNull() & (c("attachment_media_type") != "application/pdf")),
-        ("attachment_filename", c("attachment_filename").rlike(r"[/\\]")), ("attachment_sha256", c("attachment_sha256").isNotNull() & ~c("attachment_sha256").rlike(r"^(sha256:)?[0-9a-f]{64}\z")),
+        given("zotero_library_type", ~c("zotero_library_type").isin("user", "group")), given("zotero_item_version", c("zotero_item_version") < 0),
+        given("arxiv_version", c("arxiv_id").isNull()), given("arxiv_version", c("arxiv_version") < 1), given("arxiv_id", ~c("arxiv_id").rlike(r"^(?:[a-z-]+(?:\.[a-z]{2})?/\d{7}|\d{4}\.\d{4,5})\z")),
+        given("edition", (c("subtype") != "book") | ~trimmed("edition")), given("attachment_media_type", c("attachment_media_type") != "application/pdf"), given("attachment_filename", (c("attachment_filename") == "") | c("attachment_filename").rlike(r"[/\\]")),
+        given("attachment_version", c("attachment_version") < 0), given("attachment_size", c("attachment_size") < 1), digest("managed_fields_hash"), digest("attachment_sha256"),
     )
     code = F.when(gone, "SOURCE_IDENTITY_MISSING").when(field.isNotNull(), "FIELD_INVALID")
     return findings(objects.where("kind = 'source'"), code, details=F.when(field.isNotNull() & ~gone, F.create_map(F.lit("field"), F.array(field))))
 
 
 def check_notes(objects: DataFrame) -> DataFrame:
+    """Ideas are seeds or developing; only concepts have a history, of one step from idea to concept."""
     c, h = F.col, F.col("type_history")
     evolved = F.coalesce(F.size(h), F.lit(0)) > 0
-    steps = F.exists(h, lambda t: ~((t["from"] == "idea") & (t["to"] == "concept") & (t["actor"]["type"] == "human")))
+    steps = F.exists(h, lambda t: ~(t["from"].eqNullSafe("idea") & t["to"].eqNullSafe("concept")))
     code = first_code(
-        ("NOTE_MATURITY_INVALID", (c("subtype") == "idea") & c("maturity").isNotNull() & (c("maturity") != "seed")), ("NOTE_MATURITY_INVALID", (c("subtype") != "idea") & c("maturity").isNull()),
+        ("NOTE_MATURITY_INVALID", (c("subtype") == "idea") & ~F.coalesce(c("maturity").isin("seed", "developing"), F.lit(False))),
         ("NOTE_TRANSITION_INVALID", evolved & ((c("subtype") != "concept") | (F.size(h) > 1) | steps)),
     )
     return findings(objects.where("kind = 'note'"), code)
 
 
 def check_snippets_and_artifacts(objects: DataFrame) -> DataFrame:
+    """Line ranges of snippets; artifacts are private, and reviewed ones name who reviewed them and when, others don't name both."""
     c = F.col
     ai = c("kind") == "ai_artifact"
-    reviewed = c("review_status") != "unreviewed"
+    proven = (F.coalesce("reviewed_by", F.lit("")) != "") & c("reviewed_at").isNotNull()
     code = first_code(
         ("SNIPPET_RANGE_INVALID", (c("kind") == "snippet") & ((c("start_line") < 1) | (c("end_line") < c("start_line")))), ("AI_ARTIFACT_INVALID", ai & (c("visibility") != "private")),
-        ("AI_REVIEW_INVALID", ai & reviewed & (c("reviewed_by").isNull() | c("reviewed_at").isNull())), ("AI_REVIEW_INVALID", ai & ~reviewed & (c("reviewed_by").isNotNull() | c("reviewed_at").isNotNull())),
+        ("AI_REVIEW_INVALID", ai & ((c("review_status") != "unreviewed") != proven)),
     )
     return findings(objects.where("kind in ('snippet', 'ai_artifact')"), code)
 
@@ -93,14 +98,19 @@ def check_snippets_and_artifacts(objects: DataFrame) -> DataFrame:
 def locator_code(l: Column) -> Column:  # noqa: E741
     """First error in a locator's own shape, null if it is sound."""
     kind, snap = l["source_type"], l["snapshot_ref"]
+    given = lambda f: (F.coalesce(l[f].cast("string"), F.lit("")) != "") & ~F.coalesce(l[f].cast("string") == "0", F.lit(False)) if f == "page" else F.coalesce(l[f], F.lit("")) != ""
+    none = lambda *names: ~reduce(lambda a, b: a | b, (given(n) for n in names))
     low = lambda f: l[f].isNotNull() & (l[f] < 1)
-    none = lambda *names: F.forall(F.array(*(F.coalesce(l[n].cast("string"), F.lit("")) for n in names)), lambda x: x == "")
+    of = lambda t, broken: ("LOCATOR_INVALID", (kind == t) & broken)
+    lines = l["start_line"].isNotNull() & l["end_line"].isNotNull()
+    empty = lambda f: F.coalesce(snap[f], F.lit("")) == ""
     return first_code(
-        ("LOCATOR_VERSION_UNSUPPORTED", ~l["locator_version"].eqNullSafe(F.lit(1))), ("LOCATOR_INVALID", kind.isNull() | ~kind.isin(*schemas.SOURCE_TYPES)), ("LOCATOR_INVALID", low("page") | low("paragraph") | low("start_line") | low("end_line")),
-        ("LOCATOR_INVALID", (kind == "paper") & none("page", "page_label", "section", "figure", "table")), ("LOCATOR_INVALID", (kind == "web") & snap.isNull()),
-        ("SNAPSHOT_INVALID", (kind == "web") & F.exists(F.array(*(snap[f] for f in ("provider", "identifier", "captured_at", "content_hash"))), lambda x: F.coalesce(x, F.lit("")) == "")),
-        ("LOCATOR_INVALID", (kind == "book") & none("page", "chapter", "location", "section")), ("LOCATOR_INVALID", (kind == "oss") & F.exists(F.array(*(l[f] for f in ("repository_host", "repository_path", "commit", "path"))), lambda x: F.coalesce(x, F.lit("")) == "")),
-        ("LOCATOR_INVALID", (l["end_line"].isNotNull() & l["start_line"].isNull()) | (l["end_line"] < l["start_line"])),
+        ("LOCATOR_VERSION_UNSUPPORTED", ~l["locator_version"].eqNullSafe(F.lit(1))), ("LOCATOR_INVALID", kind.isNull() | ~kind.isin(*schemas.SOURCE_TYPES)), of("web", snap.isNull()),
+        ("SNAPSHOT_INVALID", (kind == "web") & (empty("provider") | empty("identifier") | empty("captured_at") | ~F.coalesce(snap["content_hash"].startswith("sha256:"), F.lit(False)))),
+        of("paper", none("page", "page_label", "section", "figure", "table")), of("paper", low("page")), of("web", (F.coalesce(F.size(l["heading_path"]), F.lit(0)) < 1) & l["paragraph"].isNull()), of("web", low("paragraph")),
+        of("book", none("chapter", "page", "location")), of("book", l["page"].isNotNull() & none("edition", "isbn")), of("book", l["edition"].isNotNull() & ((l["edition"] == "") | (l["edition"] != F.trim(l["edition"])))),
+        of("book", l["isbn"].isNotNull() & idn.normalize_isbn(l["isbn"]).isNull()), of("oss", ~(given("repository_host") & given("repository_path") & given("commit") & given("path"))),
+        of("oss", none("symbol") & ~lines), of("oss", lines & ((l["start_line"] < 1) | (l["end_line"] < l["start_line"]))),
     )
 
 
@@ -139,9 +149,10 @@ def check_layout(objects: DataFrame, edges: DataFrame, roots: Roots = Roots()) -
     )
     stayed = (c("kind") == "note") & (c("subtype") == "concept") & (F.size("type_history") > 0) & c("path").startswith(f"{roots.notes}/{schemas.NOTE_FOLDERS['idea']}/")
     ok = c("path").startswith(F.concat(folder, F.lit("/"))) | F.coalesce(stayed, F.lit(False))
-    shard = c("path") != F.concat(F.lit(roots.relations + "/"), c("from_id"), F.lit(".yaml"))
-    wrong = edges.select("path", "from_id").distinct()
-    return findings(objects, F.when(~ok | ~c("path").endswith(".md"), "OBJECT_LAYOUT_INVALID")).unionByName(findings(wrong, F.when(shard, "RELATION_SHARD_OWNER_MISMATCH"), "path", "from_id"))
+    shard = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1) != c("from_id")
+    # A shard of an unknown object has RELATION_SOURCE_MISSING alone.
+    wrong = edges.select("path", "from_id").distinct().join(objects.select(c("id").alias("from_id")).distinct(), "from_id", "left_semi")
+    return findings(objects, F.when(~ok | ~F.lower("path").endswith(".md"), "OBJECT_LAYOUT_INVALID")).unionByName(findings(wrong, F.when(shard, "RELATION_SHARD_OWNER_MISMATCH"), "path", "from_id"))
 
 
 def check_snippet_sources(objects: DataFrame) -> DataFrame:
@@ -159,11 +170,12 @@ def check_facts(bodies: DataFrame, objects: DataFrame) -> DataFrame:
 
 def check_artifacts(bodies: DataFrame, objects: DataFrame, sections: DataFrame) -> DataFrame:
     ai = objects.where("kind = 'ai_artifact'").select(F.col("id").alias("aid"), F.col("review_status").alias("review"))
-    blocks = _cited(bodies).where("artifact_id is not null").select("object_id", "section_id", "artifact_id").distinct().join(ai, F.col("artifact_id") == F.col("aid"), "left")
+    own = bodies.where("kind = 'note'").select("object_id", F.explode("sections").alias("s")).select("object_id", F.col("s.section_id").alias("section_id"), F.explode("s.blocks").alias("b"))
+    blocks = own.where("b.kind = 'ai'").select("object_id", "section_id", F.col("b.artifact_id").alias("artifact_id")).join(ai, F.col("artifact_id") == F.col("aid"), "left")
     code = F.when(F.col("aid").isNull(), "AI_ARTIFACT_MISSING").when(F.col("review") != "promoted", "AI_ARTIFACT_UNPROMOTED")
     refs = objects.where("kind = 'ai_artifact'").select("id", "path", F.explode("input_refs").alias("r"))
     known = objects.select(F.col("id").alias("oid"))
-    parts = sections.select(F.col("object_id").alias("po"), F.col("section_id").alias("ps"))
+    parts = sections.select(F.col("object_id").alias("po"), F.col("section_id").alias("ps")).distinct()
     refs = refs.join(known, F.col("r.object_id") == F.col("oid"), "left").join(parts, F.expr("r.object_id = po and r.section_id = ps"), "left")
     wrong = F.when(F.col("oid").isNull(), "AI_INPUT_MISSING").when(F.col("r.section_id").isNotNull() & F.col("ps").isNull(), "AI_INPUT_SECTION_MISSING")
     return findings(blocks, code, None, "object_id", "section_id").unionByName(findings(refs, wrong, "path", "id", "r.section_id"))
@@ -184,6 +196,17 @@ def relation_allowed() -> Column:
     return out & ((F.col("relation_type") != "supersedes") | (F.col("f_kind") == F.col("t_kind")))
 
 
+def direction_broken() -> Column:
+    """Summaries start from literature notes and syntheses from synthesis notes; an end without a subtype is neither."""
+    t, own = F.col("relation_type"), F.col("f_subtype")
+    return ((t == "summarizes") & ~own.eqNullSafe("literature")) | ((t == "synthesizes") & ~own.eqNullSafe("synthesis"))
+
+
+def target_broken() -> Column:
+    """``snippet_from`` leads to repositories only."""
+    return (F.col("relation_type") == "snippet_from") & ~F.col("t_subtype").eqNullSafe("oss")
+
+
 def check_relations(edges: DataFrame, objects: DataFrame, sections: DataFrame) -> DataFrame:
     """All rules on edges.  An unknown start gives RELATION_SOURCE_MISSING once and nothing else; an unknown target skips the other rules."""
     c = F.col
@@ -200,21 +223,21 @@ def check_relations(edges: DataFrame, objects: DataFrame, sections: DataFrame) -
     t = c("relation_type")
     rules = [
         ("RELATION_KIND_INVALID", ~relation_allowed()),
-        ("RELATION_DIRECTION_INVALID", ((t == "summarizes") & (c("f_subtype") != "literature")) | ((t == "synthesizes") & (c("f_subtype") != "synthesis"))),
-        ("RELATION_TARGET_INVALID", (t == "snippet_from") & (c("t_subtype") != "oss")),
+        ("RELATION_DIRECTION_INVALID", direction_broken()),
+        ("RELATION_TARGET_INVALID", target_broken()),
         ("RELATION_NOT_CANONICAL", (t == "related_to") & (c("from_id") >= c("to_id"))),
         ("RELATION_SECTION_MISSING", c("to_section_id").isNotNull() & c("ps").isNull()),
-        ("RELATION_LOCATOR_MISMATCH", c("locator").isNotNull() & (c("src").isNull() | (F.size(locator_mismatches(c("locator"), c("src"))) > 0))),
+        ("RELATION_LOCATOR_MISMATCH", c("locator").isNotNull() & c("src").isNotNull() & (F.size(locator_mismatches(c("locator"), c("src"))) > 0)),
         ("RELATION_PRIVATE_DEPENDENCY", t.isin(*schemas.CONTENT_DEPENDENCIES) & (c("f_visibility") == "public") & (c("t_visibility") == "private")),
         ("RELATION_DUPLICATE", c("nth") > 1),
     ]
     codes = F.explode(F.array_compact(F.array(*(F.when(F.coalesce(broken, F.lit(False)), F.lit(code)) for code, broken in rules))))
-    return all_findings(orphans, untargeted, findings(known.withColumn("code_", codes), c("code_"), object_id="from_id", section_id="to_section_id"))
+    return all_findings(orphans, untargeted, findings(known.withColumn("code_", codes), c("code_"), object_id="from_id", section_id="to_section_id", details=F.when(c("code_") == "RELATION_LOCATOR_MISMATCH", F.create_map(F.lit("fields"), locator_mismatches(c("locator"), c("src"))))))
 
 
 def check_cardinality(edges: DataFrame, objects: DataFrame) -> DataFrame:
     """Literature notes need a summary edge; mature or public syntheses need two targets."""
-    n = edges.where("relation_type in ('summarizes', 'synthesizes')").groupBy("from_id", "relation_type").agg(F.count_distinct("to_id").alias("n"))
+    n = edges.where("relation_type in ('summarizes', 'synthesizes')").groupBy("from_id", "relation_type").agg(F.count("*").alias("n"))
     wants = F.when(F.col("subtype") == "literature", "summarizes").otherwise("synthesizes")
     rows = objects.where("kind = 'note' and subtype in ('literature', 'synthesis')").withColumn("wants", wants)
     rows = rows.join(n, (F.col("id") == F.col("from_id")) & (F.col("wants") == F.col("relation_type")), "left").withColumn("n", F.coalesce("n", F.lit(0)))
