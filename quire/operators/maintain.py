@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire import schemas
 from quire.operators import projection as pr
-from quire.operators.catalog import changed_paths, snapshot_hash
+from quire.operators.catalog import changed_paths, snapshot_digest
 from quire.operators.index import build_postings
 from quire.sources.vault import Roots
 
@@ -22,7 +22,7 @@ def rebuild(spark: SparkSession, files: DataFrame, objects: DataFrame, bodies: D
     """All tables of the projection from parsed rows."""
     tables = tables_of(objects, bodies, edges)
     state = pr.project_scan_state(files, findings)
-    return tables | {"scan_state": state, "index_metadata": pr.index_metadata(spark, snapshot_hash(state), built_at)}
+    return tables | {"scan_state": state, "index_metadata": pr.index_metadata(spark, snapshot_digest(state), built_at)}
 
 
 def tables_of(objects: DataFrame, bodies: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
@@ -35,18 +35,26 @@ def tables_of(objects: DataFrame, bodies: DataFrame, edges: DataFrame) -> dict[s
     }
 
 
-def index_status(tables: dict[str, DataFrame] | None, current: DataFrame) -> tuple[str, DataFrame | None]:
-    """missing, incompatible, stale or fresh, and the changed paths; another version counts before staleness."""
+def index_status(tables: dict[str, DataFrame] | None, current: DataFrame, healthy: bool = True) -> tuple[str, DataFrame | None]:
+    """missing, incompatible, stale or fresh, and the changed paths; another version counts before staleness, and an unhealthy scan is stale."""
     if not tables:
         return "missing", None
     stored = {r["key"]: r["value"] for r in tables["index_metadata"].collect()}
     changed = changed_paths(current, tables["scan_state"])
     if any(stored.get(f"{k}_version") != v for k, v in schemas.VERSIONS.items()):
         return "incompatible", changed
-    return ("fresh" if changed.isEmpty() else "stale"), changed
+    return ("fresh" if healthy and changed.isEmpty() else "stale"), changed
 
 
-def incremental_update(tables: dict[str, DataFrame], changed: DataFrame, objects: DataFrame, bodies: DataFrame, edges: DataFrame, current: DataFrame, built_at: str, roots: Roots = Roots()) -> dict[str, DataFrame]:
+def require_searchable(state: str, healthy: bool) -> None:
+    """Refuses a search on an unhealthy scan, or on an index that isn't fresh."""
+    if not healthy:
+        raise ValueError("INDEX_SOURCE_INVALID")
+    if state != "fresh":
+        raise ValueError({"missing": "INDEX_NOT_FOUND", "incompatible": "INDEX_INCOMPATIBLE"}.get(state, "INDEX_STALE"))
+
+
+def incremental_update(tables: dict[str, DataFrame], changed: DataFrame, objects: DataFrame, bodies: DataFrame, edges: DataFrame, current: DataFrame, built_at: str, roots: Roots = Roots(), findings: DataFrame | None = None) -> dict[str, DataFrame]:
     """The tables after the changed paths, equal row for row to a rebuild.
 
     ``objects``, ``bodies`` and ``edges`` are parsed from the files at changed paths that still
@@ -54,6 +62,7 @@ def incremental_update(tables: dict[str, DataFrame], changed: DataFrame, objects
     tables, and so are edges of changed shards, which are told by the names of their files, so
     that removed and emptied ones count too; then the new rows are added.  As in the reference,
     a shard is named after its from_id and is the only one of it; a scan has findings otherwise.
+    With ``findings`` files that have one stay out of the scan state, as in a rebuild.
     Document frequencies change by the difference of the postings taken out and added.
     """
     spark = changed.sparkSession
@@ -76,8 +85,8 @@ def incremental_update(tables: dict[str, DataFrame], changed: DataFrame, objects
     plus = new["postings"].groupBy("term").agg(F.count("*").alias("df"))
     done["term_stats"] = tables["term_stats"].unionByName(minus).unionByName(plus).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
     done["corpus_stats"] = done["segment_stats"].agg(F.count("*").alias("n_segments"), F.avg("n_tokens").alias("avg_tokens"))
-    done["scan_state"] = current.select("path", "checksum")
-    done["index_metadata"] = pr.index_metadata(spark, snapshot_hash(done["scan_state"]), built_at)
+    done["scan_state"] = current.select("path", "checksum") if findings is None else pr.project_scan_state(current, findings)
+    done["index_metadata"] = pr.index_metadata(spark, snapshot_digest(done["scan_state"]), built_at)
     return done
 
 

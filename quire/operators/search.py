@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, fields
 from functools import reduce
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire import schemas
 from quire.functions import text as tx
 from quire.functions.locators import LOCATOR, locator_mismatches
+from quire.schemas import MARKER
 
 K1, B = 1.2, 0.75
 DEFAULT_ROLES = ("source", "human", "fact", "snippet")
 #: Terms of all queries up to which they are broadcast to the postings.
 BROADCAST_TERMS = 200_000
-#: Characters of all queries that are broadcast to the lines at a time, about.
-BROADCAST_CHARS = 8_000_000
+#: Characters of all queries that are looked for in one pass over the lines, about.
+BROADCAST_CHARS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -58,17 +63,17 @@ def filter_all_tags(objects: DataFrame, tags: Sequence[str] | None, column: str
     return objects
 
 
-def apply_search_filters(df: DataFrame, filters: SearchFilters = SearchFilters()) -> DataFrame:
+def apply_search_filters(df: DataFrame, filters: SearchFilters = SearchFilters(), statuses: Sequence[str] | None = None) -> DataFrame:
     """Rows with object columns and a ``role`` that pass the filters and the default rules.
 
-    Without a status only active records; without a role sources, human text, facts and
+    ``statuses`` overrides the filters' status; without either only active records; without a role sources, human text, facts and
     snippets, or AI text if kind is ai_artifact; evolution only when asked for.
     """
     for name in ("kind", "subtype", "visibility", "workflow_stage", "maturity", "review_status"):
         value = getattr(filters, name)
         if value is not None:
             df = df.where(F.col(name) == value)
-    df = df.where(F.col("record_status") == (filters.record_status or "active"))
+    df = df.where(F.col("record_status").isin(*(statuses or [filters.record_status or "active"])))
     if filters.role is not None:
         df = df.where(F.col("role") == filters.role)
     else:
@@ -94,14 +99,22 @@ def bm25(tf: Column, df: Column, n: Column, length: Column, average: Column) ->
 def matches(index: dict[str, DataFrame], queries: DataFrame, fold_diacritics: bool = True) -> DataFrame:
     """(query_id, segment_id, score): segments that hold every term of a query, better ones lower.
 
-    Query terms meet postings by term: broadcast while their number is small, by a shuffle on
-    the term beyond that.  Scores are rounded to nine digits so that their sum's order is no matter.
+    A query's candidates are the segments with its rarest term; the postings of its other terms
+    are looked up for these segments only, by term and segment, so that a frequent term never
+    sends its postings to every query that has it.  Query terms are broadcast while their number
+    is small.  Scores are rounded to nine digits so that their sum's order is no matter.
     """
     terms = query_terms(queries, fold_diacritics)
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    terms = terms.join(index["term_stats"], "term")
-    terms = F.broadcast(terms) if few else terms
-    hits = index["postings"].join(terms, "term").join(index["segment_stats"], "segment_id").crossJoin(F.broadcast(index["corpus_stats"]))
+    small = F.broadcast if few else lambda df: df
+    known = small(terms.select("term").distinct()).join(index["term_stats"], "term")
+    by_rarity = Window.partitionBy("query_id").orderBy("df", "term")
+    terms = terms.join(known, "term").withColumns({"place": F.row_number().over(by_rarity), "present": F.count("*").over(Window.partitionBy("query_id"))}).where("present = n_terms")
+    postings = index["postings"].join(small(terms.select("term").distinct()), "term", "left_semi")
+    rarest = postings.join(small(terms.where("place = 1").select("query_id", "term", "times", "df", "n_terms")), "term")
+    others = terms.where("place > 1").select("query_id", "term", "times", "df")
+    looked = rarest.where("n_terms > 1").select("query_id", "segment_id", "n_terms").join(small(others), "query_id").join(postings, ["term", "segment_id"])
+    hits = rarest.unionByName(looked).join(index["segment_stats"], "segment_id").crossJoin(F.broadcast(index["corpus_stats"]))
     share = F.col("times") * bm25(F.col("tf"), F.col("df"), F.col("n_segments"), F.col("n_tokens"), F.col("avg_tokens"))
     scored = hits.groupBy("query_id", "segment_id", "n_terms").agg(F.count("*").alias("found"), F.round(F.sum(share), 9).alias("score"))
     return scored.where("found = n_terms").select("query_id", "segment_id", "score")
@@ -126,12 +139,20 @@ def search(index: dict[str, DataFrame], queries: DataFrame, filters: SearchFilte
         raise ValueError("SEARCH_LIMIT_INVALID")
     if scope == "public" and (filters.role == "ai" or filters.kind == "ai_artifact"):
         raise ValueError("SEARCH_FILTER_INVALID: AI in public scope")
-    found = matches(index, queries, fold_diacritics).join(index["segments"], "segment_id").join(index["objects"].withColumnRenamed("id", "object_id"), "object_id")
-    found = apply_search_filters(found, filters)
+    found = apply_search_filters(matched(index, queries, fold_diacritics), filters)
     if scope == "public":
         found = public_safe(found, index)
-    top = ranked(found, limit)
-    return top.withColumn("section_id", F.when(F.col("section_id") != "__body__", F.col("section_id")))
+    return shown(ranked(found, limit))
+
+
+def matched(index: dict[str, DataFrame], queries: DataFrame, fold_diacritics: bool = True) -> DataFrame:
+    """Matches with the columns of their segment and object."""
+    return matches(index, queries, fold_diacritics).join(index["segments"], "segment_id").join(index["objects"].withColumnRenamed("id", "object_id"), "object_id")
+
+
+def shown(hits: DataFrame) -> DataFrame:
+    """Hits as they are given out: the body of an object is no section."""
+    return hits.withColumn("section_id", F.when(F.col("section_id") != "__body__", F.col("section_id")))
 
 
 def enrich_hits(hits: DataFrame, object_tags: DataFrame, citations: DataFrame) -> DataFrame:
@@ -219,67 +240,85 @@ def context(index: dict[str, DataFrame], queries: DataFrame, scope: str = "local
     if not 1 <= max_chars <= 100_000 or not 1 <= limit <= 200:
         raise ValueError("CONTEXT_BUDGET_INVALID")
     public = scope == "public"
-    statuses = schemas.STATUSES if public else (filters.record_status or "active",)
-    found = None
-    for status in statuses:
-        own = SearchFilters(**{**filters.__dict__, "record_status": status})
-        part = search(index, queries, own, "local", 200).drop("rank")
-        found = part if found is None else found.unionByName(part)
-    found = found.dropDuplicates(["query_id", "segment_id"])
-    order = Window.partitionBy("query_id").orderBy("score", "object_id", F.coalesce("section_id", F.lit("")), "ordinal", "segment_id")
-    found = found.withColumn("rank", F.row_number().over(order))
+    found = matched(index, queries)
+    if public:  # one search for all statuses; each has candidates of its own
+        found = apply_search_filters(found, filters, schemas.STATUSES)
+        best = Window.partitionBy("query_id", "record_status").orderBy(*_order())
+        found = ranked(found.withColumn("nth", F.row_number().over(best)).where("nth <= 200").drop("nth"), 200 * len(schemas.STATUSES))
+    else:
+        found = ranked(apply_search_filters(found, filters), 200)
+    found = shown(found)
     found = public_exclusion(found, index) if public else found.withColumn("public_code", F.lit(None).cast("string"))
     done = budgeted(found, limit, max_chars)
     items = done.where("code is null").select("query_id", "rank", "group", "segment_id", "object_id", "section_id", "role", "text", "score")
     exclusions = done.where("code is not null").select("query_id", "rank", "segment_id", "object_id", "section_id", "code")
-    summary = done.groupBy("query_id").agg(F.count_if(F.col("code").isNull()).alias("n_items"), F.coalesce(F.sum(F.when(F.col("code").isNull(), F.length("text"))), F.lit(0)).alias("n_chars"), F.count_if(F.col("code").isNotNull()).alias("n_excluded"))
-    return items, exclusions, summary.withColumn("truncated", F.expr("n_excluded > 0"))
+    summary = done.groupBy("query_id").agg(F.count_if(F.col("code").isNull()).alias("n_items"), F.coalesce(F.sum(F.when(F.col("code").isNull(), F.length("text"))), F.lit(0)).alias("n_chars"), F.count_if(F.col("code").isNotNull()).alias("n_excluded"), (F.count_if(F.col("code").isin("LIMIT_EXCEEDED", "CHARACTER_BUDGET_EXCEEDED")) > 0).alias("truncated"))
+    return items, exclusions, summary
 
 
 def _columns(line: str, query: str) -> list[int]:
-    """1-based places in the line at which the query stands in the normal form, without overlap."""
-    normal, origin = [], []
-    for i, c in enumerate(line):
-        n = unicodedata.normalize("NFKC", c).casefold()
-        normal.append(n)
-        origin += [i + 1] * len(n)
-    whole, out = "".join(normal), []
+    """1-based places in the line at which the query stands in the line's normal form, without overlap.
+
+    The place of a character of the normal form is the longest beginning of the line whose own
+    normal form ends before it; that length never falls, so it is found by halving.
+    """
+    normal = lambda i: len(unicodedata.normalize("NFKC", line[:i]).casefold())
+    whole, out = unicodedata.normalize("NFKC", line).casefold(), []
     at = whole.find(query)
     while at >= 0:
-        out.append(origin[at])
-        at = whole.find(query, at + len(query))
+        out.append(at + 1 if line.isascii() else max(1, bisect_right(range(len(line) + 1), at, key=normal)))
+        at = whole.find(query, at + max(1, len(query)))
     return out
 
 
 def lines_with(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``rows`` joined with each query (query_id, q) whose q stands in their ``normal``.
 
-    Queries are broadcast in blocks of about ``BROADCAST_CHARS`` characters, dealt by their
-    hash; more queries take more passes over the lines.
+    All queries are looked for at once by an automaton over them (Aho-Corasick), so a line is
+    read once however many there are.  Queries are taken in blocks of about ``BROADCAST_CHARS``
+    characters, dealt by their hash; more queries take more passes over the lines.
     """
+    spark = rows.sparkSession
     chars = wanted.agg(F.sum(F.length("q") + 8)).first()[0] or 0
     blocks = max(1, -(-chars // BROADCAST_CHARS))
-    at = F.pmod(F.xxhash64("query_id", "q"), F.lit(blocks))
-    hits = [rows.join(F.broadcast(wanted.where(at == i) if blocks > 1 else wanted), F.col("normal").contains(F.col("q"))) for i in range(blocks)]
-    return reduce(DataFrame.unionByName, hits)
+    texts = wanted.select("q").distinct().withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)))
+    hits = [_hits(rows, spark.sparkContext.broadcast([r["q"] for r in texts.where(F.col("block") == i).select("q").collect()])) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, hits).join(wanted, "q")
+
+
+def _hits(rows: DataFrame, queries) -> DataFrame:
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for q in queries.value:
+            automaton.add_word(q, q)
+        if queries.value:
+            automaton.make_automaton()
+        for batch in batches:
+            found = [sorted({q for _, q in automaton.iter(x)}) if queries.value and x else [] for x in batch.column(place).to_pylist()]
+            at = [i for i, f in enumerate(found) for _ in f]
+            taken = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array([q for f in found for q in f], pa.string())], [*batch.schema.names, "q"])
+
+    place = rows.columns.index("normal")
+    return rows.mapInArrow(kernel, T.StructType([*rows.schema.fields, T.StructField("q", T.StringType())]))
 
 
-def grep(files: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+def grep(files: DataFrame, queries: DataFrame, limit: int = 20, prefix: str = MARKER) -> DataFrame:
     """(query_id, path, line, column, excerpt, object_id, section_id, rank): literal occurrences, line by line.
 
-    ``files`` is (path, text, object_id).  Lines are tested in the JVM; only lines that hold a
-    query reach the helper that maps places back to the source line.  The section is that of
-    the last marker above, in Markdown files only.
+    ``files`` is (path, text, object_id).  Only lines that hold a query reach the helper that maps
+    places back to the source line.  The section is that of the last marker above, in Markdown
+    files only; a file's few markers ride along with its lines.
     """
     if not 1 <= limit <= 200:
         raise ValueError("SEARCH_LIMIT_INVALID")
     wanted = queries.select("query_id", tx.normalize_query(F.col("query")).alias("q")).where("q is not null")
-    rows = files.select("path", "object_id", F.posexplode(tx.lines(F.col("text"))).alias("n", "source")).withColumn("line", F.col("n") + 1)
-    marker = F.regexp_extract("source", r"<!--\s*section_id:\s*(sec_[a-z0-9][a-z0-9_-]{2,63})", 1)
-    above = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("section_id", F.when(F.col("path").endswith(".md"), F.last(F.nullif(marker, F.lit("")), ignorenulls=True).over(above)))
-    rows = rows.withColumn("normal", tx.normalized(F.col("source")))
-    hits = lines_with(rows, wanted)
+    mark = rf"<!--\s*{prefix}:section\s+id=(sec_[a-z0-9][a-z0-9_-]{{2,63}})\s"
+    whole = files.select("path", "object_id", tx.lines(F.col("text")).alias("lines"))
+    marks = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), F.regexp_extract(x, mark, 1).alias("id"))), lambda m: m["id"] != "")
+    whole = whole.withColumn("marks", F.when(F.col("path").endswith(".md"), marks))
+    rows = whole.select("path", "object_id", "marks", F.posexplode("lines").alias("n", "source")).withColumns({"line": F.col("n") + 1, "normal": tx.normalized(F.col("source"))})
+    hits = lines_with(rows, wanted).withColumn("section_id", F.try_element_at(F.filter("marks", lambda m: m["i"] < F.col("line")), F.lit(-1))["id"])
 
     @F.pandas_udf("array<int>")
     def places(line: pd.Series, query: pd.Series) -> pd.Series:

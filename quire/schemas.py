@@ -38,6 +38,9 @@ NOTE_FOLDERS = {"idea": "ideas", "literature": "literature", "concept": "concept
 #: Versions that an index depends on.
 VERSIONS = {"contract": "2", "locator": "1", "projection": "2", "ranking": "1", "search": "1", "segment": "1", "tokenizer": "1"}
 
+#: Prefix of the comments that mark sections and blocks in note bodies, where none is given.
+MARKER = "kb"
+
 ACTOR = "struct<id:string,type:string>"
 HISTORY = f"array<struct<actor:{ACTOR},changed_at:string,from:string,to:string>>"
 #: All kinds in one wide row; columns of other kinds are null.
