@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -132,50 +133,48 @@ def check_fields(data: dict) -> None:
             raise Bad("FIELD_INVALID", key)
 
 
-_MARK = re.compile(r"^<!--\s*section_id:\s*(\S+)\s+role:\s*(\w+)\s*-->[ \t]*\r?\n##[ \t]+([^\r\n]*)(?:\r?\n|\Z)", re.MULTILINE)
-_BLOCK = re.compile(r"^:::\s*(fact|ai)\s*(\{.*?\})?[ \t]*\r?\n(.*?)\r?\n:::[ \t]*(?:\r?\n|\Z)", re.MULTILINE | re.DOTALL)
+def _blocks(text: str, section: str, kind: str, prefix: str) -> list[dict]:
+    """Blocks of a fact or ai section: a comment with YAML, then the text up to the next such comment after an empty line."""
+    opening = re.compile(rf"<!--\s*{prefix}:{kind}\r?\n(.*?)\r?\n-->\s*", re.DOTALL)
+    marks = [m for m in opening.finditer(text) if re.search(r"(?:\A|(?:\r?\n){2})\Z", text[: m.start()])]
+    if text[: marks[0].start() if marks else len(text)].strip():
+        raise Bad("NOTE_BLOCK_METADATA_MISSING", section)
+    out = []
+    for m, end in zip(marks, [*(n.start() for n in marks[1:]), len(text)], strict=True):
+        meta, own = _load(m[1]), text[m.end() : end].strip()
+        if not own or kind == "ai" and not meta.get("artifact_id"):
+            raise Bad("NOTE_BLOCK_METADATA_MISSING", section)
+        cited = [{"source_id": c.get("source_id"), "locator": c.get("locator")} for c in meta.get("citations") or []] if kind == "fact" else []
+        out.append({"kind": kind, "text": own, "artifact_id": meta.get("artifact_id") if kind == "ai" else None, "citations": cited})
+    return out
 
 
-def note_sections(body: str) -> list[dict]:
+def note_sections(body: str, prefix: str = schemas.MARKER) -> list[dict]:
     """Sections of a note body in order, each with its blocks.
 
-    A section begins with ``<!-- section_id: sec_x role: fact -->`` and a ``##`` heading.  In fact
-    and ai sections blocks stand between ``::: fact {json}`` and ``:::``, the JSON holding
-    citations or the artifact's id; any text outside blocks is an error there.
+    A section begins with a comment ``prefix:section id=sec_x role=fact`` and a ``##`` heading
+    below it; text before the first isn't part of any.  In fact and ai sections each block
+    begins with a comment ``prefix:fact`` that holds its citations, or ``prefix:ai`` with the
+    artifact's id, in YAML; any other text is an error there.
     """
-    marks = list(_MARK.finditer(body))
-    out = []
-    for i, m in enumerate(marks):
-        section, role, heading = m[1], m[2], m[3].strip()
-        text = body[m.end() : marks[i + 1].start() if i + 1 < len(marks) else len(body)]
-        if not re.fullmatch(r"sec_[a-z0-9][a-z0-9_-]{2,63}", section):
-            raise Bad("SECTION_ID_INVALID", section)
+    mark = re.compile(rf"<!--\s*{prefix}:section\s+id=(sec_[a-z0-9][a-z0-9_-]{{2,63}})\s+role=([a-z]+)\s*-->\s*\n##[ \t]+([^\r\n]+)")
+    marks, out = list(mark.finditer(body)), []
+    for m, end in zip(marks, [*(n.start() for n in marks[1:]), len(body)], strict=False):
+        section, role, text = m[1], m[2], body[m.end() : end].strip()
         if role not in schemas.ROLES:
-            raise Bad("FIELD_INVALID", "role")
-        blocks = []
+            raise Bad("FIELD_INVALID", "section role")
         if role in ("human", "evolution"):
-            if text.strip():
-                blocks.append({"kind": role, "text": text.strip(), "artifact_id": None, "citations": []})
+            blocks = [{"kind": role, "text": text, "artifact_id": None, "citations": []}] if text else []
         else:
-            if _BLOCK.sub("", text).strip():
-                raise Bad("NOTE_BLOCK_METADATA_MISSING", section)
-            for b in _BLOCK.finditer(text):
-                try:
-                    meta = json.loads(b[2] or "{}")
-                except ValueError as error:
-                    raise Bad("NOTE_BLOCK_METADATA_MISSING", section) from error
-                if b[1] == "ai" and not meta.get("artifact_id"):
-                    raise Bad("NOTE_BLOCK_METADATA_MISSING", section)
-                cited = [{"source_id": c.get("source_id"), "locator": c.get("locator")} for c in meta.get("citations", [])]
-                blocks.append({"kind": b[1], "text": b[3].strip(), "artifact_id": meta.get("artifact_id"), "citations": cited})
-        out.append({"section_id": section, "role": role, "heading": heading, "blocks": blocks})
+            blocks = _blocks(text, section, role, prefix)
+        out.append({"section_id": section, "role": role, "heading": m[3].strip(), "blocks": blocks})
     return out
 
 
 _PARSED = "path string, checksum string, data string, text string, sections string, code string, message string"
 
 
-def parse_objects(files: DataFrame, roots: Roots = Roots()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def parse_objects(files: DataFrame, roots: Roots = Roots(), prefix: str = schemas.MARKER) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(objects, bodies, findings) of the files outside the relations folder.
 
     Objects have the columns of ``schemas.OBJECTS``, bodies (object_id, kind, text, sections);
@@ -198,7 +197,7 @@ def parse_objects(files: DataFrame, roots: Roots = Roots()) -> tuple[DataFrame,
                     if kind == "snippet":
                         data["snippet_path"] = data.pop("path")
                     if kind == "note":
-                        row["sections"] = json.dumps(note_sections(body))
+                        row["sections"] = json.dumps(note_sections(body, prefix))
                     else:
                         row["text"] = body.strip()
                     row["data"] = json.dumps(data)
@@ -265,12 +264,27 @@ def parse_relation_shards(files: DataFrame, roots: Roots = Roots()) -> tuple[Dat
     return edges, _findings(parsed)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where the session is one process."""
+    context = spark.sparkContext
+    at = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not at:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return at.rstrip("/")
+
+
 #: Pages of one version of the projection that are hashed to buckets.
 BUCKETED = {"segments": "segment_id", "postings": "term"}
 
 
 def write_projection(tables: dict[str, DataFrame], out: str, buckets: int = 64) -> str:
-    """Writes all tables below a new version folder and names it in ``current``; readers of the old version are not disturbed."""
+    """Writes all tables below a new version folder and adds it to ``versions`` once it is complete.
+
+    Nothing is deleted or replaced: readers take the newest complete version, and those of an
+    older one are not disturbed.
+    """
     spark = next(iter(tables.values())).sparkSession
     version = spark.range(1).select(F.expr("uuid()")).first()[0]
     for name, df in tables.items():
@@ -279,12 +293,14 @@ def write_projection(tables: dict[str, DataFrame], out: str, buckets: int = 64)
             df.write.partitionBy("bucket").parquet(f"{out}/{version}/{name}")
         else:
             df.write.parquet(f"{out}/{version}/{name}")
-    spark.createDataFrame([(version, sorted(tables))], "version string, tables array<string>").coalesce(1).write.mode("overwrite").json(f"{out}/current")
+    pointer = spark.createDataFrame([(version, sorted(tables))], "version string, tables array<string>").withColumn("at", F.current_timestamp())
+    pointer.coalesce(1).write.mode("append").parquet(f"{out}/versions")
     return version
 
 
 def read_projection(spark: SparkSession, out: str) -> dict[str, DataFrame]:
-    now = spark.read.json(f"{out}/current").first()
+    """The tables of the newest complete version."""
+    now = spark.read.parquet(f"{out}/versions").orderBy(F.desc("at"), "version").first()
     return {name: spark.read.parquet(f"{out}/{now['version']}/{name}").drop("bucket") for name in now["tables"]}
 
 
@@ -306,14 +322,14 @@ def _document(data: pd.Series, body: pd.Series) -> pd.Series:
     return pd.Series([one(d, b) for d, b in zip(data, body, strict=True)])
 
 
-def render_objects(objects: DataFrame, bodies: DataFrame) -> DataFrame:
+def render_objects(objects: DataFrame, bodies: DataFrame, prefix: str = schemas.MARKER) -> DataFrame:
     """(path, content): each object as a document that parses back to the same row and body."""
     names = [c for c in objects.columns if c not in ("path", "checksum", "subtype", "snippet_path")]
     own = [F.col(f"o.`{c}`").alias(c) for c in names]
     subtype = [F.when(F.col("o.kind") == k, F.col("o.subtype")).alias(n) for k, n in (("source", "source_type"), ("note", "note_type"), ("ai_artifact", "artifact_type"))]
-    block = lambda b: F.when(b["kind"].isin("fact", "ai"), F.concat(F.lit("::: "), b["kind"], F.lit(" "), F.to_json(F.struct(b["artifact_id"].alias("artifact_id"), b["citations"].alias("citations"))), F.lit("\n"), b["text"], F.lit("\n:::"))).otherwise(b["text"])
-    section = lambda s: F.concat(F.lit("<!-- section_id: "), s["section_id"], F.lit(" role: "), s["role"], F.lit(" -->\n## "), s["heading"], F.lit("\n\n"), F.array_join(F.transform(s["blocks"], block), "\n\n"))
-    body = F.coalesce(F.array_join(F.transform("b.sections", section), "\n\n"), F.col("b.text"))
+    block = lambda b: F.when(b["kind"].isin("fact", "ai"), F.concat(F.lit(f"<!-- {prefix}:"), b["kind"], F.lit("\n"), F.to_json(F.struct(b["artifact_id"].alias("artifact_id"), F.when(b["kind"] == "fact", b["citations"]).alias("citations"))), F.lit("\n-->\n"), b["text"])).otherwise(b["text"])
+    section = lambda s: F.concat(F.lit(f"<!-- {prefix}:section id="), s["section_id"], F.lit(" role="), s["role"], F.lit(" -->\n\n## "), s["heading"], F.lit("\n\n"), F.array_join(F.transform(s["blocks"], block), "\n\n"))
+    body = F.coalesce(F.concat(F.lit("# "), F.col("o.title"), F.lit("\n\n"), F.array_join(F.transform("b.sections", section), "\n\n")), F.col("b.text"))
     rows = objects.alias("o").join(bodies.alias("b"), F.col("o.id") == F.col("b.object_id"), "left")
     data = F.to_json(F.struct(*own, *subtype, F.col("o.snippet_path").alias("path")))
     return rows.select("o.path", _document(data, body).alias("content"))
