@@ -109,15 +109,15 @@ def context_exclusions(spark, d):
     return search.context(fx.index(spark, d), fx.queries_of(spark, d), "public")[1].select("query_id", "rank", "segment_id", "code")
 
 
-@query(f"{CONTEXT} SELECT query_id, count(*) FILTER (WHERE code IS NULL) AS n_items, CAST(coalesce(sum(length(text)) FILTER (WHERE code IS NULL), 0) AS BIGINT) AS n_chars, count(*) FILTER (WHERE code IS NOT NULL) AS n_excluded, count(*) FILTER (WHERE code IS NOT NULL) > 0 AS truncated FROM coded GROUP BY query_id")
+@query(f"{CONTEXT} SELECT query_id, count(*) FILTER (WHERE code IS NULL) AS n_items, CAST(coalesce(sum(length(text)) FILTER (WHERE code IS NULL), 0) AS BIGINT) AS n_chars, count(*) FILTER (WHERE code IS NOT NULL) AS n_excluded, count(*) FILTER (WHERE code IN ('LIMIT_EXCEEDED', 'CHARACTER_BUDGET_EXCEEDED')) > 0 AS truncated FROM coded GROUP BY query_id")
 def context_summary(spark, d):
     return search.context(fx.index(spark, d), fx.queries_of(spark, d), "public")[2]
 
 
 @query(f"{', '}{STATS} SELECT term, df FROM dfs")
 def term_statistics(spark, d):
-    """TX1, PR8, PR9."""
-    return fx.index(spark, d)["term_stats"]
+    """TX1, PR8, PR9: the index built from the texts."""
+    return fx.built_index(spark, d)["term_stats"]
 
 
 @query(f"{', '}{STATS} SELECT segment_id, coalesce(n, 0) AS n_tokens FROM v_segments LEFT JOIN lens USING (segment_id)")
@@ -143,11 +143,18 @@ def grep_lines(spark, d):
     return search.lines_with(rows, wanted).groupBy("query_id").agg(F.count_distinct("path", "n").alias("n_lines"))
 
 
-@query()
+@query(rf"""{", "}q AS ({fx.QUERY_SQL}), qn AS (SELECT query_id, replace(lower(query), 'ß', 'ss') AS q FROM q),
+    l AS (SELECT doc_id, generate_subscripts(ls, 1) AS line, unnest(ls) AS source FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+    h AS (SELECT query_id, doc_id, line, source, string_split(replace(lower(source), 'ß', 'ss'), q) AS parts, q FROM l JOIN qn ON contains(replace(lower(source), 'ß', 'ss'), q)),
+    p AS (SELECT query_id, doc_id, line, source, unnest(range(1, len(parts))) AS k, parts, q FROM h),
+    c AS (SELECT query_id, concat('notes/', doc_id, '.md') AS path, line, list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(q) AS before, source FROM p),
+    m AS (SELECT *, list_max(list_filter(range(0, length(source) + 1), lambda i: length(replace(lower(substring(source, 1, i)), 'ß', 'ss')) <= before)) + 1 AS col FROM c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path, line, col) AS rank FROM m)
+    SELECT query_id, path, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS col, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 200""")
 def grep_hits(spark, d):
-    """SE6 with places, excerpts and sections; against brute force in the tests."""
+    """SE6 with places."""
     files = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("notes/"), F.col("doc_id"), F.lit(".md")).alias("path"), F.concat(F.lit("note_"), F.col("doc_id")).alias("object_id"), "text")
-    return search.grep(files, fx.queries_of(spark, d), 200)
+    return search.grep(files, fx.queries_of(spark, d), 200).select("query_id", "path", "line", F.col("column").alias("col"), "rank")
 
 
 @query(f"{CODES.replace(',', ', ', 1)} SELECT segment_id, code, n_citations FROM audit")
@@ -321,18 +328,6 @@ def recognized_inputs(spark, d):
     return rows.select((F.col("request_id") * 10 + F.col("k")).alias("request_id"), idn.recognize_input(F.col("input"), F.lit(None).cast("string"))["type"].alias("type"))
 
 
-@query()
-def captured(spark, d):
-    """BK1, JO3, JO4, JO7, TX11, TX12 with what the part table asks for; tested on small frames."""
-    rows = fx.view(spark, d, "v_identifiers").select("request_id", F.posexplode(F.array("doi", "arxiv", "isbn", "repo", "web")).alias("k", "input"))
-    requests = rows.select((F.col("request_id") * 10 + F.col("k")).alias("request_id"), "input", F.lit(None).cast("string").alias("type"))
-    ids = fx.view(spark, d, "v_identifiers")
-    metadata = ids.select(F.concat(F.lit("k"), F.col("request_id") % 40).alias("item_key"), "doi", F.lit(None).cast("string").alias("arxiv_id"), F.lit(None).cast("string").alias("isbn"), F.lit(None).cast("string").alias("url")).distinct()
-    children = metadata.select(F.col("item_key").alias("parent_key"), F.concat(F.lit("c"), F.col("item_key")).alias("item_key"), F.lit("application/pdf").alias("content_type"), F.lit("imported_file").alias("link_mode"))
-    sources = fx.details(spark, d).where("kind = 'source'").withColumns({n: F.lit(None).cast("string") for n in ("doi", "arxiv_id")}).withColumn("canonical_url", F.col("title"))
-    return bulk.bulk_capture(requests, sources, metadata, children, "2024-01-02T00:00:00Z")[0]
-
-
 @query("""SELECT request_id, from_id, to_id, relation_type, CASE WHEN fk IS NULL THEN 'RELATION_SOURCE_MISSING' WHEN tk IS NULL THEN 'RELATION_TARGET_MISSING' WHEN tk <> 'note' OR fk <> 'note' THEN 'RELATION_KIND_INVALID'
     WHEN from_id = to_id THEN 'RELATION_NOT_CANONICAL' WHEN there OR nth > 1 THEN 'RELATION_EXISTS' ELSE 'ADDED' END AS result FROM (
     SELECT a.*, f.kind AS fk, t.kind AS tk, r.from_id IS NOT NULL AS there, row_number() OVER (PARTITION BY a.from_id, a.to_id ORDER BY request_id) AS nth FROM (
@@ -432,22 +427,33 @@ def first_of_each_id(spark, d):
     return first.join(later, F.expr("id <=> later"), "left").select("id", "path", F.coalesce("n_later", F.lit(0)).alias("n_later"))
 
 
-@query("""SELECT p.item_key, CASE WHEN n = 1 THEN child END AS child_key, CASE WHEN n IS NULL THEN 'ATTACHMENT_UNAVAILABLE' WHEN n > 1 THEN 'ATTACHMENT_AMBIGUOUS' END AS code FROM (SELECT p_partkey AS item_key FROM part) p
-    LEFT JOIN (SELECT l_partkey, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS child FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7 GROUP BY ALL) c ON c.l_partkey = item_key""")
+_CHILDREN = """
+    kids AS (SELECT l_partkey AS parent, l_orderkey * 10 + l_linenumber AS child, CASE WHEN l_linenumber = 1 THEN 'note' ELSE 'attachment' END AS item_type,
+        CASE WHEN l_linenumber = 2 THEN NULL WHEN l_linenumber = 3 AND l_returnflag = 'R' THEN 'Scan.PDF' WHEN l_linenumber = 7 AND l_returnflag = 'A' THEN 'a/b.pdf' ELSE 'page.html' END AS filename,
+        CASE WHEN l_linenumber IN (1, 2) THEN 'application/pdf' WHEN l_linenumber = 7 THEN CASE WHEN l_returnflag = 'N' THEN 'text/html' ELSE 'application/pdf' END WHEN l_linenumber = 3 THEN NULL WHEN l_linenumber = 6 AND l_returnflag = 'A' THEN 'application/xhtml+xml' ELSE 'text/plain' END AS content_type,
+        CASE WHEN l_linenumber = 6 THEN 'imported_url' ELSE 'linked_file' END AS link_mode FROM lineitem)"""
+
+
+def _children(spark, d):
+    c, k, flag = F.col, F.col("l_linenumber"), F.col("l_returnflag")
+    name = F.when(k == 2, None).when((k == 3) & (flag == "R"), "Scan.PDF").when((k == 7) & (flag == "A"), "a/b.pdf").otherwise("page.html")
+    kind = F.when(k.isin(1, 2), "application/pdf").when(k == 7, F.when(flag == "N", "text/html").otherwise("application/pdf")).when(k == 3, None).when((k == 6) & (flag == "A"), "application/xhtml+xml").otherwise("text/plain")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    return rows.select(c("l_partkey").alias("parent_key"), (c("l_orderkey") * 10 + k).alias("item_key"), F.when(k == 1, "note").otherwise("attachment").alias("item_type"), name.alias("filename"), kind.alias("content_type"), F.when(k == 6, "imported_url").otherwise("linked_file").alias("link_mode"))
+
+
+@query(f""", {_CHILDREN} SELECT p_partkey AS item_key, CASE WHEN n = 1 AND NOT unsafe THEN child END AS child_key, CASE WHEN n IS NULL THEN 'PAPER_ATTACHMENT_UNAVAILABLE' WHEN n > 1 THEN 'PAPER_ATTACHMENT_AMBIGUOUS' WHEN unsafe THEN 'ZOTERO_RESPONSE_INVALID' END AS code
+    FROM part LEFT JOIN (SELECT parent, count(*) AS n, min(child) AS child, bool_or(contains(filename, '/')) AS unsafe FROM kids WHERE item_type = 'attachment' AND coalesce(filename, '') <> '' AND (content_type = 'application/pdf' OR lower(filename) LIKE '%.pdf') GROUP BY parent) ON parent = p_partkey""")
 def primary_attachments(spark, d):
-    """JO7: order lines as the children of parts."""
-    lines = spark.read.parquet(f"{d}/lineitem.parquet")
-    kind = F.when(F.col("l_returnflag") == "R", "application/pdf").otherwise("text/html")
-    mode = F.when(F.col("l_linenumber") == 7, "imported_file").otherwise("linked_file")
-    children = lines.select(F.col("l_partkey").alias("parent_key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_key"), kind.alias("content_type"), mode.alias("link_mode"))
-    return joins.select_primary_attachment(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("item_key")), children)
+    """JO7: order lines as the children of parts; linked and untyped PDFs count."""
+    return joins.select_primary_attachment(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("item_key")), _children(spark, d)).select("item_key", "child_key", "code")
 
 
 @query("SELECT url AS request_id, list_sort(list(concat('src_', CAST(page_id AS VARCHAR)))) AS source_ids FROM pages WHERE url IS NOT NULL GROUP BY url")
 def alias_matches(spark, d):
     """JO3, TX12: every address against the aliases of all sources."""
     none = F.lit(None).cast("string")
-    alias = idn.source_aliases(F.lit("web"), none, none, none, F.col("canonical_url"), none, none)
+    alias = idn.source_aliases(F.lit("web"), none, none, none, F.col("canonical_url"), none, none, none)
     rows = fx.view(spark, d, "v_sources").select("id", "canonical_url", alias.alias("aliases"))
     return joins.match_aliases(rows.select(F.col("canonical_url").alias("request_id"), "aliases").distinct(), rows)
 
@@ -532,7 +538,7 @@ def fact_findings(spark, d):
     return validate.check_facts(_bodies(spark, d), fx.details(spark, d)).select("code", "object_id", "section_id")
 
 
-_NOTE_FINDINGS = "SELECT 'NOTE_MATURITY_INVALID' AS code, id AS object_id, concat('notes/', substring(id, 6, 20), '.md') AS path FROM v_notes WHERE subtype = 'idea' AND maturity <> 'seed'"
+_NOTE_FINDINGS = "SELECT 'NOTE_MATURITY_INVALID' AS code, id AS object_id, concat('notes/', substring(id, 6, 20), '.md') AS path FROM v_notes WHERE subtype = 'idea' AND maturity NOT IN ('seed', 'developing')"
 
 
 def _note_findings(spark, d):
@@ -576,21 +582,38 @@ def identities(spark, d):
     return fx.view(spark, d, "v_identifiers").select("request_id", of(c("doi")).alias("by_doi"), of(none).alias("by_arxiv"))
 
 
-@query("""SELECT p.item_key, CASE WHEN n = 1 THEN child END AS child_key, CASE WHEN n IS NULL THEN 'SNAPSHOT_UNAVAILABLE' WHEN n > 1 THEN 'SNAPSHOT_AMBIGUOUS' END AS code FROM (SELECT p_partkey AS item_key FROM part) p
-    LEFT JOIN (SELECT l_partkey, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS child FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 6 GROUP BY ALL) c ON c.l_partkey = item_key""")
+@query(f""", {_CHILDREN} SELECT p_partkey AS item_key, CASE WHEN n = 1 AND p_size % 2 = 0 THEN child END AS child_key, CASE WHEN coalesce(n, 0) <> 1 OR p_size % 2 = 1 THEN 'ZOTERO_ITEM_UNAVAILABLE' END AS code
+    FROM part LEFT JOIN (SELECT parent, count(*) AS n, min(child) AS child FROM kids WHERE item_type = 'attachment' AND link_mode = 'imported_url' AND content_type IN ('text/html', 'application/xhtml+xml') GROUP BY parent) ON parent = p_partkey""")
 def web_snapshots(spark, d):
-    """JO7: order lines as the stored pages of parts."""
-    kind = F.when(F.col("l_returnflag") == "A", "text/html").otherwise("application/pdf")
-    mode = F.when(F.col("l_linenumber") == 6, "imported_url").otherwise("linked_url")
-    children = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_partkey").alias("parent_key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_key"), kind.alias("content_type"), mode.alias("link_mode"))
-    return joins.select_web_snapshot(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("item_key")), children)
+    """JO7: order lines as the stored pages of parts; only web pages have one."""
+    items = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("item_key"), F.when(F.col("p_size") % 2 == 0, "webpage").otherwise("book").alias("item_type"))
+    return joins.select_web_snapshot(items, _children(spark, d)).select("item_key", "child_key", "code")
 
 
-@query("""SELECT id, 0 AS ordinal, 'sec_my_interpretation' AS section_id, 'human' AS role FROM v_notes
-    UNION ALL SELECT id, 1, 'sec_original_facts', 'fact' FROM v_notes WHERE maturity IN ('mature', 'evergreen')""")
-def migrated_sections(spark, d):
-    """MG2: the second section of a seed is unknown and that of a developing note repeats the first, so both block."""
+def _v1_notes(spark, d):
     second = F.when(F.col("maturity") == "seed", "sec_elsewhere").when(F.col("maturity") == "developing", "sec_my_interpretation").otherwise("sec_original_facts")
-    part = lambda name, head, text: F.concat(F.lit("<!-- section_id: "), name, F.lit(f" -->\n## {head}\n\n"), F.coalesce(text, F.lit("")), F.lit("\n\n"))
-    notes = fx.view(spark, d, "v_notes").select("id", F.concat(F.lit("notes/"), F.col("id"), F.lit(".md")).alias("path"), F.concat(part(F.lit("sec_my_interpretation"), "Mine", F.col("title")), part(second, "More", F.col("tag1"))).alias("body"))
-    return migrate.migrate_sections(notes)[0].select("id", "ordinal", "section_id", "role")
+    body = F.concat(F.lit("Lead.\n<!-- section_id: sec_my_interpretation -->\n## Mine\n\nOwn "), "tag1", F.lit("\n\n<!-- section_id: "), second, F.lit(" -->\n## More\n"), "tag2", F.lit("  "))
+    return fx.view(spark, d, "v_notes").select("id", F.concat(F.lit("notes/"), F.col("id"), F.lit(".md")).alias("path"), F.when(F.col("subtype") == "synthesis", "no section").otherwise(body).alias("body"))
+
+
+@query("""SELECT id, 0 AS ordinal, 'sec_my_interpretation' AS section_id, 'human' AS role, 'Mine' AS heading, concat('Own ', tag1) AS text FROM v_notes WHERE maturity IN ('mature', 'evergreen') AND subtype <> 'synthesis'
+    UNION ALL SELECT id, 1, 'sec_original_facts', 'fact', 'More', tag2 FROM v_notes WHERE maturity IN ('mature', 'evergreen') AND subtype <> 'synthesis'""")
+def migrated_sections(spark, d):
+    """MG2: sections with their texts; notes with an unknown or repeated section give none."""
+    return migrate.migrate_sections(_v1_notes(spark, d))[0].select("id", "ordinal", "section_id", "role", "heading", "text")
+
+
+@query("SELECT id AS object_id, 'blocker' AS kind, 'MIGRATION_SECTION_BLOCKED' AS code FROM v_notes WHERE maturity IN ('seed', 'developing') OR subtype = 'synthesis'")
+def blocked_sections(spark, d):
+    """MG2: a note is blocked by an unknown section, a repeated one or none at all."""
+    return migrate.migrate_sections(_v1_notes(spark, d))[1].select("object_id", "kind", "code")
+
+
+@query("""SELECT CAST(crc32_ % 4096 AS INTEGER) AS bucket, sha256(string_agg(concat(path, chr(0), checksum, chr(0)), '' ORDER BY path)) AS digest, count(*) AS n_paths
+    FROM (SELECT path, checksum, CAST(concat('0x', substring(md5(path), 1, 3)) AS BIGINT) AS crc32_ FROM v_scan_new) GROUP BY 1""")
+def snapshot_parts(spark, d):
+    """AG3 spread over buckets of paths."""
+    return catalog.snapshot_buckets(fx.view(spark, d, "v_scan_new"))
+
+
+from quire.plans import faults  # noqa: E402,F401  registers its queries
