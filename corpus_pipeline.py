@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import decontam, jaccard, packing, quality, toxicity
 from quire.llm.queries import WORD_BPE
-from quire.llm.shared import fresh_folder
+from quire.llm.shared import fresh_folder, removed
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +49,19 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written below the shared folder and read again."""
-    at = f"{sf_dir}/documents.parquet"
+    """All stages over ``documents``, each written below the shared folder and read again.
+
+    Rows with null ids or texts, repeated rows and extra columns go through the stages as each
+    operator defines it; an empty table gives an empty packing.  A stage's table is deleted once
+    the next one is written.
+    """
+    at, last = f"{sf_dir}/documents.parquet", None
     for _, stage in STAGES:
         out = fresh_folder(spark, "stage")
         stage(spark, spark.read.parquet(at), sf_dir).write.parquet(out)
-        at = out
+        if last:
+            removed(spark, last)
+        at = last = out
     return spark.read.parquet(at)
 
 
