@@ -12,12 +12,13 @@ from quire.operators import bulk, catalog, validate
 from quire.plans import fixtures as fx
 from quire.plans.queries import _bodies, query
 
-NONE = F.lit(None).cast("string")
+def _none():
+    return F.lit(None).cast("string")
 
 
 def _sources(spark, d):
     filled = F.when(F.col("n") % 2 == 0, "c0").otherwise("c1")
-    more = {"kind": F.lit("source"), "path": F.concat(F.lit("sources/"), F.col("id"), F.lit(".md")), "repository_path": F.lit("a/b"), "commit": filled, "license": F.lit("MIT"), "managed_fields_hash": NONE}
+    more = {"kind": F.lit("source"), "path": F.concat(F.lit("sources/"), F.col("id"), F.lit(".md")), "repository_path": F.lit("a/b"), "commit": filled, "license": F.lit("MIT"), "managed_fields_hash": _none()}
     return fx.view(spark, d, "x_sources").withColumns(more)
 
 
@@ -45,8 +46,8 @@ def transition_findings(spark, d):
 
 def _pieces(spark, d):
     c = F.col
-    snippets = fx.view(spark, d, "x_snippets").select("id", F.lit("snippet").alias("kind"), NONE.alias("subtype"), "source_id", "start_line", "end_line", F.lit("public").alias("visibility"), *(NONE.alias(x) for x in ("review_status", "reviewed_by", "reviewed_at", "input_id", "input_section")))
-    ai = fx.view(spark, d, "x_artifacts").select("id", F.lit("ai_artifact").alias("kind"), F.lit("summary").alias("subtype"), NONE.alias("source_id"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), "visibility", "review_status", "reviewed_by", "reviewed_at", "input_id", "input_section")
+    snippets = fx.view(spark, d, "x_snippets").select("id", F.lit("snippet").alias("kind"), _none().alias("subtype"), "source_id", "start_line", "end_line", F.lit("public").alias("visibility"), *(_none().alias(x) for x in ("review_status", "reviewed_by", "reviewed_at", "input_id", "input_section")))
+    ai = fx.view(spark, d, "x_artifacts").select("id", F.lit("ai_artifact").alias("kind"), F.lit("summary").alias("subtype"), _none().alias("source_id"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), "visibility", "review_status", "reviewed_by", "reviewed_at", "input_id", "input_section")
     rows = snippets.unionByName(ai)
     ref = F.when(c("input_id").isNotNull(), F.array(F.struct(c("input_id").alias("object_id"), c("input_section").alias("section_id"))))
     return rows.withColumns({"input_refs": ref, "path": F.concat(F.lit("x/"), "id", F.lit(".md"))})
@@ -77,8 +78,8 @@ def locator_findings(spark, d):
     snap = F.when(c("t") == "web", F.struct(F.lit("2024-01-01T00:00:00Z").alias("captured_at"), c("hash").alias("content_hash"), F.lit("i").alias("identifier"), F.lit("p").alias("provider")))
     oss = lambda v: F.when(c("t") == "oss", F.lit(v))
     fields = {
-        "chapter": c("chapter"), "commit": oss("c"), "edition": F.when(c("t") == "book", c("edition")), "end_line": c("b"), "figure": NONE, "heading_path": F.when(c("heads"), F.array(F.lit("h"))), "isbn": F.when(c("t") == "book", c("isbn")), "location": NONE, "locator_version": c("v").cast("int"),
-        "page": F.when(c("t").isin("paper", "book"), c("page")), "page_label": NONE, "paragraph": c("para").cast("int"), "path": oss("f"), "repository_host": oss("h"), "repository_path": oss("a/b"), "section": NONE, "snapshot_ref": snap, "source_type": c("t"), "start_line": c("a"), "symbol": c("sym"), "table": NONE,
+        "chapter": c("chapter"), "commit": oss("c"), "edition": F.when(c("t") == "book", c("edition")), "end_line": c("b"), "figure": _none(), "heading_path": F.when(c("heads"), F.array(F.lit("h"))), "isbn": F.when(c("t") == "book", c("isbn")), "location": _none(), "locator_version": c("v").cast("int"),
+        "page": F.when(c("t").isin("paper", "book"), c("page")), "page_label": _none(), "paragraph": c("para").cast("int"), "path": oss("f"), "repository_host": oss("h"), "repository_path": oss("a/b"), "section": _none(), "snapshot_ref": snap, "source_type": c("t"), "start_line": c("a"), "symbol": c("sym"), "table": _none(),
     }
     edges = rows.select(F.col("n").cast("string").alias("from_id"), F.lit("relations/x.yaml").alias("path"), F.struct(*(v.alias(n) for n, v in fields.items())).alias("locator"))
     return validate.check_locators(_bodies(spark, d).limit(0), edges).select("code", "object_id")
@@ -211,10 +212,10 @@ def _captures(spark, d):
     number = F.col("n").cast("string")
     asked = of(0, F.concat(F.lit("https://doi.org/10.1000/I"), number), F.lit(None)).unionByName(of(1, F.concat(F.lit("10.1000/i"), number), kind)).unionByName(of(2, F.concat(F.lit("2401."), F.lpad(number, 5, "0")), F.lit(None)))
     asked = asked.unionByName(of(3, F.concat(F.lit("https://site.example.org/"), number), F.lit("web"))).unionByName(of(4, F.concat(F.lit("https://github.com/team/p"), number), F.lit(None))).unionByName(of(5, F.lit("no identifier"), F.lit(None)))
-    metadata = items.select("item_key", "item_type", F.col("item_key").alias("title"), "doi", "arxiv_id", NONE.alias("isbn"), "url")
+    metadata = items.select("item_key", "item_type", F.col("item_key").alias("title"), "doi", "arxiv_id", _none().alias("isbn"), "url")
     child = lambda suffix, where, kind, mode: items.where(where).select(F.col("item_key").alias("parent_key"), F.concat("item_key", F.lit(suffix)).alias("item_key"), F.lit("attachment").alias("item_type"), F.lit("f").alias("filename"), F.lit(kind).alias("content_type"), F.lit(mode).alias("link_mode"))
     children = child("p", "n % 2 = 0", "application/pdf", "linked_file").unionByName(child("q", "n % 6 = 0", "application/pdf", "linked_file")).unionByName(child("h", "n % 4 < 3", "text/html", "imported_url"))
-    have = items.where("n % 3 = 0").select(F.concat(F.lit("src_"), "n").alias("id"), F.when(F.col("n") % 6 == 0, "paper").otherwise("book").alias("subtype"), F.concat(F.lit("10.1000/I"), "n").alias("doi"), *(NONE.alias(x) for x in ("arxiv_id", "isbn", "canonical_url", "repository_host", "repository_path", "commit")))
+    have = items.where("n % 3 = 0").select(F.concat(F.lit("src_"), "n").alias("id"), F.when(F.col("n") % 6 == 0, "paper").otherwise("book").alias("subtype"), F.concat(F.lit("10.1000/I"), "n").alias("doi"), *(_none().alias(x) for x in ("arxiv_id", "isbn", "canonical_url", "repository_host", "repository_path", "commit")))
     repositories = items.where("n % 2 = 1").select(F.concat(F.lit("https://github.com/team/p"), "n").alias("url"), F.col("item_key").alias("title"), F.lit("c0").alias("commit"), F.lit("main").alias("default_branch"))
     return bulk.bulk_capture(asked, have, metadata, children, "2024-01-02T00:00:00Z", repositories=repositories)
 
