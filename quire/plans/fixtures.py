@@ -149,17 +149,20 @@ def index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
         out = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        write_projection(built_index(spark, sf_dir), out, 16)
+        write_projection(built_index(spark, sf_dir, f"{out}/fields"), out, 16)
         _stored[key] = out
     return read_projection(spark, _stored[key])
 
 
-def built_index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The tables that search reads, from the test tables."""
+def built_index(spark: SparkSession, sf_dir: str, at: str | None = None) -> dict[str, DataFrame]:
+    """The tables that search reads, from the test tables; tokens are written to ``at``, if given, so that texts are cut once for all."""
     from quire.operators.index import build_postings
 
     segments = view(spark, sf_dir, "v_segments").drop("doc_no", "lang")
     objects = details(spark, sf_dir)
     fields = project_search_fields(segments, objects)
+    if at:
+        fields.write.parquet(at)
+        fields = spark.read.parquet(at)
     keep = ["id", "kind", "subtype", "title", "visibility", "record_status", "workflow_stage", "maturity", "tags"]
     return {"segments": segments, "objects": objects.select(*keep, F.lit(None).cast("string").alias("review_status")), "details": objects, "citations": located(view(spark, sf_dir, "v_citations")), **build_postings(fields)}
