@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontam, jaccard, packing, quality, tokencount, topk, toxicity, urlfilter, warc
+from quire.llm import ann, chat, decontam, jaccard, lexical, packing, quality, resample, tokencount, topk, toxicity, urlfilter, warc
 from quire.llm.shared import documents
 
 WORD_BPE = "word_bpe_49k.json"
@@ -67,9 +67,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.usable(_table(spark, sf_dir, "embeddings"))
+    return ann.nearest(vectors, vectors.where("id % 20 = 0"), 20)
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_topk, op3_toxicity, op4_chat, op5_warc, op6_decontamination, op7_jaccard, op8_urls, op9_tokens, op10_quality)
-}
+    f.__name__: f
+    for f in (
+        op1_packing, op2_topk, op3_toxicity, op4_chat, op5_warc, op6_decontamination, op7_jaccard, op8_urls, op9_tokens, op10_quality,
+        op11_resampling, op12_neighbours, op13_lexical,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_topk": r"""
@@ -131,4 +148,36 @@ ORACLE_SQL: dict[str, str] = {
         best AS (SELECT page_id, arg_max(h || b, length(h || b)) AS rule, arg_max(verdict, length(h || b)) AS verdict
                  FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, b) GROUP BY page_id)
         SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN best USING (page_id)""",
+    "op11_resampling": r"""
+        WITH RECURSIVE step(i, k, c) AS (
+            SELECT range, 0, range FROM range(256)
+            UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS tab FROM step WHERE k = 8),
+        dw AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        bw AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        d AS (SELECT r, unnest(w) AS w FROM dw), b AS (SELECT unnest(w) AS w FROM bw),
+        bytes AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM d UNION SELECT w FROM b)),
+        place AS (SELECT w, xor(list_reduce(list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)),
+                                lambda c, y: xor(c >> 8, tab[xor(c & 255, y) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM bytes, crc),
+        s AS (SELECT bucket, count(*) AS s FROM d JOIN place USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM b JOIN place USING (w) GROUP BY bucket),
+        total AS (SELECT coalesce((SELECT sum(s) FROM s), 0) + 10000.0::DOUBLE AS s, coalesce((SELECT sum(t) FROM t), 0) + 10000.0::DOUBLE AS t),
+        gain AS (SELECT bucket, CAST(floor(1000 * ln(((coalesce(t.t, 0) + 1.0::DOUBLE) * total.s) / ((coalesce(s.s, 0) + 1.0::DOUBLE) * total.t))) AS BIGINT) AS gain FROM s FULL JOIN t USING (bucket), total),
+        weight AS (SELECT r, CAST(sum(gain) AS BIGINT) AS weight FROM d JOIN place USING (w) JOIN gain USING (bucket) GROUP BY r),
+        scored AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+                          coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256(concat('2024:', doc_id)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+                   FROM dw LEFT JOIN weight USING (r)),
+        placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM placed) * 10 // 100 THEN rank END AS rank FROM scored LEFT JOIN placed USING (r)""",
+    "op13_lexical": r"""
+        WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        d AS (SELECT row_number() OVER () AS r, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM dw WHERE len(w) > 0),
+        total AS (SELECT count(*) AS n_docs, sum(n) AS n_words FROM d),
+        p AS (SELECT r, w, count(*) AS tf FROM (SELECT r, unnest(w) AS w FROM d) GROUP BY r, w),
+        weight AS (SELECT w, CAST(floor(1000 * ln((2 * n_docs + 2.0::DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT w, count(*) AS df FROM p GROUP BY w), total),
+        iw AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        q AS (SELECT item, item_id, w, count(*) AS times FROM (SELECT item, item_id, unnest(w) AS w FROM iw) GROUP BY item, item_id, w),
+        scored AS (SELECT item, item_id, r, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_words)))) AS BIGINT) AS score
+                   FROM q JOIN weight USING (w) JOIN p USING (w) JOIN d USING (r), total GROUP BY item, item_id, r, doc_id),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM placed WHERE rank <= 10""",
 }
