@@ -76,5 +76,5 @@ def project_scan_state(files: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def index_metadata(spark: SparkSession, snapshot: str, built_at: str, versions: dict[str, str] = schemas.VERSIONS) -> DataFrame:
-    rows = [*((f"{k}_version", v) for k, v in sorted(versions.items())), ("snapshot_hash", snapshot), ("built_at", built_at)]
+    rows = [*((f"{k}_version", v) for k, v in sorted(versions.items())), ("snapshot_digest", snapshot), ("built_at", built_at)]
     return spark.createDataFrame(rows, "key string, value string")

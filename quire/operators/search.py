@@ -136,7 +136,7 @@ def search(index: dict[str, DataFrame], queries: DataFrame, filters: SearchFilte
     limit, and asking for AI text is an error.
     """
     if not 1 <= limit <= 200:
-        raise ValueError("SEARCH_LIMIT_INVALID")
+        raise ValueError("SEARCH_QUERY_INVALID")
     if scope == "public" and (filters.role == "ai" or filters.kind == "ai_artifact"):
         raise ValueError("SEARCH_FILTER_INVALID: AI in public scope")
     found = apply_search_filters(matched(index, queries, fold_diacritics), filters)
@@ -238,7 +238,7 @@ def context(index: dict[str, DataFrame], queries: DataFrame, scope: str = "local
     status, merged by rank, so that unsafe ones can be named.
     """
     if not 1 <= max_chars <= 100_000 or not 1 <= limit <= 200:
-        raise ValueError("CONTEXT_BUDGET_INVALID")
+        raise ValueError("SEARCH_QUERY_INVALID")
     public = scope == "public"
     found = matched(index, queries)
     if public:  # one search for all statuses; each has candidates of its own
@@ -311,7 +311,7 @@ def grep(files: DataFrame, queries: DataFrame, limit: int = 20, prefix: str = MA
     files only; a file's few markers ride along with its lines.
     """
     if not 1 <= limit <= 200:
-        raise ValueError("SEARCH_LIMIT_INVALID")
+        raise ValueError("SEARCH_QUERY_INVALID")
     wanted = queries.select("query_id", tx.normalize_query(F.col("query")).alias("q")).where("q is not null")
     mark = rf"<!--\s*{prefix}:section\s+id=(sec_[a-z0-9][a-z0-9_-]{{2,63}})\s"
     whole = files.select("path", "object_id", tx.lines(F.col("text")).alias("lines"))

@@ -103,13 +103,16 @@ def locator_code(l: Column) -> Column:  # noqa: E741
     low = lambda f: l[f].isNotNull() & (l[f] < 1)
     of = lambda t, broken: ("LOCATOR_INVALID", (kind == t) & broken)
     lines = l["start_line"].isNotNull() & l["end_line"].isNotNull()
-    empty = lambda f: F.coalesce(snap[f], F.lit("")) == ""
+    some = lambda parts: reduce(lambda a, b: a | b, parts)
+    parts = ("provider", "identifier", "captured_at", "content_hash")
+    repository = ("repository_host", "repository_path", "commit", "path")
     return first_code(
-        ("LOCATOR_VERSION_UNSUPPORTED", ~l["locator_version"].eqNullSafe(F.lit(1))), ("LOCATOR_INVALID", kind.isNull() | ~kind.isin(*schemas.SOURCE_TYPES)), of("web", snap.isNull()),
-        ("SNAPSHOT_INVALID", (kind == "web") & (empty("provider") | empty("identifier") | empty("captured_at") | ~F.coalesce(snap["content_hash"].startswith("sha256:"), F.lit(False)))),
+        ("LOCATOR_VERSION_UNSUPPORTED", ~l["locator_version"].eqNullSafe(F.lit(schemas.LOCATOR_VERSION))), ("FIELD_INVALID", kind.isNull() | ~kind.isin(*schemas.SOURCE_TYPES)),
+        ("FIELD_MISSING", (kind == "web") & (snap.isNull() | some(snap[f].isNull() for f in parts))), ("FIELD_INVALID", (kind == "web") & some(snap[f] == "" for f in parts)), ("SNAPSHOT_INVALID", (kind == "web") & ~snap["content_hash"].startswith("sha256:")),
+        ("FIELD_MISSING", (kind == "oss") & some(l[f].isNull() for f in repository)), ("FIELD_INVALID", (kind == "oss") & some(l[f] == "" for f in repository)),
         of("paper", none("page", "page_label", "section", "figure", "table")), of("paper", low("page")), of("web", (F.coalesce(F.size(l["heading_path"]), F.lit(0)) < 1) & l["paragraph"].isNull()), of("web", low("paragraph")),
         of("book", none("chapter", "page", "location")), of("book", l["page"].isNotNull() & none("edition", "isbn")), of("book", l["edition"].isNotNull() & ((l["edition"] == "") | (l["edition"] != F.trim(l["edition"])))),
-        of("book", l["isbn"].isNotNull() & idn.normalize_isbn(l["isbn"]).isNull()), of("oss", ~(given("repository_host") & given("repository_path") & given("commit") & given("path"))),
+        of("book", l["isbn"].isNotNull() & idn.normalize_isbn(l["isbn"]).isNull()),
         of("oss", none("symbol") & ~lines), of("oss", lines & ((l["start_line"] < 1) | (l["end_line"] < l["start_line"]))),
     )
 

@@ -60,17 +60,17 @@ def piece_findings(spark, d):
     return validate.check_snippets_and_artifacts(_pieces(spark, d)).select("code", "object_id")
 
 
-_LOCATORS = """loc AS (SELECT n, v, t, CAST(page AS INT) AS page, chapter, isbn, edition, hash, para, sym, CAST(a AS INT) AS a, CAST(b AS INT) AS b, heads FROM (SELECT o_orderkey AS n, CASE WHEN o_orderkey % 31 = 0 THEN 2 ELSE 1 END AS v, CASE o_custkey % 5 WHEN 0 THEN 'paper' WHEN 1 THEN 'web' WHEN 2 THEN 'book' WHEN 3 THEN 'oss' ELSE 'film' END AS t,
+_LOCATORS = """loc AS (SELECT n, v, t, CAST(page AS INT) AS page, chapter, isbn, edition, hash, para, sym, CAST(a AS INT) AS a, CAST(b AS INT) AS b, heads FROM (SELECT o_orderkey AS n, CASE WHEN o_orderkey % 31 = 0 THEN 1 ELSE 2 END AS v, CASE o_custkey % 5 WHEN 0 THEN 'paper' WHEN 1 THEN 'web' WHEN 2 THEN 'book' WHEN 3 THEN 'oss' ELSE 'film' END AS t,
     CASE o_orderkey % 7 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN -1 END AS page, CASE WHEN o_orderkey % 3 = 0 THEN 'I' END AS chapter, CASE o_orderkey % 4 WHEN 0 THEN '9780306406157' WHEN 1 THEN '123' END AS isbn, CASE o_orderkey % 5 WHEN 0 THEN '1st' WHEN 1 THEN ' x' END AS edition,
-    CASE o_orderkey % 6 WHEN 0 THEN 'md5:1' ELSE 'sha256:1' END AS hash, CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 2 END AS para, CASE WHEN o_orderkey % 8 = 0 THEN 'f' END AS sym, CASE WHEN o_orderkey % 9 > 1 THEN o_orderkey % 9 - 2 END AS a, CASE WHEN o_orderkey % 10 > 0 THEN o_orderkey % 10 END AS b, o_orderkey % 11 < 4 AS heads FROM orders) y)"""
+    CASE o_orderkey % 6 WHEN 0 THEN 'md5:1' WHEN 1 THEN NULL ELSE 'sha256:1' END AS hash, CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 2 END AS para, CASE WHEN o_orderkey % 8 = 0 THEN 'f' END AS sym, CASE WHEN o_orderkey % 9 > 1 THEN o_orderkey % 9 - 2 END AS a, CASE WHEN o_orderkey % 10 > 0 THEN o_orderkey % 10 END AS b, o_orderkey % 11 < 4 AS heads FROM orders) y)"""
 
 
-@query(f""", {_LOCATORS} SELECT code, object_id FROM (SELECT CAST(n AS VARCHAR) AS object_id, CASE WHEN v <> 1 THEN 'LOCATOR_VERSION_UNSUPPORTED' WHEN t = 'film' THEN 'LOCATOR_INVALID' WHEN t = 'web' AND hash LIKE 'md5%' THEN 'SNAPSHOT_INVALID'
+@query(f""", {_LOCATORS} SELECT code, object_id FROM (SELECT CAST(n AS VARCHAR) AS object_id, CASE WHEN v <> 2 THEN 'LOCATOR_VERSION_UNSUPPORTED' WHEN t = 'film' THEN 'FIELD_INVALID' WHEN t = 'web' AND hash IS NULL THEN 'FIELD_MISSING' WHEN t = 'web' AND hash LIKE 'md5%' THEN 'SNAPSHOT_INVALID'
     WHEN t = 'paper' AND (coalesce(page, 0) = 0 OR page < 1) THEN 'LOCATOR_INVALID' WHEN t = 'web' AND (NOT heads AND para IS NULL OR para < 1) THEN 'LOCATOR_INVALID'
     WHEN t = 'book' AND (chapter IS NULL AND coalesce(page, 0) = 0 OR page IS NOT NULL AND edition IS NULL AND isbn IS NULL OR edition = ' x' OR isbn = '123') THEN 'LOCATOR_INVALID'
     WHEN t = 'oss' AND (sym IS NULL AND (a IS NULL OR b IS NULL) OR a IS NOT NULL AND b IS NOT NULL AND (a < 1 OR b < a)) THEN 'LOCATOR_INVALID' END AS code FROM loc) z WHERE code IS NOT NULL""")
 def locator_findings(spark, d):
-    """VA5."""
+    """VA5: every other locator is a citation's, the others are edges'."""
     for t in fx.TABLES:
         spark.read.parquet(f"{d}/{t}.parquet").createOrReplaceTempView(t)
     rows = spark.sql(f"WITH {_LOCATORS} SELECT * FROM loc")
@@ -81,13 +81,16 @@ def locator_findings(spark, d):
         "chapter": c("chapter"), "commit": oss("c"), "edition": F.when(c("t") == "book", c("edition")), "end_line": c("b"), "figure": _none(), "heading_path": F.when(c("heads"), F.array(F.lit("h"))), "isbn": F.when(c("t") == "book", c("isbn")), "location": _none(), "locator_version": c("v").cast("int"),
         "page": F.when(c("t").isin("paper", "book"), c("page")), "page_label": _none(), "paragraph": c("para").cast("int"), "path": oss("f"), "repository_host": oss("h"), "repository_path": oss("a/b"), "section": _none(), "snapshot_ref": snap, "source_type": c("t"), "start_line": c("a"), "symbol": c("sym"), "table": _none(),
     }
-    edges = rows.select(F.col("n").cast("string").alias("from_id"), F.lit("relations/x.yaml").alias("path"), F.struct(*(v.alias(n) for n, v in fields.items())).alias("locator"))
-    return validate.check_locators(_bodies(spark, d).limit(0), edges).select("code", "object_id")
+    rows = rows.select("n", F.col("n").cast("string").alias("object_id"), F.struct(*(v.alias(n) for n, v in fields.items())).alias("locator"))
+    edges = rows.where("n % 2 = 0").select(F.col("object_id").alias("from_id"), F.lit("relations/x.yaml").alias("path"), "locator")
+    block = F.struct(F.lit("fact").alias("kind"), F.lit("t").alias("text"), _none().alias("artifact_id"), F.array(F.struct(F.lit("src_x").alias("source_id"), "locator")).alias("citations"))
+    bodies = rows.where("n % 2 = 1").select("object_id", F.lit("note").alias("kind"), F.array(F.struct(F.lit("sec_abc").alias("section_id"), F.lit("fact").alias("role"), F.array(block).alias("blocks"))).alias("sections"))
+    return validate.check_locators(bodies, edges).select("code", "object_id")
 
 
 def _edges(spark, d):
     """Edges of every kind of end, with sections, locators, repeats and files that aren't their owner's."""
-    loc = F.from_json(F.to_json(F.struct(F.lit(1).alias("locator_version"), F.col("locator_type").alias("source_type"))), schemas.LOCATOR)
+    loc = F.from_json(F.to_json(F.struct(F.lit(2).alias("locator_version"), F.col("locator_type").alias("source_type"))), schemas.LOCATOR)
     path = F.concat(F.lit("relations/"), F.when(F.col("strays"), "other").otherwise(F.col("from_id")), F.lit(".yaml"))
     return fx.view(spark, d, "x_edges").withColumns({"locator": F.when(F.col("locator_type").isNotNull(), loc), "path": path})
 
@@ -151,11 +154,11 @@ def snippet_findings(spark, d):
 
 @query("""SELECT CASE WHEN i.id IS NULL THEN 'AI_INPUT_MISSING' ELSE 'AI_INPUT_SECTION_MISSING' END AS code, x.id AS object_id FROM x_artifacts x LEFT JOIN v_objects i ON i.id = input_id
         WHERE i.id IS NULL OR input_section IS NOT NULL AND (i.kind <> 'note' OR input_section = 'sec_9')
-    UNION ALL SELECT CASE WHEN a.id IS NULL THEN 'AI_ARTIFACT_MISSING' ELSE 'AI_ARTIFACT_UNPROMOTED' END, g.object_id FROM v_segments g LEFT JOIN x_artifacts a ON a.id = concat('ai_', CAST(g.doc_no AS VARCHAR)) WHERE g.role = 'ai' AND (a.id IS NULL OR a.review_status <> 'promoted')""")
+    UNION ALL SELECT CASE WHEN a.id IS NULL THEN 'AI_ARTIFACT_MISSING' ELSE 'AI_ARTIFACT_UNPROMOTED' END, g.object_id FROM v_segments g LEFT JOIN x_artifacts a ON a.id = concat('ai_', CAST(g.doc_no * 21 AS VARCHAR)) WHERE g.role = 'ai' AND (a.id IS NULL OR a.review_status <> 'promoted')""")
 def artifact_findings(spark, d):
-    """VA11, VA12: AI blocks name the artifact with the number of their note."""
+    """VA11, VA12: AI blocks name the artifact with 21 times the number of their note."""
     objects = fx.details(spark, d).select("id", "kind", "path").unionByName(_pieces(spark, d).select("id", "kind", "path", "review_status", "input_refs"), allowMissingColumns=True)
-    named = F.transform("sections", lambda s: s.withField("blocks", F.transform(s["blocks"], lambda b: b.withField("artifact_id", F.when(b["kind"] == "ai", F.concat(F.lit("ai_"), F.substring("object_id", 6, 20)))))))
+    named = F.transform("sections", lambda s: s.withField("blocks", F.transform(s["blocks"], lambda b: b.withField("artifact_id", F.when(b["kind"] == "ai", F.concat(F.lit("ai_"), (F.substring("object_id", 6, 20).cast("long") * 21).cast("string")))))))
     bodies = _bodies(spark, d).withColumn("sections", named)
     return validate.check_artifacts(bodies, objects, fx.view(spark, d, "v_segments").select("object_id", "section_id")).select("code", "object_id")
 
@@ -283,7 +286,7 @@ def adopted_sources(spark, d):
 #: Codes that each query's rows must show, so that no rule is compared on nothing.
 EXPECTED = {
     "source_findings": {"SOURCE_IDENTITY_MISSING", "FIELD_INVALID"}, "transition_findings": {"NOTE_MATURITY_INVALID", "NOTE_TRANSITION_INVALID"}, "piece_findings": {"SNIPPET_RANGE_INVALID", "AI_ARTIFACT_INVALID", "AI_REVIEW_INVALID"},
-    "locator_findings": {"LOCATOR_VERSION_UNSUPPORTED", "LOCATOR_INVALID", "SNAPSHOT_INVALID"}, "number_findings": {"LITERATURE_SUMMARY_MISSING", "SYNTHESIS_TARGETS_INSUFFICIENT"},
+    "locator_findings": {"LOCATOR_VERSION_UNSUPPORTED", "LOCATOR_INVALID", "SNAPSHOT_INVALID", "FIELD_INVALID", "FIELD_MISSING"}, "number_findings": {"LITERATURE_SUMMARY_MISSING", "SYNTHESIS_TARGETS_INSUFFICIENT"},
     "edge_findings": {f"RELATION_{x}" for x in ("SOURCE_MISSING", "TARGET_MISSING", "DIRECTION_INVALID", "TARGET_INVALID", "NOT_CANONICAL", "SECTION_MISSING", "LOCATOR_MISMATCH", "PRIVATE_DEPENDENCY", "DUPLICATE")},
     "layout_findings": {"RELATION_SHARD_DUPLICATE", "RELATION_SHARD_OWNER_MISMATCH", "OBJECT_LAYOUT_INVALID"}, "snippet_findings": {"SNIPPET_SOURCE_INVALID"}, "artifact_findings": {"AI_INPUT_MISSING", "AI_INPUT_SECTION_MISSING", "AI_ARTIFACT_MISSING", "AI_ARTIFACT_UNPROMOTED"},
     "captured": {"CREATED", "EXISTING", "ADD_INPUT_INVALID", "ADD_IDENTITY_CONFLICT", "ADD_METADATA_UNAVAILABLE", "ADD_TYPE_AMBIGUOUS"}, "adopted_sources": {"SOURCE_TYPE_UNSUPPORTED", "SOURCE_SYNC_ADOPTION_INVALID", "UPDATED"},

@@ -88,8 +88,8 @@ VIEWS = {
                CASE WHEN o_orderkey % 3 = 0 THEN concat('src_', CAST(o_custkey % (SELECT max(page_id) + 10 FROM pages) AS VARCHAR(20))) ELSE concat('note_', CAST(o_custkey % (SELECT max(doc_id) + 20 FROM documents) AS VARCHAR(20))) END AS input_id,
                CASE o_orderkey % 6 WHEN 0 THEN 'sec_0' WHEN 1 THEN 'sec_1' WHEN 2 THEN 'sec_9' END AS input_section FROM orders""",
     "x_edges": """
-        SELECT CASE WHEN k = 7 THEN concat('snip_', CAST(p % (SELECT max(c_custkey) + 3 FROM customer) AS VARCHAR(20))) WHEN k = 2 THEN concat('note_', CAST(4 * (o % (SELECT CAST(floor(max(doc_id) / 8) AS BIGINT) + 1 FROM documents)) + 1 AS VARCHAR(20)))
-                    WHEN k = 3 THEN concat('note_', CAST(4 * (o % (SELECT CAST(floor(max(doc_id) / 8) AS BIGINT) + 1 FROM documents)) + 3 AS VARCHAR(20))) ELSE concat('note_', CAST(o % (SELECT max(doc_id) + 20 FROM documents) AS VARCHAR(20))) END AS from_id,
+        SELECT CASE WHEN k = 7 THEN concat('snip_', CAST(p % (SELECT max(c_custkey) + 3 FROM customer) AS VARCHAR(20))) WHEN k = 2 THEN concat('note_', CAST(4 * (o % (SELECT CAST(floor(max(doc_id) / 8) AS BIGINT) + 1 FROM documents)) + CASE WHEN s % 4 = 0 THEN 2 ELSE 1 END AS VARCHAR(20)))
+                    WHEN k = 3 THEN concat('note_', CAST(4 * (o % (SELECT CAST(floor(max(doc_id) / 8) AS BIGINT) + 1 FROM documents)) + CASE WHEN s % 5 = 0 THEN 0 ELSE 3 END AS VARCHAR(20))) ELSE concat('note_', CAST(o % (SELECT max(doc_id) + 20 FROM documents) AS VARCHAR(20))) END AS from_id,
                CASE WHEN k IN (1, 2, 7) THEN concat('src_', CAST(p % (SELECT max(page_id) + 10 FROM pages) AS VARCHAR(20))) ELSE concat('note_', CAST(p % (SELECT max(doc_id) + 20 FROM documents) AS VARCHAR(20))) END AS to_id,
                CASE k WHEN 1 THEN 'cites' WHEN 2 THEN 'summarizes' WHEN 3 THEN 'synthesizes' WHEN 4 THEN 'supports' WHEN 5 THEN 'derived_from' WHEN 6 THEN 'related_to' ELSE 'snippet_from' END AS relation_type,
                CASE WHEN k IN (3, 4, 5) AND s % 3 = 0 THEN 'sec_1' WHEN k IN (3, 4, 5) AND s % 3 = 1 THEN 'sec_9' END AS to_section_id,
@@ -138,7 +138,7 @@ def details(spark: SparkSession, sf_dir: str) -> DataFrame:
 def located(citations: DataFrame) -> DataFrame:
     """Citations with a locator that agrees with its source in all but, perhaps, its type."""
     snap = F.when(F.col("locator_type") == "web", F.struct(F.lit("2024-01-01T00:00:00Z").alias("captured_at"), F.lit("any").alias("content_hash"), F.col("source_id").alias("identifier"), F.lit("p").alias("provider")))
-    return citations.withColumn("locator", F.to_json(F.struct(F.lit(1).alias("locator_version"), snap.alias("snapshot_ref"), F.col("locator_type").alias("source_type"))))
+    return citations.withColumn("locator", F.to_json(F.struct(F.lit(2).alias("locator_version"), snap.alias("snapshot_ref"), F.col("locator_type").alias("source_type"))))
 
 
 _stored: dict[tuple[str, str], str] = {}

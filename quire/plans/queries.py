@@ -494,7 +494,7 @@ def migration_findings(spark, d):
 def _bodies(spark, d):
     """Parsed bodies of the notes: a section a segment, with its citations."""
     none = F.lit(None).cast("string")
-    locator = F.from_json(F.to_json(F.struct(F.lit(1).alias("locator_version"), F.col("locator_type").alias("source_type"))), schemas.LOCATOR)
+    locator = F.from_json(F.to_json(F.struct(F.lit(2).alias("locator_version"), F.col("locator_type").alias("source_type"))), schemas.LOCATOR)
     cite = F.struct("ordinal", F.struct("source_id", locator.alias("locator")).alias("c"))
     cites = fx.view(spark, d, "v_citations").groupBy("segment_id").agg(F.array_sort(F.collect_list(cite)).alias("cites"))
     block = F.struct(F.col("role").alias("kind"), "text", none.alias("artifact_id"), F.transform("cites", lambda x: x["c"]).alias("citations"))
@@ -518,7 +518,7 @@ def note_segments(spark, d):
     return projection.project_segments(_bodies(spark, d)).select("segment_id", "object_id", "section_id", "role", F.md5("text").alias("text_hash"))
 
 
-@query(f"""SELECT {_SEGMENT} AS segment_id, c.ordinal, source_id, concat('{{"locator_version":1,"source_type":"', locator_type, '"}}') AS locator FROM v_citations c JOIN v_segments s ON s.segment_id = c.segment_id""")
+@query(f"""SELECT {_SEGMENT} AS segment_id, c.ordinal, source_id, concat('{{"locator_version":2,"source_type":"', locator_type, '"}}') AS locator FROM v_citations c JOIN v_segments s ON s.segment_id = c.segment_id""")
 def note_citations(spark, d):
     """PR6, TX15."""
     return projection.project_citations(_bodies(spark, d))
@@ -616,4 +616,4 @@ def snapshot_parts(spark, d):
     return catalog.snapshot_buckets(fx.view(spark, d, "v_scan_new"))
 
 
-from quire.plans import faults  # noqa: E402,F401  registers its queries
+from quire.plans import documents, faults  # noqa: E402,F401  register their queries

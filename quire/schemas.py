@@ -35,8 +35,9 @@ CONTENT_DEPENDENCIES = ("cites", "summarizes", "synthesizes", "supports", "contr
 #: Folders below the roots of sources and notes.
 SOURCE_FOLDERS = {"paper": "papers", "web": "web", "book": "books", "oss": "oss"}
 NOTE_FOLDERS = {"idea": "ideas", "literature": "literature", "concept": "concepts", "synthesis": "syntheses"}
-#: Versions that an index depends on.
-VERSIONS = {"contract": "2", "locator": "1", "projection": "2", "ranking": "1", "search": "1", "segment": "1", "tokenizer": "1"}
+#: Versions of the contracts, and all that an index depends on.
+OBJECT_VERSION, LOCATOR_VERSION, RELATION_VERSION = 2, 2, 2
+VERSIONS = {"locator": "2", "object_contract": "2", "parser": "1", "projection": "2", "relation_schema": "2", "segment_algorithm": "1", "tokenizer": "1"}
 
 #: Prefix of the comments that mark sections and blocks in note bodies, where none is given.
 MARKER = "kb"

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from quire import schemas
 from quire.functions.text import checksum, finding_category
+from quire.sources.contract import CITATION, SHARD, Bad, Stamp, check_object, check_sections, kind_of, list_of, need, object_id, one_of
 
 
 @dataclass(frozen=True)
@@ -39,98 +40,40 @@ def read_files(spark: SparkSession, root: str, roots: Roots = Roots()) -> DataFr
     return files.select(relative.alias("path"), checksum(F.col("content")).alias("checksum"), "content")
 
 
-class Bad(Exception):
-    """A document's first error: (code, message)."""
-
-
 class _Loader(yaml.SafeLoader):
-    """Plain scalars stay text but for numbers, booleans and null; a repeated key is an error."""
+    """Dates and times stay text, but are told from other text."""
 
 
-_Loader.yaml_implicit_resolvers = {k: [r for r in v if r[0] != "tag:yaml.org,2002:timestamp"] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
+_Loader.add_constructor("tag:yaml.org,2002:timestamp", lambda loader, node: Stamp(node.value))
 
 
-def _mapping(loader: _Loader, node: yaml.MappingNode) -> dict:
-    keys = [k.value for k, _ in node.value]
-    if len(set(keys)) < len(keys):
-        raise Bad("FRONTMATTER_INVALID", "repeated key")
-    loader.flatten_mapping(node)
-    return {loader.construct_object(k, deep=True): loader.construct_object(v, deep=True) for k, v in node.value}
+def _load(text: str, code: str = "FRONTMATTER_INVALID") -> object:
+    try:
+        return yaml.load(text, _Loader)  # noqa: S506
+    except (yaml.YAMLError, ValueError, TypeError, RecursionError) as error:
+        raise Bad(code, str(error).split("\n")[0]) from error
 
 
-_Loader.add_constructor(yaml.resolver.BaseResolver.DEFAULT_MAPPING_TAG, _mapping)
+def _decoded(content: bytes, code: str) -> str:
+    """The text of a file, lines ended by line feeds only."""
+    try:
+        return bytes(content).decode("utf-8").replace("\r\n", "\n").replace("\r", "\n")
+    except UnicodeDecodeError as error:
+        raise Bad(code, "not UTF-8") from error
 
 
-def _load(text: str) -> dict:
-    try:
-        data = yaml.load(text, _Loader)  # noqa: S506
-    except yaml.YAMLError as error:
-        raise Bad("FRONTMATTER_INVALID", str(error).split("\n")[0]) from error
-    if not isinstance(data, dict):
-        raise Bad("FRONTMATTER_INVALID", "not a mapping")
-    return data
-
-
-_COMMON = "schema_version id kind title visibility record_status created".split()
-#: Keys of each kind, required and optional.
-KEYS = {
-    "source": ([*_COMMON, "source_type", "workflow_stage", "updated", "tags"], "canonical_url doi arxiv_id arxiv_version isbn edition captured_at snapshot_ref repository_host repository_path default_branch commit license zotero_library_type zotero_library_id zotero_key zotero_item_version synced_at managed_fields_hash attachment_key attachment_version attachment_filename attachment_media_type attachment_size attachment_sha256 year authors".split()),
-    "note": ([*_COMMON, "note_type", "updated", "tags"], "maturity type_history".split()),
-    "snippet": ([*_COMMON, "source_id", "repository_host", "repository_path", "commit", "path", "start_line", "end_line", "license", "publication_approved", "updated", "tags"], []),
-    "ai_artifact": ([*_COMMON, "artifact_type", "review_status", "input_refs", "generated_by", "model", "prompt_ref"], "reviewed_by reviewed_at tags".split()),
-}
-_ENUMS = {
-    "source_type": schemas.SOURCE_TYPES, "visibility": schemas.VISIBILITIES, "record_status": schemas.STATUSES, "workflow_stage": schemas.STAGES, "note_type": schemas.NOTE_TYPES,
-    "maturity": schemas.MATURITIES, "artifact_type": schemas.ARTIFACT_TYPES, "review_status": schemas.REVIEWS,
-}
-_WHOLE = {"schema_version", "arxiv_version", "zotero_item_version", "attachment_version", "attachment_size", "year", "start_line", "end_line"}
-_LISTS = {"tags", "authors", "input_refs", "type_history"}
-_ID = re.compile(r"(src|note|snip|ai)_[0-9A-HJKMNP-TV-Z]{26}")
-_KIND_OF = {"src": "source", "note": "note", "snip": "snippet", "ai": "ai_artifact"}
+#: The patterns of the file format, frontmatter and the marker and heading of a section.
+FRONTMATTER = r"\A---\r?\n(.*?)\r?\n---(?:\r?\n|\Z)(.*)\Z"
+SECTION = r"<!--\s*{prefix}:section\s+id=(sec_[a-z0-9][a-z0-9_-]{{2,63}})\s+role=([a-z]+)\s*-->\s*\n##\s+([^\r\n]+)"
 
 
 def _front(text: str) -> tuple[dict, str]:
-    m = re.match(r"---\r?\n(.*?)\r?\n---(?:\r?\n|\Z)(.*)\Z", text, re.DOTALL)
+    m = re.match(FRONTMATTER, text, re.DOTALL)
     if m is None:
         raise Bad("FRONTMATTER_MISSING", "no frontmatter")
-    return _load(m[1]), m[2]
-
-
-def check_fields(data: dict) -> None:
-    """Keys, types and closed values of a document's frontmatter; the first error wins."""
-    kind = data.get("kind")
-    if kind not in KEYS:
-        raise Bad("FIELD_INVALID" if kind is not None else "FIELD_MISSING", "kind")
-    required, optional = KEYS[kind]
-    for key in required:
-        if key not in data:
-            raise Bad("FIELD_MISSING", key)
-    for key in data:
-        if key not in required and key not in optional:
-            raise Bad("FIELD_UNKNOWN", str(key))
-    if data["schema_version"] != 2:
-        raise Bad("OBJECT_VERSION_UNSUPPORTED", "schema_version")
-    m = _ID.fullmatch(str(data["id"]))
-    if m is None:
-        raise Bad("OBJECT_ID_INVALID", str(data["id"]))
-    if _KIND_OF[m[1]] != kind:
-        raise Bad("OBJECT_KIND_MISMATCH", kind)
-    for key, value in data.items():
-        if value is None:
-            continue
-        whole = key in _WHOLE
-        if key in _ENUMS and value not in _ENUMS[key]:
-            raise Bad("FIELD_INVALID", key)
-        if whole and (not isinstance(value, int) or isinstance(value, bool)) or key == "publication_approved" and not isinstance(value, bool) or key in _LISTS and not isinstance(value, list):
-            raise Bad("FIELD_INVALID", key)
-        if not whole and key not in _LISTS and key not in ("publication_approved", "snapshot_ref") and not isinstance(value, str):
-            raise Bad("FIELD_INVALID", key)
-        if key in ("created", "updated") and pd.isna(pd.to_datetime(value, format="%Y-%m-%d", errors="coerce")):
-            raise Bad("FIELD_INVALID", key)
-        if key in ("captured_at", "synced_at", "reviewed_at") and not re.fullmatch(r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:?\d\d)", value):
-            raise Bad("FIELD_INVALID", key)
-        if key == "tags" and (len(set(value)) < len(value) or not all(isinstance(t, str) and re.fullmatch(r"[a-z0-9][a-z0-9_-]*", t) for t in value)):
-            raise Bad("FIELD_INVALID", key)
+    data = _load(m[1])
+    need(isinstance(data, dict), "FIELD_INVALID", "frontmatter must be a mapping")
+    return data, m[2]
 
 
 def _blocks(text: str, section: str, kind: str, prefix: str) -> list[dict]:
@@ -142,10 +85,15 @@ def _blocks(text: str, section: str, kind: str, prefix: str) -> list[dict]:
     out = []
     for m, end in zip(marks, [*(n.start() for n in marks[1:]), len(text)], strict=True):
         meta, own = _load(m[1]), text[m.end() : end].strip()
-        if not own or kind == "ai" and not meta.get("artifact_id"):
-            raise Bad("NOTE_BLOCK_METADATA_MISSING", section)
-        cited = [{"source_id": c.get("source_id"), "locator": c.get("locator")} for c in meta.get("citations") or []] if kind == "fact" else []
-        out.append({"kind": kind, "text": own, "artifact_id": meta.get("artifact_id") if kind == "ai" else None, "citations": cited})
+        need(isinstance(meta, dict), "FIELD_INVALID", "block metadata must be a mapping")
+        need(own, "NOTE_BLOCK_METADATA_MISSING", section)
+        cited = meta.get("citations", []) if kind == "fact" else []
+        list_of(CITATION)(cited, "citations")
+        need(cited or kind == "ai", "FACT_CITATION_MISSING", section)
+        if kind == "ai":
+            object_id(meta.get("artifact_id"), "artifact_id")
+            need(kind_of(meta["artifact_id"]) == "ai_artifact", "AI_ARTIFACT_INVALID", section)
+        out.append({"kind": kind, "text": own, "artifact_id": meta["artifact_id"] if kind == "ai" else None, "citations": cited})
     return out
 
 
@@ -157,16 +105,16 @@ def note_sections(body: str, prefix: str = schemas.MARKER) -> list[dict]:
     begins with a comment ``prefix:fact`` that holds its citations, or ``prefix:ai`` with the
     artifact's id, in YAML; any other text is an error there.
     """
-    mark = re.compile(rf"<!--\s*{prefix}:section\s+id=(sec_[a-z0-9][a-z0-9_-]{{2,63}})\s+role=([a-z]+)\s*-->\s*\n##[ \t]+([^\r\n]+)")
+    mark = re.compile(SECTION.format(prefix=re.escape(prefix)))
     marks, out = list(mark.finditer(body)), []
     for m, end in zip(marks, [*(n.start() for n in marks[1:]), len(body)], strict=False):
         section, role, text = m[1], m[2], body[m.end() : end].strip()
-        if role not in schemas.ROLES:
-            raise Bad("FIELD_INVALID", "section role")
+        one_of(schemas.ROLES)(role, "section role")
         if role in ("human", "evolution"):
             blocks = [{"kind": role, "text": text, "artifact_id": None, "citations": []}] if text else []
         else:
             blocks = _blocks(text, section, role, prefix)
+        need(m[3].strip(), "NOTE_BLOCK_ROLE_MISMATCH", section)
         out.append({"section_id": section, "role": role, "heading": m[3].strip(), "blocks": blocks})
     return out
 
@@ -187,24 +135,22 @@ def parse_objects(files: DataFrame, roots: Roots = Roots(), prefix: str = schema
             for path, check, content in zip(frame["path"], frame["checksum"], frame["content"], strict=True):
                 row = dict.fromkeys(("data", "text", "sections", "code", "message")) | {"path": path, "checksum": check}
                 try:
-                    if not path.endswith(".md"):
-                        raise Bad("OBJECT_LAYOUT_INVALID", "not a Markdown file")
-                    data, body = _front(bytes(content).decode("utf-8"))
-                    check_fields(data)
-                    kind = data["kind"]
+                    need(path.lower().endswith(".md"), "OBJECT_LAYOUT_INVALID", "not a Markdown file")
+                    data, body = _front(_decoded(content, "OBJECT_READ_FAILED"))
+                    kind = check_object(data)
                     data = dict(data)
                     data["subtype"] = data.pop({"source": "source_type", "note": "note_type", "ai_artifact": "artifact_type"}.get(kind, ""), None)
                     if kind == "snippet":
                         data["snippet_path"] = data.pop("path")
                     if kind == "note":
-                        row["sections"] = json.dumps(note_sections(body, prefix))
+                        sections = note_sections(body, prefix)
+                        check_sections(sections)
+                        row["sections"] = json.dumps(sections)
                     else:
                         row["text"] = body.strip()
                     row["data"] = json.dumps(data)
                 except Bad as error:
                     row["code"], row["message"] = error.args
-                except (UnicodeDecodeError, AttributeError, TypeError) as error:
-                    row["code"], row["message"] = "FRONTMATTER_INVALID", type(error).__name__
                 rows.append(row)
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in _PARSED.split(", ")])
 
@@ -234,26 +180,13 @@ def parse_relation_shards(files: DataFrame, roots: Roots = Roots()) -> tuple[Dat
             for path, check, content in zip(frame["path"], frame["checksum"], frame["content"], strict=True):
                 row = dict.fromkeys(("data", "text", "sections", "code", "message")) | {"path": path, "checksum": check}
                 try:
-                    data = _load(bytes(content).decode("utf-8"))
-                    for key in ("schema_version", "from_id", "relations"):
-                        if key not in data:
-                            raise Bad("FIELD_MISSING", key)
-                    if set(data) - {"schema_version", "from_id", "relations"}:
-                        raise Bad("FIELD_UNKNOWN", "relations file")
-                    if not _ID.fullmatch(str(data["from_id"])):
-                        raise Bad("OBJECT_ID_INVALID", str(data["from_id"]))
-                    if not path.endswith(".yaml") or "/" in path.removeprefix(roots.relations + "/"):
-                        raise Bad("RELATION_LAYOUT_INVALID", "relations lie in one folder of YAML files")
-                    for r in data["relations"]:
-                        if r.get("relation_type") not in schemas.RELATIONS:
-                            raise Bad("FIELD_INVALID", "relation_type")
-                        if not _ID.fullmatch(str(r.get("to_id"))):
-                            raise Bad("OBJECT_ID_INVALID", str(r.get("to_id")))
+                    folder, _, name = path.rpartition("/")
+                    need(folder == roots.relations and name.lower().endswith(".yaml"), "RELATION_LAYOUT_INVALID", "relations lie in one folder of YAML files")
+                    data = _load(_decoded(content, "RELATION_READ_FAILED"), "RELATION_PARSE_FAILED")
+                    SHARD(data, "relation shard")
                     row["data"] = json.dumps([{"from_id": data["from_id"], **r} for r in data["relations"]])
                 except Bad as error:
                     row["code"], row["message"] = error.args
-                except (UnicodeDecodeError, AttributeError, TypeError) as error:
-                    row["code"], row["message"] = "FRONTMATTER_INVALID", type(error).__name__
                 rows.append(row)
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in _PARSED.split(", ")])
 
@@ -313,10 +246,16 @@ def projection_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+#: Keys that documents of a kind have even without a value.
+NULLABLE = {"note": ("type_history",), "ai_artifact": ("prompt_ref", "reviewed_by", "reviewed_at")}
+
+
 @F.pandas_udf(T.StringType())
 def _document(data: pd.Series, body: pd.Series) -> pd.Series:
     def one(d: str, b: str | None) -> str:
-        fields = {k: v for k, v in json.loads(d).items() if v is not None}
+        fields = json.loads(d)
+        # keys that are required even where they have no value
+        fields = {k: fields.get(k, [] if k == "type_history" else None) for k in NULLABLE.get(fields["kind"], ())} | {k: v for k, v in fields.items() if v is not None}
         return "---\n" + yaml.safe_dump(fields, allow_unicode=True, sort_keys=False) + "---\n" + (f"\n{b}\n" if b else "")
 
     return pd.Series([one(d, b) for d, b in zip(data, body, strict=True)])

@@ -21,14 +21,14 @@ def doc(name, kind, extra, body, vis="public", dated=True):
 
 
 def files():
-    cite = '{"citations": [{"source_id": "%s", "locator": {"locator_version": 1, "source_type": "web", "heading_path": ["About"], "snapshot_ref": %s}}]}' % (ID["web1"], SNAP)
+    cite = '{"citations": [{"source_id": "%s", "locator": {"locator_version": 2, "source_type": "web", "heading_path": ["About"], "snapshot_ref": %s}}]}' % (ID["web1"], SNAP)
     return {
         "sources/web/w.md": doc("web1", "source", f"source_type: web\nworkflow_stage: inbox\ncanonical_url: https://x.org/\ncaptured_at: '2024-01-01T00:00:00Z'\nsnapshot_ref: {SNAP}\n", "About winter wheat"),
         "sources/oss/o.md": doc("oss2", "source", "source_type: oss\nworkflow_stage: reading\ncanonical_url: https://github.com/a/b\nrepository_host: github.com\nrepository_path: a/b\ncommit: c1\nlicense: MIT\n", ""),
-        "notes/literature/l.md": doc("lit3", "note", "note_type: literature\nmaturity: mature\n", f"# Title\n\n<!-- kb:section id=sec_mine role=human -->\n## Mine\n\nMy own wheat words\n\n<!-- kb:section id=sec_facts role=fact -->\n\n## Facts\n\n<!-- kb:fact\n{cite}\n-->\nWheat is sown\n\n<!-- kb:fact\ncitations: []\n-->\nRye\n\nis not\n"),
+        "notes/literature/l.md": doc("lit3", "note", "note_type: literature\nmaturity: mature\ntype_history: []\n", f"# Title\n\n<!-- kb:section id=sec_mine role=human -->\n## Mine\n\nMy own wheat words\n\n<!-- kb:section id=sec_facts role=fact -->\n\n## Facts\n\n<!-- kb:fact\n{cite}\n-->\nWheat is sown\n\n<!-- kb:fact\n{cite}\n-->\nRye\n\nis not\n"),
         "notes/ideas/c.md": doc("con4", "note", "note_type: concept\nmaturity: seed\ntype_history:\n- {from: idea, to: concept, changed_at: '2024-01-01T00:00:00Z', actor: {type: human, id: me}}\n", "<!-- kb:section id=sec_mine role=human -->\n## Mine\n\nConcept of rye\n"),
         "snippets/s.md": doc("sn5", "snippet", f"source_id: {ID['oss2']}\nrepository_host: github.com\nrepository_path: a/b\ncommit: c1\npath: f.py\nstart_line: 1\nend_line: 2\nlicense: MIT\npublication_approved: true\n", "wheat = 1"),
-        "ai/a.md": doc("art6", "ai_artifact", f"artifact_type: summary\nreview_status: unreviewed\ninput_refs: [{{object_id: {ID['lit3']}, section_id: sec_mine}}]\ngenerated_by: g\nmodel: m\nprompt_ref: p\n", "AI wheat", "private", False),
+        "ai/a.md": doc("art6", "ai_artifact", f"artifact_type: summary\nreview_status: unreviewed\ninput_refs: [{{object_id: {ID['lit3']}, section_id: sec_mine}}]\ngenerated_by: g\nmodel: m\nprompt_ref: p\nreviewed_by: null\nreviewed_at: null\n", "AI wheat", "private", False),
         f"relations/{ID['lit3']}.yaml": f"schema_version: 2\nfrom_id: {ID['lit3']}\nrelations:\n- {{to_id: {ID['web1']}, relation_type: summarizes, reason: r, created_at: '2024-01-01T00:00:00Z', actor: {{type: human, id: me}}}}\n",
     }
 
@@ -64,7 +64,7 @@ def scan(objects, bodies, edges, bad):
 
 def test_a_sound_vault_has_no_findings(small):
     f, objects, bodies, edges, bad = small
-    assert codes(scan(objects, bodies, edges, bad)) == [("FACT_CITATION_MISSING", "notes/literature/l.md")]
+    assert codes(scan(objects, bodies, edges, bad)) == []
     assert catalog.is_healthy(bad)
     assert tuple(catalog.scan_summary(f, objects, edges, bad).first()) == (7, 6, 1, 0)
 
@@ -73,7 +73,7 @@ def test_projection_and_round_trip(spark, small, tmp_path):
     f, objects, bodies, edges, bad = small
     tables = maintain.rebuild(spark, f, objects, bodies, edges, bad, "now")
     assert {r.table_name: r.n for r in vault.projection_counts({k: tables[k] for k in ("objects", "sections", "segments", "citations", "relations", "scan_state", "type_transitions", "object_tags")}).collect()} == {
-        "objects": 6, "sections": 7, "segments": 8, "citations": 1, "relations": 1, "scan_state": 7, "type_transitions": 1, "object_tags": 10}
+        "objects": 6, "sections": 7, "segments": 8, "citations": 2, "relations": 1, "scan_state": 7, "type_transitions": 1, "object_tags": 10}
     assert maintain.check_foreign_keys(tables).count() == 0
     vault.write_projection(tables, f"{tmp_path}/p", 4)
     back = vault.read_projection(spark, f"{tmp_path}/p")
@@ -158,7 +158,7 @@ def test_newest_projection_is_read_and_older_ones_stay(spark, tmp_path):
 
 
 @pytest.mark.parametrize("body,code", [
-    ("<!-- kb:section id=sec_abc role=fact -->\n## F\n\nloose text", "NOTE_BLOCK_METADATA_MISSING"), ("<!-- kb:section id=sec_abc role=odd -->\n## F\n", "FIELD_INVALID"), ("<!-- kb:section id=sec_abc role=ai -->\n## F\n\n<!-- kb:ai\nx: 1\n-->\ntext", "NOTE_BLOCK_METADATA_MISSING"),
+    ("<!-- kb:section id=sec_abc role=fact -->\n## F\n\nloose text", "NOTE_BLOCK_METADATA_MISSING"), ("<!-- kb:section id=sec_abc role=odd -->\n## F\n", "FIELD_INVALID"), ("<!-- kb:section id=sec_abc role=ai -->\n## F\n\n<!-- kb:ai\nx: 1\n-->\ntext", "FIELD_INVALID"),
     ("<!-- kb:section id=sec_abc role=fact -->\n## F\n\n<!-- kb:fact\ncitations: [\n-->\ntext", "FRONTMATTER_INVALID"), ("<!-- kb:section id=sec_abc role=fact -->\n## F\n\n<!-- kb:fact\ncitations: []\n-->\n", "NOTE_BLOCK_METADATA_MISSING"),
 ])
 def test_broken_bodies(body, code):
@@ -168,9 +168,10 @@ def test_broken_bodies(body, code):
 
 
 def test_markers_have_a_prefix_of_choice():
-    body = "lead\r\n<!-- my:section id=sec_abc role=ai -->\r\n## A b\r\n\r\n<!-- my:ai\r\nartifact_id: ai_1\r\n-->\r\none\r\n\r\n<!-- my:ai\r\nartifact_id: ai_2\r\n-->\r\ntwo"
+    one, two = ID["art6"], ID["art6"][:-1] + "7"
+    body = f"lead\n<!-- my:section id=sec_abc role=ai -->\n## A b\n\n<!-- my:ai\nartifact_id: {one}\n-->\none\n\n<!-- my:ai\nartifact_id: {two}\n-->\ntwo"
     (section,) = vault.note_sections(body, "my")
-    assert [(b["artifact_id"], b["text"]) for b in section["blocks"]] == [("ai_1", "one"), ("ai_2", "two")] and section["heading"] == "A b"
+    assert [(b["artifact_id"], b["text"]) for b in section["blocks"]] == [(one, "one"), (two, "two")] and section["heading"] == "A b"
     assert vault.note_sections(body) == []
 
 
