@@ -468,28 +468,25 @@ MIGRATED = """
     ends AS (SELECT o.*, f.id IS NOT NULL AND t.id IS NOT NULL AS whole FROM (SELECT DISTINCT * FROM old) o LEFT JOIN v_objects f ON f.id = from_id LEFT JOIN v_objects t ON t.id = to_id)"""
 
 
-def _v1(spark, d):
+def _asked(spark, d):
+    """The edges that version 1 records would ask for, gathered from the relations."""
     edges = fx.view(spark, d, "v_relations")
-    of = lambda kind, name: edges.where(F.col("relation_type") == kind).groupBy(F.col("from_id").alias("id")).agg(F.collect_set("to_id").alias(name))
-    v1 = fx.details(spark, d).withColumn("superseded_by", F.lit(None).cast("string"))
-    for kind, name in (("summarizes", "source_ids"), ("related_to", "related_notes"), ("supersedes", "supersedes")):
-        v1 = v1.join(of(kind, name), "id", "left")
-    return v1, edges.where("relation_type not in ('summarizes', 'related_to', 'supersedes')")
+    literature = fx.view(spark, d, "v_notes").where("subtype = 'literature'").select(F.col("id").alias("from_id"))
+    sums = edges.where("relation_type = 'summarizes'").join(literature, "from_id", "left_semi")
+    one = sums.groupBy("from_id").agg(F.count("*").alias("n"), F.min("to_id").alias("to_id")).where("n = 1").select("from_id", "to_id", F.lit("summarizes").alias("relation_type"))
+    notes = fx.view(spark, d, "v_notes").select(F.col("id").alias("from_id"))
+    fields = edges.where("relation_type in ('related_to', 'supersedes')").join(notes, "from_id", "left_semi").select("from_id", "to_id", "relation_type")
+    rows = one.unionByName(fields).unionByName(edges.where("relation_type not in ('summarizes', 'related_to', 'supersedes')"))
+    none = {n: F.lit(None).cast("string") for n in ("section", "locator", "actor_id", "bad")}
+    return rows.withColumns(none).withColumn("place", F.struct(F.lit(0).alias("file"), F.lit("").alias("id"), F.lit(0).cast("long").alias("place")))
 
 
 @query(f", {MIGRATED} SELECT from_id, relation_type, to_id FROM ends WHERE whole")
 def migrated_relations(spark, d):
     """MG3: version 1 fields gathered from the relations, and back to edges."""
-    return migrate.migrate_relations(*_v1(spark, d))[0]
+    return migrate.resolve_relations(_asked(spark, d), fx.view(spark, d, "v_objects"))[0].select("from_id", "relation_type", "to_id")
 
 
-@query(f""", {MIGRATED} SELECT kind, code, count(*) AS n FROM (SELECT 'change' AS kind, 'OBJECT_CONVERTED' AS code FROM v_objects UNION ALL SELECT 'blocker', 'RELATION_ENDPOINT_MISSING' FROM ends WHERE NOT whole
-    UNION ALL SELECT 'decision', 'LITERATURE_SOURCE_UNDECIDED' FROM literature WHERE n <> 1) GROUP BY ALL""")
-def migration_findings(spark, d):
-    """MG4."""
-    v1, edges = _v1(spark, d)
-    return migrate.migration_report(v1, migrate.migrate_relations(v1, edges)[1])[0].groupBy("kind", "code").agg(F.count("*").alias("n"))
-
 
 def _bodies(spark, d):
     """Parsed bodies of the notes: a section a segment, with its citations."""
@@ -616,4 +613,4 @@ def snapshot_parts(spark, d):
     return catalog.snapshot_buckets(fx.view(spark, d, "v_scan_new"))
 
 
-from quire.plans import documents, faults  # noqa: E402,F401  register their queries
+from quire.plans import documents, faults, migration  # noqa: E402,F401  register their queries

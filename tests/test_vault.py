@@ -289,18 +289,25 @@ def test_bulk_changes(spark, small):
     assert gone.first().result == "REMOVED" and stay.count() == 0
 
 
-def test_migration(spark):
-    schema = "id string, kind string, subtype string, path string, source_ids array<string>, related_notes array<string>, supersedes array<string>, superseded_by string, source_id string, repository_host string, repository_path string, snapshot string, captured_at string, input_ids array<string>, ai_assisted boolean"
-    rows = [("s", "source", "oss", "s.md", None, None, None, None, None, "h", "p", None, None, None, None), ("n1", "note", "literature", "1.md", ["s"], ["n2"], None, "n2", None, None, None, None, None, None, False), ("n2", "note", "literature", "2.md", [], ["n1", "gone"], None, None, None, None, None, None, None, None, True), ("x", "snippet", None, "x.md", None, None, None, None, "s", None, None, None, None, None, None)]
-    v1 = spark.createDataFrame(rows, schema)
-    assert {r.id: r.repository_path for r in migrate.migrate_objects(v1).collect()}["x"] == "p"
-    edges, report = migrate.migrate_relations(v1, spark.createDataFrame([("n1", "cites", "s")], "from_id string, relation_type string, to_id string"))
-    assert sorted(map(tuple, edges.collect())) == [("n1", "cites", "s"), ("n1", "related_to", "n2"), ("n1", "summarizes", "s"), ("n2", "supersedes", "n1")]
-    body = "<!-- section_id: sec_original_facts -->\n## Facts\n<!-- section_id: sec_other -->\n## O\n"
-    sections, blocked = migrate.migrate_sections(spark.createDataFrame([("n1", "1.md", body)], "id string, path string, body string"))
-    assert sections.count() == 0
-    rows, ok = migrate.migration_report(v1, report, blocked)
-    assert not ok and [r.code for r in rows.where("kind <> 'change'").collect()] == ["MIGRATION_SECTION_BLOCKED", "RELATION_ENDPOINT_MISSING", "LITERATURE_SOURCE_UNDECIDED"]
+def test_migration_of_sound_files_may_be_applied(spark):
+    source = "---\nschema_version: 1\nid: {id}\nkind: source\ntitle: T\nvisibility: public\nrecord_status: active\nsource_type: web\nworkflow_stage: inbox\ncreated: 2024-01-01\nupdated: 2024-01-01\ntags: []\ncanonical_url: https://x.org/\ncaptured_at: 2024-01-01T00:00:00Z\n---\nAbout\n"
+    note = "---\nschema_version: 1\nid: {id}\nkind: note\ntitle: N\nvisibility: public\nrecord_status: active\nnote_type: literature\nmaturity: seed\ncreated: 2024-01-01\nupdated: 2024-01-01\ntags: []\nsource_ids: [{web}]\n---\n<!-- section_id: sec_my_interpretation -->\n## Mine\n\nOwn\n"
+    rows = [("sources/web/w.md", source.format(id=ID["web1"])), ("notes/literature/n.md", note.format(id=ID["lit3"], web=ID["web1"]))]
+    f = spark.createDataFrame([(p, "c", bytearray(t.encode())) for p, t in rows], "path string, checksum string, content binary")
+    plan = migrate.plan(spark, f, "2024-02-02T00:00:00Z", apply=True)
+    assert plan.allowed and sorted((r.code, r.status) for r in plan.report.collect()) == [(f"MIGRATION_{c}", "resolved") for c in ("OBJECT_CONVERTED", "OBJECT_CONVERTED", "RELATION_SHARD_CREATED", "VAULT_CONFIG_CREATED")]
+    assert sorted(r.path for r in plan.writes.collect()) == ["notes/literature/n.md", f"relations/{ID['lit3']}.yaml", "sources/web/w.md"]
+    new = plan.writes.select("path", F.lit("c").alias("checksum"), F.encode("content", "UTF-8").alias("content"))
+    assert [r.code for r in migrate.plan(spark, new, "t", contract_version=2).report.collect()] == ["MIGRATION_ALREADY_APPLIED"]
+    with pytest.raises(ValueError, match="MIGRATION_VAULT_INVALID"):
+        migrate.plan(spark, f, "t", contract_version=2)
+    nothing = migrate.plan(spark, f.limit(0), "t")
+    assert not nothing.allowed and sorted(r.code for r in nothing.report.collect()) == ["MIGRATION_INPUT_MISSING", "MIGRATION_VAULT_CONFIG_CREATED"]
+
+
+def test_markers_without_a_heading_are_text():
+    body = "a <!-- section_id: sec_one -->\ntext\n<!-- section_id: sec_two -->\n\n## Two\n<!--section_id:sec_six-->\r\n##\tSix \r\nend"
+    assert [(s[0], s[1], body[s[3] : s[4]].strip()) for s in migrate.v1_sections(body)] == [("sec_two", "Two", ""), ("sec_six", "Six", "end")]
 
 
 def test_stream_equals_batch(spark, tmp_path):
