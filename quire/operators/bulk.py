@@ -180,18 +180,28 @@ def canonical_ends(df: DataFrame) -> DataFrame:
     return df.withColumns({"from_id": F.when(swap, F.col("to_id")).otherwise(F.col("from_id")), "to_id": F.when(swap, F.col("from_id")).otherwise(F.col("to_id"))})
 
 
-def add_relations(edges: DataFrame, requests: DataFrame, objects: DataFrame) -> DataFrame:
-    """(request_id, from_id, to_id, relation_type, result) of edges to add: ADDED, exists, or the rule it breaks."""
+def add_relations(edges: DataFrame, requests: DataFrame, objects: DataFrame, sections: DataFrame | None = None) -> DataFrame:
+    """(request_id, from_id, to_id, relation_type, result) of edges to add: ADDED, an end that is missing, one that exists, or the first rule it breaks.
+
+    Of requests for one edge the first by id adds it.  ``sections`` (object_id, section_id) are those
+    of the notes; without them no named section is known.
+    """
+    c, t = F.col, F.col("relation_type")
     asked = _edge_key(canonical_ends(requests))
     have = _edge_key(edges).select("k").distinct().withColumn("there", F.lit(True))
-    rows = with_ends(asked, objects).join(have, "k", "left").withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy("request_id")))
-    c, t = F.col, F.col("relation_type")
-    result = (
-        F.when(c("f_id").isNull(), "RELATION_SOURCE_MISSING").when(c("t_id").isNull(), "RELATION_TARGET_MISSING").when(~relation_allowed(), "RELATION_KIND_INVALID").when(direction_broken(), "RELATION_DIRECTION_INVALID").when(target_broken(), "RELATION_TARGET_INVALID")
-        .when((t == "related_to") & (c("from_id") == c("to_id")), "RELATION_NOT_CANONICAL")
+    rows = with_ends(asked, objects).join(have, "k", "left")
+    if sections is None:
+        rows = rows.withColumn("known", F.lit(False))
+    else:
+        rows = rows.join(sections.select(c("object_id").alias("po"), c("section_id").alias("ps"), F.lit(True).alias("known")).distinct(), F.expr("to_id = po and to_section_id = ps"), "left")
+    broken = (
+        F.when(c("f_id").isNull() | c("t_id").isNull(), "RELATION_ENDPOINT_MISSING").when(c("there"), "RELATION_ALREADY_EXISTS").when(~relation_allowed(), "RELATION_KIND_INVALID").when(direction_broken(), "RELATION_DIRECTION_INVALID")
+        .when(target_broken(), "RELATION_TARGET_INVALID").when((t == "related_to") & (c("from_id") == c("to_id")), "RELATION_NOT_CANONICAL").when((F.coalesce("to_section_id", F.lit("")) != "") & ~F.coalesce("known", F.lit(False)), "RELATION_SECTION_MISSING")
         .when(t.isin(*schemas.CONTENT_DEPENDENCIES) & (c("f_visibility") == "public") & (c("t_visibility") == "private"), "RELATION_PRIVATE_DEPENDENCY")
-        .when(c("there") | (c("nth") > 1), "RELATION_EXISTS").otherwise("ADDED")
     )
+    # Only an edge that was added makes a later request for it one too many; requests for one edge break the same rules.
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy("request_id")))
+    result = F.coalesce(broken, F.when(c("nth") > 1, "RELATION_ALREADY_EXISTS"), F.lit("ADDED"))
     return rows.select("request_id", "from_id", "to_id", "relation_type", result.alias("result"))
 
 
@@ -203,11 +213,35 @@ def remove_relations(edges: DataFrame, requests: DataFrame) -> tuple[DataFrame,
     return results, have.join(asked.select("k"), "k", "left_anti").drop("k")
 
 
-def create_notes(requests: DataFrame, sources: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(results, notes, summarizes edges) of literature notes asked for by (request_id, source_id, title)."""
-    rows = requests.join(sources.where("kind = 'source'").select(F.col("id").alias("source_id"), F.col("title").alias("source_title"), F.lit(True).alias("known")), "source_id", "left")
-    ok = rows.where("known").withColumn("id", new_id("note", F.col("request_id").cast("string"), F.col("source_id")))
-    results = rows.select("request_id", F.when(F.col("known"), "CREATED").otherwise("SOURCE_NOT_FOUND").alias("result"))
-    notes = ok.select("id", F.lit("note").alias("kind"), F.lit("literature").alias("subtype"), F.coalesce("title", "source_title").alias("title"), F.lit("private").alias("visibility"), F.lit("active").alias("record_status"), F.lit("seed").alias("maturity"), F.lit(now[:10]).alias("created"), F.lit(now[:10]).alias("updated"))
-    edges = ok.select(F.col("id").alias("from_id"), F.col("source_id").alias("to_id"), F.lit("summarizes").alias("relation_type"), F.lit(now).alias("created_at"))
-    return results, notes, edges
+def create_notes(requests: DataFrame, sources: DataFrame, now: str, actor_id: str = "user", section: tuple[str, str] = ("sec_mine", "Mine")) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(results, notes, bodies, summarizes edges) of notes asked for by (request_id, source_id, title[, note_type]).
+
+    Literature notes, the default, need a source that exists, and other notes may name none.  A
+    note without a title is called untitled; its body is one empty human section, and the actor
+    who asked is the edge's.
+    """
+    c = F.col
+    kind = c("note_type") if "note_type" in requests.columns else F.lit("literature")
+    rows = requests.withColumn("note_type", F.coalesce(kind, F.lit("literature"))).join(sources.where("kind = 'source'").select(c("id").alias("source_id"), F.lit(True).alias("known")), "source_id", "left")
+    literature = c("note_type") == "literature"
+    result = (
+        F.when(~c("note_type").isin(*schemas.NOTE_TYPES), "FIELD_INVALID").when(literature & c("source_id").isNull(), "NOTE_SOURCE_REQUIRED")
+        .when(c("source_id").isNotNull() & (~literature | c("known").isNull()), "NOTE_SOURCE_INVALID").otherwise("CREATED")
+    )
+    rows = rows.withColumn("result", result)
+    ok = rows.where("result = 'CREATED'").withColumn("id", new_id("note", c("request_id").cast("string"), F.coalesce("source_id", F.lit(""))))
+    title = F.coalesce("title", F.concat(F.lit("Untitled "), "note_type"))
+    today = F.lit(now[:10])
+    notes = ok.select(
+        "id", F.lit("note").alias("kind"), c("note_type").alias("subtype"), title.alias("title"), F.lit("private").alias("visibility"), F.lit("active").alias("record_status"), F.lit("seed").alias("maturity"),
+        today.alias("created"), today.alias("updated"), F.array().cast("array<string>").alias("tags"), F.array().cast(schemas.HISTORY).alias("type_history"),
+    )
+    empty = F.array(F.struct(F.lit(section[0]).alias("section_id"), F.lit("human").alias("role"), F.lit(section[1]).alias("heading"), F.from_json(F.lit("[]"), _BLOCKS).alias("blocks")))
+    bodies = ok.select(c("id").alias("object_id"), F.lit("note").alias("kind"), F.lit(None).cast("string").alias("text"), empty.alias("sections"))
+    actor = F.struct(F.lit(actor_id).alias("id"), F.lit("human").alias("type"))
+    edges = ok.where("source_id is not null").select(c("id").alias("from_id"), c("source_id").alias("to_id"), F.lit("summarizes").alias("relation_type"), F.lit(now).alias("created_at"), actor.alias("actor"))
+    return rows.select("request_id", "result"), notes, bodies, edges
+
+
+#: Blocks of a section, as bodies have them.
+_BLOCKS = schemas.BODY.split("blocks:", 1)[1].removesuffix(">>")

@@ -11,6 +11,7 @@ from functools import reduce
 import ahocorasick
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ from quire import schemas
 from quire.functions import text as tx
 from quire.functions.locators import LOCATOR, locator_mismatches
 from quire.schemas import MARKER
+from quire.sources.vault import pruned
 
 K1, B = 1.2, 0.75
 DEFAULT_ROLES = ("source", "human", "fact", "snippet")
@@ -101,16 +103,16 @@ def matches(index: dict[str, DataFrame], queries: DataFrame, fold_diacritics: bo
 
     A query's candidates are the segments with its rarest term; the postings of its other terms
     are looked up for these segments only, by term and segment, so that a frequent term never
-    sends its postings to every query that has it.  Query terms are broadcast while their number
-    is small.  Scores are rounded to nine digits so that their sum's order is no matter.
+    sends its postings to every query that has it.  Of postings in buckets only those of the
+    terms are read.  Query terms are broadcast while their number is small.  Scores are rounded to nine digits so that their sum's order is no matter.
     """
-    terms = query_terms(queries, fold_diacritics)
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    terms = query_terms(queries, fold_diacritics).persist(StorageLevel.DISK_ONLY)  # read at every step below
+    few = terms.count() <= BROADCAST_TERMS
     small = F.broadcast if few else lambda df: df
     known = small(terms.select("term").distinct()).join(index["term_stats"], "term")
     by_rarity = Window.partitionBy("query_id").orderBy("df", "term")
     terms = terms.join(known, "term").withColumns({"place": F.row_number().over(by_rarity), "present": F.count("*").over(Window.partitionBy("query_id"))}).where("present = n_terms")
-    postings = index["postings"].join(small(terms.select("term").distinct()), "term", "left_semi")
+    postings = pruned(index["postings"], terms.select("term")).join(small(terms.select("term").distinct()), "term", "left_semi")
     rarest = postings.join(small(terms.where("place = 1").select("query_id", "term", "times", "df", "n_terms")), "term")
     others = terms.where("place > 1").select("query_id", "term", "times", "df")
     looked = rarest.where("n_terms > 1").select("query_id", "segment_id", "n_terms").join(small(others), "query_id").join(postings, ["term", "segment_id"])
@@ -142,12 +144,22 @@ def search(index: dict[str, DataFrame], queries: DataFrame, filters: SearchFilte
     found = apply_search_filters(matched(index, queries, fold_diacritics), filters)
     if scope == "public":
         found = public_safe(found, index)
-    return shown(ranked(found, limit))
+    return shown(with_text(ranked(found, limit), index))
+
+
+def with_text(hits: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
+    """Adds the texts of the hits that were kept."""
+    return hits.join(index["segments"].select("segment_id", "text"), "segment_id")
+
+
+def invalid_queries(queries: DataFrame) -> DataFrame:
+    """(query_id, code) of the queries without a word, which have no row among the hits."""
+    return queries.join(query_terms(queries).select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lit("SEARCH_QUERY_INVALID").alias("code"))
 
 
 def matched(index: dict[str, DataFrame], queries: DataFrame, fold_diacritics: bool = True) -> DataFrame:
-    """Matches with the columns of their segment and object."""
-    return matches(index, queries, fold_diacritics).join(index["segments"], "segment_id").join(index["objects"].withColumnRenamed("id", "object_id"), "object_id")
+    """Matches with the columns of their segment, but for its text, and object."""
+    return matches(index, queries, fold_diacritics).join(index["segments"].drop("text", "bucket"), "segment_id").join(index["objects"].withColumnRenamed("id", "object_id"), "object_id")
 
 
 def shown(hits: DataFrame) -> DataFrame:
@@ -247,7 +259,7 @@ def context(index: dict[str, DataFrame], queries: DataFrame, scope: str = "local
         found = ranked(found.withColumn("nth", F.row_number().over(best)).where("nth <= 200").drop("nth"), 200 * len(schemas.STATUSES))
     else:
         found = ranked(apply_search_filters(found, filters), 200)
-    found = shown(found)
+    found = shown(with_text(found, index))
     found = public_exclusion(found, index) if public else found.withColumn("public_code", F.lit(None).cast("string"))
     done = budgeted(found, limit, max_chars)
     items = done.where("code is null").select("query_id", "rank", "group", "segment_id", "object_id", "section_id", "role", "text", "score")

@@ -291,4 +291,5 @@ EXPECTED = {
     "layout_findings": {"RELATION_SHARD_DUPLICATE", "RELATION_SHARD_OWNER_MISMATCH", "OBJECT_LAYOUT_INVALID"}, "snippet_findings": {"SNIPPET_SOURCE_INVALID"}, "artifact_findings": {"AI_INPUT_MISSING", "AI_INPUT_SECTION_MISSING", "AI_ARTIFACT_MISSING", "AI_ARTIFACT_UNPROMOTED"},
     "captured": {"CREATED", "EXISTING", "ADD_INPUT_INVALID", "ADD_IDENTITY_CONFLICT", "ADD_METADATA_UNAVAILABLE", "ADD_TYPE_AMBIGUOUS"}, "adopted_sources": {"SOURCE_TYPE_UNSUPPORTED", "SOURCE_SYNC_ADOPTION_INVALID", "UPDATED"},
     "synced_sources": {"SOURCE_TYPE_UNSUPPORTED", "SOURCE_SYNC_LOCAL_MODIFIED", "ZOTERO_ITEM_UNAVAILABLE", "PAPER_CANONICAL_IDENTITY_MISSING", "PAPER_IDENTITY_CONFLICT", "PAPER_ATTACHMENT_CHANGED", "SOURCE_SYNC_BASELINE_REQUIRED", "NO_CHANGE", "UPDATED"},
+    "relations_added": {"RELATION_ENDPOINT_MISSING", "RELATION_ALREADY_EXISTS", "RELATION_NOT_CANONICAL", "RELATION_SECTION_MISSING", "ADDED"}, "notes_created": {"NOTE_SOURCE_REQUIRED", "NOTE_SOURCE_INVALID", "CREATED"},
 }

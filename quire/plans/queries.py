@@ -328,19 +328,20 @@ def recognized_inputs(spark, d):
     return rows.select((F.col("request_id") * 10 + F.col("k")).alias("request_id"), idn.recognize_input(F.col("input"), F.lit(None).cast("string"))["type"].alias("type"))
 
 
-@query("""SELECT request_id, from_id, to_id, relation_type, CASE WHEN fk IS NULL THEN 'RELATION_SOURCE_MISSING' WHEN tk IS NULL THEN 'RELATION_TARGET_MISSING' WHEN tk <> 'note' OR fk <> 'note' THEN 'RELATION_KIND_INVALID'
-    WHEN from_id = to_id THEN 'RELATION_NOT_CANONICAL' WHEN there OR nth > 1 THEN 'RELATION_EXISTS' ELSE 'ADDED' END AS result FROM (
-    SELECT a.*, f.kind AS fk, t.kind AS tk, r.from_id IS NOT NULL AS there, row_number() OVER (PARTITION BY a.from_id, a.to_id ORDER BY request_id) AS nth FROM (
-        SELECT o_orderkey AS request_id, least(x, y) AS from_id, greatest(x, y) AS to_id, 'related_to' AS relation_type FROM (
+@query("""SELECT request_id, from_id, to_id, relation_type, CASE WHEN fk IS NULL OR tk IS NULL THEN 'RELATION_ENDPOINT_MISSING' WHEN there THEN 'RELATION_ALREADY_EXISTS' WHEN tk <> 'note' OR fk <> 'note' THEN 'RELATION_KIND_INVALID'
+    WHEN from_id = to_id THEN 'RELATION_NOT_CANONICAL' WHEN section = 'sec_9' THEN 'RELATION_SECTION_MISSING' WHEN nth > 1 THEN 'RELATION_ALREADY_EXISTS' ELSE 'ADDED' END AS result FROM (
+    SELECT a.*, f.kind AS fk, t.kind AS tk, section = '' AND r.from_id IS NOT NULL AS there, row_number() OVER (PARTITION BY a.from_id, a.to_id, section ORDER BY request_id) AS nth FROM (
+        SELECT o_orderkey AS request_id, least(x, y) AS from_id, greatest(x, y) AS to_id, 'related_to' AS relation_type, CASE o_orderkey % 7 WHEN 0 THEN 'sec_1' WHEN 1 THEN 'sec_9' ELSE '' END AS section FROM (
             SELECT o_orderkey, concat('note_', CAST(o_custkey % (SELECT max(doc_id) + 20 FROM documents) AS VARCHAR)) AS x, concat('note_', CAST(o_orderkey % (SELECT max(doc_id) + 20 FROM documents) AS VARCHAR)) AS y FROM orders)) a
     LEFT JOIN v_objects f ON f.id = a.from_id LEFT JOIN v_objects t ON t.id = a.to_id LEFT JOIN v_relations r ON r.from_id = a.from_id AND r.to_id = a.to_id AND r.relation_type = 'related_to')""")
 def relations_added(spark, d):
-    """BK5."""
+    """BK5: edges to add, some with sections that exist or don't."""
     edges, objects = _edges(spark, d), fx.details(spark, d)
     top = spark.read.parquet(f"{d}/documents.parquet").agg((F.max("doc_id") + 20).alias("m"))
     note = lambda c: F.concat(F.lit("note_"), (F.col(c) % F.col("m")).cast("string"))
-    asked = spark.read.parquet(f"{d}/orders.parquet").crossJoin(F.broadcast(top)).select(F.col("o_orderkey").alias("request_id"), note("o_custkey").alias("from_id"), note("o_orderkey").alias("to_id"), F.lit("related_to").alias("relation_type"), F.lit(None).cast("string").alias("to_section_id"))
-    return bulk.add_relations(edges.drop("locator"), asked, objects)
+    section = F.when(F.col("o_orderkey") % 7 == 0, "sec_1").when(F.col("o_orderkey") % 7 == 1, "sec_9")
+    asked = spark.read.parquet(f"{d}/orders.parquet").crossJoin(F.broadcast(top)).select(F.col("o_orderkey").alias("request_id"), note("o_custkey").alias("from_id"), note("o_orderkey").alias("to_id"), F.lit("related_to").alias("relation_type"), section.alias("to_section_id"))
+    return bulk.add_relations(edges.drop("locator"), asked, objects, fx.view(spark, d, "v_segments").select("object_id", "section_id"))
 
 
 @query("""SELECT 'relations.from_id' AS table_name, from_id AS key_value FROM (SELECT DISTINCT from_id FROM v_relations) WHERE from_id NOT IN (SELECT id FROM v_objects)
@@ -382,14 +383,23 @@ def notes_evolved(spark, d):
     return rows.select("request_id", "id", "result", "subtype", "maturity", F.coalesce(F.size("type_history"), F.lit(0)).alias("n_steps"))
 
 
-@query(f""", {_REQUESTS} SELECT to_id, relation_type, count(*) AS n FROM (SELECT source_id AS to_id, 'summarizes' AS relation_type FROM asked JOIN v_sources s ON s.id = source_id
-    UNION ALL SELECT source_id, 'SOURCE_NOT_FOUND' FROM asked WHERE source_id NOT IN (SELECT id FROM v_sources)) GROUP BY ALL""")
+_KINDS_ASKED = """wanted AS (SELECT request_id, CASE WHEN request_id % 5 > 0 THEN source_id END AS source_id, CASE request_id % 5 WHEN 0 THEN CASE WHEN request_id % 10 = 0 THEN 'idea' END WHEN 1 THEN CASE WHEN request_id % 3 = 0 THEN 'concept' ELSE 'literature' END END AS note_type FROM asked)"""
+
+
+@query(f""", {_REQUESTS}, {_KINDS_ASKED} SELECT request_id, CASE WHEN coalesce(note_type, 'literature') = 'literature' THEN CASE WHEN source_id IS NULL THEN 'NOTE_SOURCE_REQUIRED' WHEN s.id IS NULL THEN 'NOTE_SOURCE_INVALID' ELSE 'CREATED' END
+        WHEN source_id IS NOT NULL THEN 'NOTE_SOURCE_INVALID' ELSE 'CREATED' END AS result, CASE WHEN coalesce(note_type, 'literature') = 'literature' AND s.id IS NOT NULL THEN source_id END AS to_id,
+        CASE WHEN coalesce(note_type, 'literature') = 'literature' AND s.id IS NOT NULL THEN 'human' END AS actor_type, CASE WHEN coalesce(note_type, 'literature') = 'literature' AND s.id IS NOT NULL THEN 'Untitled literature' WHEN note_type = 'idea' THEN 'Untitled idea' END AS title,
+        CASE WHEN coalesce(note_type, 'literature') = 'literature' AND s.id IS NOT NULL OR note_type = 'idea' THEN 'human' END AS role
+    FROM wanted LEFT JOIN v_sources s ON s.id = source_id""")
 def notes_created(spark, d):
-    """BK6: the edges made for each source, and the requests that found none."""
-    asked = _requests(spark, d).select("request_id", "source_id", F.lit(None).cast("string").alias("title"))
-    results, _, edges = bulk.create_notes(asked, fx.details(spark, d), "2024-01-02T00:00:00Z")
-    lost = results.where("result <> 'CREATED'").join(asked, "request_id").select(F.col("source_id").alias("to_id"), F.col("result").alias("relation_type"))
-    return edges.select("to_id", "relation_type").unionByName(lost).groupBy("to_id", "relation_type").agg(F.count("*").alias("n"))
+    """BK6: what becomes of each request: the note's title, its section, and its edge with the actor."""
+    r = F.col("request_id")
+    kind = F.when(r % 5 == 0, F.when(r % 10 == 0, "idea")).when(r % 5 == 1, F.when(r % 3 == 0, "concept").otherwise("literature"))
+    asked = _requests(spark, d).select("request_id", F.when(r % 5 > 0, F.col("source_id")).alias("source_id"), F.lit(None).cast("string").alias("title"), kind.alias("note_type"))
+    results, notes, bodies, edges = bulk.create_notes(asked, fx.details(spark, d), "2024-01-02T00:00:00Z")
+    own = asked.select("request_id", bulk.new_id("note", F.col("request_id").cast("string"), F.coalesce("source_id", F.lit(""))).alias("id"))
+    made = notes.select("id", "title").join(bodies.select(F.col("object_id").alias("id"), F.col("sections")[0]["role"].alias("role")), "id").join(edges.select(F.col("from_id").alias("id"), "to_id", F.col("actor.type").alias("actor_type")), "id", "left")
+    return results.join(own, "request_id").join(made, "id", "left").select("request_id", "result", "to_id", "actor_type", "title", "role")
 
 
 _RELATED = _REQUESTS + ", wish AS (SELECT request_id, least(note_id, other_id) AS from_id, greatest(note_id, other_id) AS to_id FROM asked)"

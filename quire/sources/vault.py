@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -222,19 +222,40 @@ def write_projection(tables: dict[str, DataFrame], out: str, buckets: int = 64)
     version = spark.range(1).select(F.expr("uuid()")).first()[0]
     for name, df in tables.items():
         if name in BUCKETED:
-            df = df.withColumn("bucket", F.pmod(F.xxhash64(BUCKETED[name]), F.lit(buckets))).repartition(buckets, "bucket")
+            df = df.withColumn("bucket", bucket_of(F.col(BUCKETED[name]), buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", BUCKETED[name])
             df.write.partitionBy("bucket").parquet(f"{out}/{version}/{name}")
         else:
             df.write.parquet(f"{out}/{version}/{name}")
-    pointer = spark.createDataFrame([(version, sorted(tables))], "version string, tables array<string>").withColumn("at", F.current_timestamp())
+    pointer = spark.createDataFrame([(version, sorted(tables), buckets)], "version string, tables array<string>, buckets int").withColumn("at", F.current_timestamp())
     pointer.coalesce(1).write.mode("append").parquet(f"{out}/versions")
     return version
 
 
 def read_projection(spark: SparkSession, out: str) -> dict[str, DataFrame]:
-    """The tables of the newest complete version."""
+    """The tables of the newest complete version; bucketed ones keep ``bucket``, which knows how many there are (``pruned``)."""
     now = spark.read.parquet(f"{out}/versions").orderBy(F.desc("at"), "version").first()
-    return {name: spark.read.parquet(f"{out}/{now['version']}/{name}").drop("bucket") for name in now["tables"]}
+    tables = {}
+    for name in now["tables"]:
+        df = spark.read.parquet(f"{out}/{now['version']}/{name}")
+        tables[name] = df.withMetadata("bucket", {"buckets": now["buckets"]}) if name in BUCKETED else df
+    return tables
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def pruned(table: DataFrame, keys: DataFrame) -> DataFrame:
+    """The table, without ``bucket``, read from the buckets of ``keys`` (one column) only, where it has buckets.
+
+    Only the buckets' numbers reach the driver, of which there are as many as the table has at most.
+    """
+    if "bucket" not in table.columns:
+        return table
+    if n := table.schema["bucket"].metadata.get("buckets"):
+        some = keys.select(bucket_of(F.col(keys.columns[0]), n).alias("b")).distinct().collect()
+        table = table.where(F.col("bucket").isin([r["b"] for r in some]))
+    return table.drop("bucket")
 
 
 def projection_counts(tables: dict[str, DataFrame]) -> DataFrame:

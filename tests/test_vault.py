@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from quire.operators.index import build_postings
 from quire.operators import bulk, catalog, joins, maintain, migrate, projection, search, validate
 from quire.sources import vault
 from quire.streaming import refresh
@@ -149,6 +150,24 @@ def test_incremental_equals_rebuild_after_moves_and_broken_files(spark, tmp_path
         assert sorted(map(str, after[name].select(cols).collect())) == sorted(map(str, full[name].collect())), name
 
 
+def test_lookups_open_only_the_buckets_of_their_terms(spark, tmp_path):
+    fields = spark.createDataFrame([(f"s{i}", [f"t{i % 50}", "all", "all", f"u{i}"]) for i in range(200)] + [("none", [])], "segment_id string, tokens array<string>")
+    tables = build_postings(fields)
+    assert "Exchange" not in tables["postings"]._jdf.queryExecution().executedPlan().toString()
+    assert {(r.term, r.tf) for r in tables["postings"].where("segment_id = 's7'").collect()} == {("t7", 1), ("all", 2), ("u7", 1)}
+    vault.write_projection(tables, f"{tmp_path}/p", 64)
+    back = vault.read_projection(spark, f"{tmp_path}/p")
+    queries = spark.createDataFrame([(1, "t7 all"), (2, "u9"), (3, "--")], "query_id int, query string")
+    found = search.matches(back, queries)
+    scans = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "PartitionFilters" in line and "bucket" in line]
+    assert scans and all("bucket#" in line.split("PartitionFilters:")[1].split("PushedFilters")[0] for line in scans)
+    parts = [line.split("PartitionFilters:")[1].split("]")[0] for line in scans]
+    assert all(p.count(",") < 5 for p in parts)  # three terms lie in three buckets of 64 at most
+    plain = search.matches(tables, queries)
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect())) and found.count() == 5
+    assert [tuple(r) for r in search.invalid_queries(queries).collect()] == [(3, "SEARCH_QUERY_INVALID")]
+
+
 def test_newest_projection_is_read_and_older_ones_stay(spark, tmp_path):
     tables = {"objects": spark.range(2), "segments": spark.range(3).selectExpr("cast(id as string) as segment_id")}
     first = vault.write_projection(tables, f"{tmp_path}/p", 2)
@@ -283,8 +302,9 @@ def test_bulk_changes(spark, small):
     _, objects, _, edges, _ = small
     evolve = spark.createDataFrame([(1, ID["con4"], "me"), (2, "note_x", "me")], "request_id int, id string, actor_id string")
     assert {r.request_id: r.result for r in bulk.evolve_notes(evolve, objects, "2024-02-02T00:00:00Z").collect()} == {1: "NOTE_TRANSITION_INVALID", 2: "NOTE_NOT_FOUND"}
-    made, notes, links = bulk.create_notes(spark.createDataFrame([(1, ID["web1"], None)], "request_id int, source_id string, title string"), objects, "2024-02-02T00:00:00Z")
-    assert made.first().result == "CREATED" and notes.first().title == "Title web1" and links.first().to_id == ID["web1"]
+    made, notes, bodies, links = bulk.create_notes(spark.createDataFrame([(1, ID["web1"], None)], "request_id int, source_id string, title string"), objects, "2024-02-02T00:00:00Z")
+    assert made.first().result == "CREATED" and notes.first().title == "Untitled literature" and (links.first().to_id, links.first().actor.type) == (ID["web1"], "human")
+    assert [s.role for s in bodies.first().sections] == ["human"]
     gone, stay = bulk.remove_relations(edges, edges.select(F.lit(1).alias("request_id"), "from_id", "to_id", "to_section_id", "relation_type", "locator"))
     assert gone.first().result == "REMOVED" and stay.count() == 0
 
