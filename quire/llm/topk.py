@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.shared import cut
 
-#: Vectors in a block of candidates and of queries; groups that blocks are dealt to at most.
-BLOCK, QUERIES, GROUPS = 2048, 512, 512
+#: Vectors in a block of candidates and of queries; blocks of a group; blocks of queries that meet a group in one task.
+BLOCK, QUERIES, GROUP, TOGETHER = 2048, 512, 4, 1024
 #: Share of the axes that the partial sums cover.
 LEADING = 0.25
 
@@ -120,11 +120,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     n, width = sizes["n"], max(1, sizes["w"] or 1)
     turn = context.broadcast(rotation(vectors, width))
     length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    groups = max(1, min(GROUPS, -(-n // (4 * BLOCK))))
+    groups = max(1, -(-n // (GROUP * BLOCK)))
     # Every query keeps a number of its own, so repeated ids stay apart.
     by_length = vectors.withColumn("length", length).repartitionByRange(groups, F.desc("length"), F.xxhash64("id"), F.col("id")).sortWithinPartitions(F.desc("length"), "id")
     blocks = cut(_blocks(by_length, BLOCK, width).withColumn("group", F.spark_partition_id()))
-    asked = queries.repartition(max(1, -(-queries.count() // QUERIES)), F.xxhash64("id")).sortWithinPartitions("id")
+    query_blocks = max(1, -(-queries.count() // QUERIES))
+    salts = -(-query_blocks // TOGETHER)
+    asked = queries.repartition(query_blocks, F.xxhash64("id")).sortWithinPartitions("id")
     asked = cut(_blocks(asked, QUERIES, width).withColumn("query_block", F.monotonically_increasing_id()))
     longest = {r["group"]: r["m"] for r in blocks.groupBy("group").agg(F.max("longest").alias("m")).collect()}
     reach = np.array([longest.get(g, 0.0) for g in range(max(longest, default=0) + 1)])
@@ -153,7 +155,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floors, pa.binary()), pa.array(counts, pa.int64())], [*batch.schema.names, "floors", "groups"])
 
     sent = asked.select("query_block", "ids", "v").mapInArrow(lambda it: thresholds(it), "query_block long, ids binary, v binary, floors binary, groups long")
-    sent = sent.where("groups > 0").select(F.col("ids").alias("q_ids"), F.col("v").alias("q"), "floors", F.explode(F.expr("sequence(0, cast(groups as int) - 1)")).alias("group"))
+    salt = F.pmod(F.xxhash64("query_block"), F.lit(salts)).alias("salt")
+    sent = sent.where("groups > 0").select(F.col("ids").alias("q_ids"), F.col("v").alias("q"), "floors", salt, F.explode(F.expr("sequence(0, cast(groups as int) - 1)")).alias("group"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         axes = turn.value
@@ -184,7 +187,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 who = np.concatenate(who)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[who]), pa.array(who), pa.array(np.concatenate(which)), pa.array(np.concatenate(value))], ["query_id", "place", "vec_id", "score"])
 
-    met = sent.join(blocks.select("group", "ids", "v", "longest"), "group").select("q_ids", "q", "floors", "ids", "v", "longest")
+    dealt = blocks.select("group", "ids", "v", "longest", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    met = sent.join(dealt, ["group", "salt"]).select("q_ids", "q", "floors", "ids", "v", "longest")
     found = _small_batches(spark, met, meet, "query_id long, place long, vec_id long, score long")
     order = Window.partitionBy("query_id", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -375,7 +375,7 @@ URLS = [
 ]
 
 
-def test_url_rules_equal_brute_force(spark):
+def test_url_rules_equal_brute_force(spark, monkeypatch):
     rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
     more = [f"http://h{i}.example.{t}/{p}/{i}" for i in range(300) for t in ("com", "net", "org") for p in ("en", "de", "es")]
     df = spark.createDataFrame([(i, u, "r") for i, u in enumerate([*URLS, *more])], "page_id long, url string, rule string").repartition(3)
@@ -392,23 +392,29 @@ def test_url_rules_equal_brute_force(spark):
     assert sorted(map(tuple, urlfilter.judge(df, table).collect())) == want
     assert {r.verdict for r in urlfilter.judge(df, table.limit(0)).collect()} == {"allow"}
     assert urlfilter.judge(df.limit(0), table).collect() == []
-    host, path = urlfilter.parsed("url")
-    labels, lengths = (1, 2), (4, 5)
-    rows = df.select("page_id", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("keys", urlfilter.keys_of(F.col("host"), F.col("path"), labels, lengths))
-    assert sorted(map(tuple, urlfilter._joined(rows, table.where("length(path) in (4, 5)"), "allow").collect())) == want
+    # The same rows through cascades in shards, and with a long list in which each host is a rule of its own.
+    monkeypatch.setattr(urlfilter, "MOST_BITS", 16)
+    assert sorted(map(tuple, urlfilter.judge(df, table).collect())) == want
+    long = urlfilter.rules_table(spark, [("block" if i % 3 else "allow", f"h{i}.example.com", "/") for i in range(300)])
+    monkeypatch.setattr(urlfilter, "MOST_BITS", 800)
+    some = {r.host: (r.rule, r.verdict) for r in urlfilter.judge(df, long).where("host like 'h%.example.com'").collect()}
+    assert some == {f"h{i}.example.com": (f"h{i}.example.com/", "block" if i % 3 else "allow") for i in range(300)}
 
 
 def test_rules_with_both_verdicts_and_repeated_pages(spark):
     both = spark.createDataFrame([("com/en/", "allow", "com", "/en/"), ("com/en/", "block", "com", "/en/"), ("net/x", "allow", "net", "/x")], "key string, verdict string, host string, path string")
     df = spark.createDataFrame([(1, "http://com/en/a", "v"), (1, "http://com/en/a", "v"), (2, "http://net/x", "v")], "page_id long, url string, verdict string")
     assert sorted((r.page_id, r.verdict) for r in urlfilter.judge(df, both).collect()) == [(1, "block"), (1, "block"), (2, "allow")]
+    other = both.replace("allow", "review", "verdict")  # verdicts other than block allow
+    assert sorted((r.page_id, r.verdict) for r in urlfilter.judge(df, other).collect()) == [(1, "block"), (1, "block"), (2, "allow")]
 
 
 def test_cascade_is_exact_on_its_universe(spark):
     keys = spark.range(3000).select(F.xxhash64("id").alias("h"), F.xxhash64("id", F.lit(1)).alias("g"), "id")
     tested = urlfilter.cascade(keys.where("id % 7 = 0").select("h", "g"), keys.where("id % 7 <> 0").select("h", "g"))
     assert len(tested.levels) > 1
+    few = urlfilter.cascade(keys.where("id < 5").select("h", "g"), keys.where("id >= 5").select("h", "g"))
+    assert few.levels[0].hashes == 10 and sum(len(level.bits) for level in few.levels) < 100  # sized by both sides
     rows = keys.collect()
     got = tested.listed(np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.g for r in rows], np.int64).view(np.uint64))
     assert got.tolist() == [r.id % 7 == 0 for r in rows]
