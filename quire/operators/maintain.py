@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import schemas
 from quire.operators import projection as pr
-from quire.operators.catalog import changed_paths, snapshot_digest
+from quire.operators.catalog import changed_paths, is_healthy, snapshot_digest
 from quire.operators.index import build_postings
-from quire.sources.vault import Roots
+from quire.sources.vault import Roots, write_projection
 
 #: Child tables and the column that names the object their rows belong to.
 OWNED = {"type_transitions": "object_id", "sections": "object_id", "segments": "object_id", "object_tags": "object_id", "relations": "from_id", "search_fields": "object_id"}
@@ -51,7 +52,30 @@ def require_searchable(state: str, healthy: bool) -> None:
     if not healthy:
         raise ValueError("INDEX_SOURCE_INVALID")
     if state != "fresh":
-        raise ValueError({"missing": "INDEX_NOT_FOUND", "incompatible": "INDEX_INCOMPATIBLE"}.get(state, "INDEX_STALE"))
+        raise ValueError({"missing": "INDEX_NOT_FOUND", "incompatible": "INDEX_INCOMPATIBLE"}.get(state, "INDEX_SOURCE_CHANGED"))
+
+
+def publish(
+    spark: SparkSession, files: DataFrame, objects: DataFrame, bodies: DataFrame, edges: DataFrame, findings: DataFrame, out: str, built_at: str, again: Callable[[], DataFrame] | None = None, buckets: int = 64
+) -> str:
+    """Builds and lists a new version of the projection, if what it is made of is sound; gives its name.
+
+    ``findings`` are all of a scan; an error among them refuses (INDEX_SOURCE_INVALID), and so do
+    rows whose parent is missing (INDEX_CORRUPT).  ``again`` reads (path, checksum) anew once the
+    tables are written: files that changed meanwhile refuse as well (INDEX_SOURCE_CHANGED).  A
+    refused version is not listed, so no reader takes it.
+    """
+    if not is_healthy(findings):
+        raise ValueError("INDEX_SOURCE_INVALID")
+    tables = rebuild(spark, files, objects, bodies, edges, findings, built_at)
+
+    def sound(written: dict[str, DataFrame]) -> None:
+        if not check_foreign_keys(written).isEmpty():
+            raise ValueError("INDEX_CORRUPT")
+        if again is not None and not changed_paths(again(), written["scan_state"]).isEmpty():
+            raise ValueError("INDEX_SOURCE_CHANGED")
+
+    return write_projection(tables, out, buckets, sound)
 
 
 def incremental_update(tables: dict[str, DataFrame], changed: DataFrame, objects: DataFrame, bodies: DataFrame, edges: DataFrame, current: DataFrame, built_at: str, roots: Roots = Roots(), findings: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -140,7 +140,7 @@ def search(index: dict[str, DataFrame], queries: DataFrame, filters: SearchFilte
     if not 1 <= limit <= 200:
         raise ValueError("SEARCH_QUERY_INVALID")
     if scope == "public" and (filters.role == "ai" or filters.kind == "ai_artifact"):
-        raise ValueError("SEARCH_FILTER_INVALID: AI in public scope")
+        raise ValueError("SEARCH_QUERY_INVALID: AI in public scope")
     found = apply_search_filters(matched(index, queries, fold_diacritics), filters)
     if scope == "public":
         found = public_safe(found, index)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -212,8 +212,8 @@ def shared_folder(spark: SparkSession) -> str:
 BUCKETED = {"segments": "segment_id", "postings": "term"}
 
 
-def write_projection(tables: dict[str, DataFrame], out: str, buckets: int = 64) -> str:
-    """Writes all tables below a new version folder and adds it to ``versions`` once it is complete.
+def write_projection(tables: dict[str, DataFrame], out: str, buckets: int = 64, sound: Callable[[dict[str, DataFrame]], None] | None = None) -> str:
+    """Writes all tables below a new version folder and adds it to ``versions`` once it is complete and ``sound``, given the written tables, raises nothing.
 
     Nothing is deleted or replaced: readers take the newest complete version, and those of an
     older one are not disturbed.
@@ -226,6 +226,8 @@ def write_projection(tables: dict[str, DataFrame], out: str, buckets: int = 64)
             df.write.partitionBy("bucket").parquet(f"{out}/{version}/{name}")
         else:
             df.write.parquet(f"{out}/{version}/{name}")
+    if sound is not None:
+        sound({name: spark.read.parquet(f"{out}/{version}/{name}") for name in tables})
     pointer = spark.createDataFrame([(version, sorted(tables), buckets)], "version string, tables array<string>, buckets int").withColumn("at", F.current_timestamp())
     pointer.coalesce(1).write.mode("append").parquet(f"{out}/versions")
     return version

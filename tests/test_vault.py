@@ -106,6 +106,21 @@ def test_broken_files_give_their_first_error(spark, tmp_path):
     assert "OBJECT_ID_DUPLICATE" in rest
 
 
+def test_only_sound_projections_are_published(spark, small, tmp_path):
+    f, objects, bodies, edges, bad = small
+    out = f"{tmp_path}/p"
+    made = lambda **more: maintain.publish(spark, f, objects, bodies, more.pop("edges", edges), more.pop("bad", bad), out, "t", buckets=2, **more)
+    with pytest.raises(ValueError, match="INDEX_SOURCE_INVALID"):
+        made(bad=validate.findings(objects.limit(1), "FIELD_INVALID"))
+    with pytest.raises(ValueError, match="INDEX_CORRUPT"):
+        made(edges=edges.withColumn("to_id", F.lit("src_gone")))
+    with pytest.raises(ValueError, match="INDEX_SOURCE_CHANGED"):
+        made(again=lambda: f.where("path not like 'snippets%'"))
+    assert not (tmp_path / "p" / "versions").exists()
+    made(again=lambda: f)
+    assert vault.read_projection(spark, out)["objects"].count() == 6
+
+
 def test_incremental_equals_rebuild(spark, tmp_path):
     written(tmp_path / "old", files())
     f, objects, bodies, edges, bad = parsed(spark, tmp_path / "old")
@@ -116,7 +131,7 @@ def test_incremental_equals_rebuild(spark, tmp_path):
     written(tmp_path / "new", later)
     f2, o2, b2, e2, bad2 = parsed(spark, tmp_path / "new")
     state, changed = maintain.index_status(before, f2.select("path", "checksum"))
-    with pytest.raises(ValueError, match="INDEX_STALE"):
+    with pytest.raises(ValueError, match="INDEX_SOURCE_CHANGED"):
         maintain.require_searchable(state, True)
     with pytest.raises(ValueError, match="INDEX_SOURCE_INVALID"):
         maintain.require_searchable(state, False)
