@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -208,6 +209,13 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written below the shared folder and read again: what is built on them starts from there, also where an executor was lost."""
+    at = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
 #: Pages of one version of the projection that are hashed to buckets.
 BUCKETED = {"segments": "segment_id", "postings": "term"}
 
