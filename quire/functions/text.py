@@ -72,6 +72,7 @@ def checksum(content: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(content, 256))
 
 
+#: Fixed values in it: the patterns that sort codes into categories.
 def finding_category(code: Column) -> Column:
     """The first rule that fits: security, relation, reference, parse, else contract."""
     return (
