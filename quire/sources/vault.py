@@ -6,8 +6,9 @@ import json
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 import yaml
@@ -216,8 +217,50 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(at)
 
 
-#: Pages of one version of the projection that are hashed to buckets.
+#: Tables that are hashed to buckets, and by which column.
 BUCKETED = {"segments": "segment_id", "postings": "term"}
+#: How a change takes rows out of a table: the list of keys that names them, and the table's column with that key.
+OUT_BY = {
+    "objects": ("objects", "id"), "details": ("objects", "id"), "type_transitions": ("objects", "object_id"), "sections": ("objects", "object_id"), "segments": ("objects", "object_id"), "object_tags": ("objects", "object_id"),
+    "search_fields": ("objects", "object_id"), "relations": ("shards", "from_id"), "citations": ("segments", "segment_id"), "postings": ("segments", "segment_id"), "segment_stats": ("segments", "segment_id"), "scan_state": ("paths", "path"),
+}
+#: Tables of a few rows, which every change holds whole.
+WHOLE = ("corpus_stats", "index_metadata")
+_VERSIONS = "version string, tables array<string>, buckets int, at timestamp, parts array<string>"
+
+
+def overlaid(name: str, parts: Sequence[DataFrame], gone: DataFrame) -> DataFrame:
+    """A table from its base and the rows that later changes added, in order.
+
+    ``gone`` (list, key, n) takes a key's rows out of all parts before the n-th.  Document
+    frequencies are differences and are summed.
+    """
+    if name in WHOLE:
+        return parts[-1]
+    if name == "term_stats":
+        return reduce(DataFrame.unionByName, parts).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    which, key = OUT_BY[name]
+    rows = reduce(DataFrame.unionByName, (p.withColumn("part_", F.lit(i)) for i, p in enumerate(parts)))
+    keys = gone.where(F.col("list") == which).select(F.col("key").alias("key_"), "n")
+    return rows.join(keys, (F.col(key) == F.col("key_")) & (F.col("part_") < F.col("n")), "left_anti").drop("part_")
+
+
+def _write(tables: dict[str, DataFrame], at: str, buckets: int) -> None:
+    for name, df in tables.items():
+        if name in BUCKETED:
+            df = df.withColumn("bucket", bucket_of(F.col(BUCKETED[name]), buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", BUCKETED[name])
+            df.write.partitionBy("bucket").parquet(f"{at}/{name}")
+        else:
+            df.write.parquet(f"{at}/{name}")
+
+
+def _list_version(spark: SparkSession, out: str, version: str, tables: Sequence[str], buckets: int, parts: Sequence[str]) -> None:
+    row = spark.createDataFrame([(version, sorted(tables), buckets, list(parts))], "version string, tables array<string>, buckets int, parts array<string>")
+    row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{out}/versions")
+
+
+def _fresh(spark: SparkSession) -> str:
+    return spark.range(1).select(F.expr("uuid()")).first()[0]
 
 
 def write_projection(tables: dict[str, DataFrame], out: str, buckets: int = 64, sound: Callable[[dict[str, DataFrame]], None] | None = None) -> str:
@@ -227,28 +270,58 @@ def write_projection(tables: dict[str, DataFrame], out: str, buckets: int = 64,
     older one are not disturbed.
     """
     spark = next(iter(tables.values())).sparkSession
-    version = spark.range(1).select(F.expr("uuid()")).first()[0]
-    for name, df in tables.items():
-        if name in BUCKETED:
-            df = df.withColumn("bucket", bucket_of(F.col(BUCKETED[name]), buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", BUCKETED[name])
-            df.write.partitionBy("bucket").parquet(f"{out}/{version}/{name}")
-        else:
-            df.write.parquet(f"{out}/{version}/{name}")
+    version = _fresh(spark)
+    _write(tables, f"{out}/{version}", buckets)
     if sound is not None:
         sound({name: spark.read.parquet(f"{out}/{version}/{name}") for name in tables})
-    pointer = spark.createDataFrame([(version, sorted(tables), buckets)], "version string, tables array<string>, buckets int").withColumn("at", F.current_timestamp())
-    pointer.coalesce(1).write.mode("append").parquet(f"{out}/versions")
+    _list_version(spark, out, version, list(tables), buckets, [version])
+    return version
+
+
+def write_changes(added: dict[str, DataFrame], gone: DataFrame, out: str, sound: Callable[[dict[str, DataFrame]], None] | None = None) -> str:
+    """Writes what an update adds, and the keys (list, key) whose older rows it takes out, below a new version that names the folders of the rest.
+
+    An update of any size touches most buckets of terms, so no older bucket is written again: a
+    reader leaves the rows of ``gone`` out.  ``sound`` sees the tables as they would be read.
+    """
+    spark = gone.sparkSession
+    now = newest(spark, out)
+    version = _fresh(spark)
+    _write(added | {"gone": gone.select("list", "key").distinct()}, f"{out}/{version}", now["buckets"])
+    parts = [*now["parts"], version]
+    if sound is not None:
+        sound(_tables(spark, out, now["tables"], now["buckets"], parts))
+    _list_version(spark, out, version, now["tables"], now["buckets"], parts)
     return version
 
 
+def compact(spark: SparkSession, out: str) -> str:
+    """Writes the newest version's tables whole, so that a reader has one folder to read again."""
+    return write_projection(read_projection(spark, out), out, newest(spark, out)["buckets"])
+
+
+def newest(spark: SparkSession, out: str) -> dict:
+    """The newest complete version: its name, tables, number of buckets and the versions it is made of, oldest first."""
+    row = spark.read.schema(_VERSIONS).parquet(f"{out}/versions").orderBy(F.desc("at"), "version").first().asDict()
+    return row | {"parts": row["parts"] or [row["version"]]}
+
+
 def read_projection(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     """The tables of the newest complete version; bucketed ones keep ``bucket``, which knows how many there are (``pruned``)."""
-    now = spark.read.parquet(f"{out}/versions").orderBy(F.desc("at"), "version").first()
-    tables = {}
-    for name in now["tables"]:
-        df = spark.read.parquet(f"{out}/{now['version']}/{name}")
-        tables[name] = df.withMetadata("bucket", {"buckets": now["buckets"]}) if name in BUCKETED else df
-    return tables
+    now = newest(spark, out)
+    return _tables(spark, out, now["tables"], now["buckets"], now["parts"])
+
+
+def _tables(spark: SparkSession, out: str, names: Sequence[str], buckets: int, parts: Sequence[str]) -> dict[str, DataFrame]:
+    tables = {name: spark.read.parquet(f"{out}/{parts[0]}/{name}") for name in names}
+    if len(parts) > 1:
+        # A change may have no row for a table in buckets, and so no file to take a schema from.
+        later = lambda name: [spark.read.schema(tables[name].schema).parquet(f"{out}/{v}/{name}") for v in parts[1:]]
+        gone = reduce(DataFrame.unionByName, (spark.read.schema("list string, key string").parquet(f"{out}/{v}/gone").withColumn("n", F.lit(i)) for i, v in enumerate(parts) if i))
+        tables |= {name: overlaid(name, [tables[name], *later(name)], gone) for name in names if name != "tags"}
+        if "tags" in names:
+            tables["tags"] = tables["object_tags"].select("tag").distinct()
+    return {name: df.withMetadata("bucket", {"buckets": buckets}) if name in BUCKETED else df for name, df in tables.items()}
 
 
 def bucket_of(key: Column, buckets: int) -> Column:

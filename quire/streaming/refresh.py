@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quire.operators.index import build_postings
+from quire.operators.index import build_postings, corpus_stats
 
 
 def stream_postings(fields: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -28,5 +28,5 @@ def current_stats(spark, out: str) -> dict[str, DataFrame]:
     postings, stats = (spark.read.parquet(f"{out}/{n}").drop("epoch") for n in ("postings", "segment_stats"))
     return {
         "postings": postings, "segment_stats": stats, "term_stats": postings.groupBy("term").agg(F.count("*").alias("df")),
-        "corpus_stats": stats.agg(F.count("*").alias("n_segments"), F.avg("n_tokens").alias("avg_tokens")),
+        "corpus_stats": corpus_stats(stats.agg(F.count("*").alias("n_segments"), F.sum("n_tokens").alias("total_tokens"))),
     }

@@ -191,6 +191,89 @@ def test_newest_projection_is_read_and_older_ones_stay(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/p/{first}/segments").count() == 3 and first != second
 
 
+def size_of(at):
+    return sum(f.stat().st_size for f in at.rglob("*") if f.is_file())
+
+
+def same_tables(got, want):
+    assert sorted(got) == sorted(want)
+    for name in want:
+        cols = [c for c in want[name].columns if c != "bucket"]
+        assert sorted(map(str, got[name].select(cols).collect())) == sorted(map(str, want[name].select(cols).collect())), name
+
+
+def many(n, changed=()):
+    """Sources with a note's edge to each; the changed ones say something else."""
+    ids = [U[:-4] + "ABCDEFGH"[i // 64 % 8] + "".join("0123456789ABCDEFGHJKMNPQRSTVWXYZ"[i >> k & 31] for k in (10, 5, 0)) + "0" for i in range(n)]
+    rows = []
+    for i, own in enumerate(ids):
+        words = " ".join(f"w{(i * 7 + k * k) % 997}{'x' if i in changed else ''} {(i * 31 + k) * 2654435761 % 4294967296:x}" for k in range(400))
+        front = f"schema_version: 2\nid: src_{own}\nkind: source\ntitle: T {i}\nvisibility: public\nrecord_status: active\ncreated: 2024-01-01\nupdated: 2024-01-02\ntags: [t{i % 3}]\nsource_type: book\nworkflow_stage: inbox\nisbn: '9780306406157'\nedition: 2nd\n"
+        rows.append((f"sources/books/{i}.md", f"---\n{front}---\n{words}\n"))
+        edge = f"- {{to_id: src_{ids[(i + 1) % n]}, relation_type: cites, reason: r, created_at: '2024-01-01T00:00:00Z', actor: {{type: human, id: me}}}}\n"
+        rows.append((f"relations/src_{own}.yaml", f"schema_version: 2\nfrom_id: src_{own}\nrelations:\n{edge}"))
+    return rows
+
+
+def as_files(spark, rows):
+    f = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in rows], "path string, content binary")
+    return f.select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("checksum"), "content")
+
+
+def read_rows(f):
+    objects, bodies, bad = vault.parse_objects(f)
+    edges, worse = vault.parse_relation_shards(f)
+    return objects, bodies, edges, bad.unionByName(worse)
+
+
+def test_an_update_writes_what_it_adds(spark, tmp_path, monkeypatch):
+    out = f"{tmp_path}/p"
+    first = as_files(spark, many(300)).cache()
+    base = maintain.publish(spark, first, *read_rows(first), out, "t", buckets=2)
+    rows = many(300, {5, 6, 250})
+    rows = [r for r in rows if r[0] not in ("relations/src_" + rows[14][1].split("id: src_")[1][:26] + ".yaml",)]  # the seventh's edges are gone
+    later = as_files(spark, rows).cache()
+    again = lambda: vault.read_projection(spark, out)
+    state, changed = maintain.index_status(again(), later)
+    assert state == "stale" and sorted(r.change for r in changed.collect()) == ["changed"] * 3 + ["removed"]
+    touched = later.join(changed.select("path"), "path", "left_semi")
+    objects, bodies, edges, bad = read_rows(touched)
+    update = lambda **more: maintain.publish_changes(spark, out, changed, objects, bodies, edges, later, more.pop("bad", bad), "t", **more)
+    with pytest.raises(ValueError, match="INDEX_SOURCE_INVALID"):
+        update(bad=validate.findings(objects.limit(1), "FIELD_INVALID"))
+    with pytest.raises(ValueError, match="INDEX_SOURCE_CHANGED"):
+        update(again=lambda: first)
+    assert vault.newest(spark, out)["parts"] == [base]
+    second = update(again=lambda: later)
+    assert vault.newest(spark, out)["parts"] == [base, second]
+    assert size_of(tmp_path / "p" / second) < 0.05 * size_of(tmp_path / "p" / base)
+    full = maintain.rebuild(spark, later, *read_rows(later), "t")
+    same_tables(again(), full)
+    assert maintain.index_status(again(), later)[0] == "fresh"
+    # lookups still open the buckets of their terms only, in every part
+    queries = spark.createDataFrame([(1, "w35x"), (2, "t1 w49")], "query_id int, query string")
+    found = search.matches(again(), queries.where("query_id = 1"))
+    scans = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "PartitionFilters" in line and "bucket" in line]
+    assert len(scans) >= 2 and all("bucket#" in line.split("PartitionFilters:")[1].split("PushedFilters")[0] for line in scans)
+    assert sorted(map(str, search.matches(again(), queries).collect())) == sorted(map(str, search.matches(full, queries).collect()))
+    # the way back, in a version that has too many parts and so is written whole
+    monkeypatch.setattr(maintain, "MOST_PARTS", 2)
+    _, back = maintain.index_status(again(), first)
+    objects, bodies, edges, bad = read_rows(first.join(back.select("path"), "path", "left_semi"))
+    third = maintain.publish_changes(spark, out, back, objects, bodies, edges, first, bad, "t")
+    assert vault.newest(spark, out)["parts"] == [third]
+    same_tables(again(), maintain.rebuild(spark, first, *read_rows(first), "t"))
+
+
+def test_an_update_that_empties_everything(spark, tmp_path):
+    out, first = f"{tmp_path}/p", as_files(spark, many(4))
+    maintain.publish(spark, first, *read_rows(first), out, "t", buckets=2)
+    none = first.limit(0)
+    _, changed = maintain.index_status(vault.read_projection(spark, out), none)
+    maintain.publish_changes(spark, out, changed, *read_rows(none)[:3], none, read_rows(none)[3], "t")
+    same_tables(vault.read_projection(spark, out), maintain.rebuild(spark, none, *read_rows(none), "t"))
+
+
 @pytest.mark.parametrize("body,code", [
     ("<!-- kb:section id=sec_abc role=fact -->\n## F\n\nloose text", "NOTE_BLOCK_METADATA_MISSING"), ("<!-- kb:section id=sec_abc role=odd -->\n## F\n", "FIELD_INVALID"), ("<!-- kb:section id=sec_abc role=ai -->\n## F\n\n<!-- kb:ai\nx: 1\n-->\ntext", "FIELD_INVALID"),
     ("<!-- kb:section id=sec_abc role=fact -->\n## F\n\n<!-- kb:fact\ncitations: [\n-->\ntext", "FRONTMATTER_INVALID"), ("<!-- kb:section id=sec_abc role=fact -->\n## F\n\n<!-- kb:fact\ncitations: []\n-->\n", "NOTE_BLOCK_METADATA_MISSING"),
