@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import identity as idn
 
 
+#: Hubs known by broadcast at most; of more the joins are left to the optimizer, which splits skewed ones.
+BROADCAST_HUBS = 100_000
+
+
 def get_objects(tables: dict[str, DataFrame], ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(found, missing ids): each object with its body and relations nested.
+    """(found, missing ids): each object with its body nested; its relations come apart (``edge_parts``), since a hub may have millions.
 
-    Children are filtered to the wanted ids before they are gathered; relations are sorted by
-    type, ends, section and locator.
+    Children are filtered to the wanted ids before they are gathered; a body is as long as its file.
     """
     wanted = ids.select("id").distinct()
     found = tables["objects"].join(wanted, "id", "left_semi")
@@ -21,11 +25,27 @@ def get_objects(tables: dict[str, DataFrame], ids: DataFrame) -> tuple[DataFrame
     cited = tables["citations"].join(segs.select("segment_id"), "segment_id", "left_semi").groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "source_id", "locator"))).alias("citations"))
     places = of(tables["sections"], "object_id").select("object_id", "section_id", F.col("ordinal").alias("place"), "heading")
     body = segs.join(cited, "segment_id", "left").join(places, ["object_id", "section_id"], "left").groupBy("object_id").agg(F.array_sort(F.collect_list(F.struct("place", "ordinal", "section_id", "role", "heading", "text", "citations"))).alias("body"))
-    edge = F.struct("relation_type", "from_id", "to_id", "to_section_id", "locator")
-    outgoing = of(tables["relations"], "from_id").groupBy(F.col("from_id").alias("id")).agg(F.array_sort(F.collect_list(edge)).alias("outgoing"))
-    incoming = of(tables["relations"], "to_id").groupBy(F.col("to_id").alias("id")).agg(F.array_sort(F.collect_list(edge)).alias("incoming"))
-    out = found.join(body.withColumnRenamed("object_id", "id"), "id", "left").join(outgoing, "id", "left").join(incoming, "id", "left")
-    return out, wanted.join(tables["objects"].select("id"), "id", "left_anti")
+    return found.join(body.withColumnRenamed("object_id", "id"), "id", "left"), wanted.join(tables["objects"].select("id"), "id", "left_anti")
+
+
+def edge_parts(relations: DataFrame, ids: DataFrame, size: int = 1000) -> DataFrame:
+    """(id, direction, part, edges): the edges at the ids in arrays of at most ``size``, sorted within a part by type, ends, section and locator.
+
+    Objects with more edges are hubs: theirs are dealt by hash to as many salts as they have full
+    parts, and a salt's surplus is cut off into further parts.  Only counts, summed where the
+    edges lie, tell a hub; an object without edges has no row.
+    """
+    wanted = ids.select("id").distinct()
+    edge = F.struct("relation_type", "from_id", "to_id", "to_section_id", "locator").alias("edge")
+    at = lambda direction, end: relations.select(F.col(end).alias("id"), F.lit(direction).alias("direction"), edge).join(wanted, "id", "left_semi")
+    rows = at("outgoing", "from_id").unionByName(at("incoming", "to_id"))
+    hubs = rows.groupBy("id", "direction").agg(F.count("*").alias("n")).where(F.col("n") > size).select("id", "direction", F.ceil(F.col("n") / size).alias("salts")).persist(StorageLevel.DISK_ONLY)
+    few = hubs.limit(BROADCAST_HUBS + 1).count() <= BROADCAST_HUBS
+    rows = rows.join(F.broadcast(hubs) if few else hubs, ["id", "direction"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("edge"), "salts"))
+    nth = F.row_number().over(Window.partitionBy("id", "direction", "salt").orderBy("edge")) - 1
+    rows = rows.withColumn("part", (F.col("salt") + F.col("salts") * F.floor(nth / size)).cast("int"))
+    return rows.groupBy("id", "direction", "salt", "part").agg(F.array_sort(F.collect_list("edge")).alias("edges")).select("id", "direction", "part", "edges")
 
 
 def list_relations(relations: DataFrame, ids: DataFrame) -> DataFrame:

@@ -143,18 +143,24 @@ def grep_lines(spark, d):
     return search.lines_with(rows, wanted).groupBy("query_id").agg(F.count_distinct("path", "n").alias("n_lines"))
 
 
+_REST = "<!-- kb:section id=sec_rest role=human -->"
+
+
 @query(rf"""{", "}q AS ({fx.QUERY_SQL}), qn AS (SELECT query_id, replace(lower(query), 'ß', 'ss') AS q FROM q),
-    l AS (SELECT doc_id, generate_subscripts(ls, 1) AS line, unnest(ls) AS source FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-    h AS (SELECT query_id, doc_id, line, source, string_split(replace(lower(source), 'ß', 'ss'), q) AS parts, q FROM l JOIN qn ON contains(replace(lower(source), 'ß', 'ss'), q)),
-    p AS (SELECT query_id, doc_id, line, source, unnest(range(1, len(parts))) AS k, parts, q FROM h),
-    c AS (SELECT query_id, concat('notes/', doc_id, '.md') AS path, line, list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(q) AS before, source FROM p),
+    t AS (SELECT doc_id, substring(text, 1, CAST(floor(length(text) / 2) AS INTEGER)) AS a, substring(text, CAST(floor(length(text) / 2) AS INTEGER) + 1, length(text)) AS b FROM documents),
+    l AS (SELECT doc_id, marker, generate_subscripts(ls, 1) AS line, unnest(ls) AS source FROM (SELECT doc_id, len(string_split(a, chr(10))) + 1 AS marker, string_split(a || chr(10) || '{_REST}' || chr(10) || b, chr(10)) AS ls FROM t)),
+    h AS (SELECT query_id, doc_id, marker, line, source, string_split(replace(lower(source), 'ß', 'ss'), q) AS parts, q FROM l JOIN qn ON contains(replace(lower(source), 'ß', 'ss'), q)),
+    p AS (SELECT query_id, doc_id, marker, line, source, unnest(range(1, len(parts))) AS k, parts, q FROM h),
+    c AS (SELECT query_id, concat('notes/', doc_id, '.md') AS path, CASE WHEN line > marker THEN 'sec_rest' END AS section_id, line, list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(q) AS before, source FROM p),
     m AS (SELECT *, list_max(list_filter(range(0, length(source) + 1), lambda i: length(replace(lower(substring(source, 1, i)), 'ß', 'ss')) <= before)) + 1 AS col FROM c),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path, line, col) AS rank FROM m)
-    SELECT query_id, path, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS col, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 200""")
+    SELECT query_id, path, section_id, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS col, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 200""")
 def grep_hits(spark, d):
-    """SE6 with places."""
-    files = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("notes/"), F.col("doc_id"), F.lit(".md")).alias("path"), F.concat(F.lit("note_"), F.col("doc_id")).alias("object_id"), "text")
-    return search.grep(files, fx.queries_of(spark, d), 200).select("query_id", "path", "line", F.col("column").alias("col"), "rank")
+    """SE6, WI3: places, and the section that begins in the middle of each text."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    text = F.concat(F.substring("text", F.lit(1), half), F.lit(f"\n{_REST}\n"), F.substring("text", half + 1, F.length("text")))
+    files = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("notes/"), F.col("doc_id"), F.lit(".md")).alias("path"), F.concat(F.lit("note_"), F.col("doc_id")).alias("object_id"), text.alias("text"))
+    return search.grep(files, fx.queries_of(spark, d), 200).select("query_id", "path", "section_id", "line", F.col("column").alias("col"), "rank")
 
 
 @query(f"{CODES.replace(',', ', ', 1)} SELECT segment_id, code, n_citations FROM audit")
@@ -293,16 +299,27 @@ def source_relations(spark, d):
     return joins.list_relations(_edges(spark, d), fx.view(spark, d, "v_sources").select("id")).select("id", "direction", "from_id", "to_id", "relation_type")
 
 
-@query("""SELECT o.id, coalesce(b.n, 0) AS n_blocks, coalesce(x.n, 0) AS n_outgoing, coalesce(y.n, 0) AS n_incoming FROM v_objects o
-    LEFT JOIN (SELECT object_id, count(*) AS n FROM v_segments GROUP BY ALL) b ON b.object_id = o.id LEFT JOIN (SELECT from_id, count(*) AS n FROM v_relations GROUP BY ALL) x ON x.from_id = o.id LEFT JOIN (SELECT to_id, count(*) AS n FROM v_relations GROUP BY ALL) y ON y.to_id = o.id""")
+@query("""SELECT o.id, md5(coalesce(b.body, '')) AS body_hash, coalesce(b.n, 0) AS n_blocks FROM v_objects o LEFT JOIN (
+        SELECT object_id, count(*) AS n, string_agg(concat(ordinal, ' ', section_id, ' ', role, ' ', md5(coalesce(text, '')), ' ', coalesce(cited, '')), '|' ORDER BY ordinal, section_id) AS body
+        FROM v_segments LEFT JOIN (SELECT segment_id, string_agg(concat(ordinal, '=', source_id, '=', locator_type), ',' ORDER BY ordinal) AS cited FROM v_citations GROUP BY ALL) USING (segment_id) GROUP BY object_id) b ON b.object_id = o.id""")
 def object_details(spark, d):
-    """JO1."""
-    edges = _edges(spark, d).withColumn("locator", F.lit(""))
+    """JO1: the contents of every object's body, texts and citations included."""
     segments = fx.view(spark, d, "v_segments")
-    tables = {"objects": fx.details(spark, d), "segments": segments, "citations": fx.located(fx.view(spark, d, "v_citations")), "relations": edges, "sections": segments.select("object_id", "section_id", "ordinal", F.lit("").alias("heading"))}
+    tables = {"objects": fx.details(spark, d), "segments": segments, "citations": fx.located(fx.view(spark, d, "v_citations")), "sections": segments.select("object_id", "section_id", "ordinal", F.lit("").alias("heading"))}
     found, _ = joins.get_objects(tables, tables["objects"].select("id"))
-    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
-    return found.select("id", size("body").alias("n_blocks"), size("outgoing").alias("n_outgoing"), size("incoming").alias("n_incoming"))
+    cited = lambda c: F.concat_ws("=", c["ordinal"], c["source_id"], F.get_json_object(c["locator"], "$.source_type"))
+    block = lambda b: F.concat_ws(" ", b["place"], b["section_id"], b["role"], F.md5(F.coalesce(b["text"], F.lit(""))), F.coalesce(F.array_join(F.transform(b["citations"], cited), ","), F.lit("")))
+    body = F.array_join(F.transform("body", block), "|")
+    return found.select("id", F.md5(F.coalesce(body, F.lit(""))).alias("body_hash"), F.greatest(F.coalesce(F.size("body"), F.lit(0)), F.lit(0)).cast("long").alias("n_blocks"))
+
+
+@query("""SELECT id, 'incoming' AS direction, from_id, to_id, relation_type, n <= 20 AS whole FROM v_relations JOIN (SELECT to_id AS id, count(*) AS n FROM v_relations GROUP BY ALL) ON id = to_id WHERE id IN (SELECT id FROM v_objects)
+    UNION ALL SELECT id, 'outgoing', from_id, to_id, relation_type, n <= 20 FROM v_relations JOIN (SELECT from_id AS id, count(*) AS n FROM v_relations GROUP BY ALL) ON id = from_id WHERE id IN (SELECT id FROM v_objects)""")
+def object_edges(spark, d):
+    """JO1, JO2: the edges of every object, taken from parts of at most 20; an object with no more has a single part."""
+    parts = joins.edge_parts(_edges(spark, d).withColumn("locator", F.lit("")), fx.view(spark, d, "v_objects").select("id"), 20)
+    whole = parts.groupBy("id", "direction").agg((F.count("*") == 1).alias("whole"))
+    return parts.join(whole, ["id", "direction"]).select("id", "direction", F.explode("edges").alias("e"), "whole").select("id", "direction", "e.from_id", "e.to_id", "e.relation_type", "whole")
 
 
 @query("""SELECT request_id, lower(regexp_extract(doi, 'doi:(.*)', 1)) AS doi, regexp_extract(arxiv, 'arXiv:(.*)v2', 1) AS arxiv, 2 AS arxiv_version,

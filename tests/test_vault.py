@@ -331,7 +331,23 @@ def test_search_context_and_lookup(spark, small):
     assert total.first().n_chars <= 30 and items.count() + out.count() == 4 and total.first().truncated
     assert not search.context(tables, q, "public")[2].first().truncated
     found, missing = joins.get_objects(tables, spark.createDataFrame([(ID["web1"],), ("src_none",)], "id string"))
-    assert len(found.first().incoming) == 1 and [r.id for r in missing.collect()] == ["src_none"]
+    (part,) = joins.edge_parts(tables["relations"], found).collect()
+    assert (part.id, part.direction, part.part, [e.from_id for e in part.edges]) == (ID["web1"], "incoming", 0, [ID["lit3"]]) and [r.id for r in missing.collect()] == ["src_none"]
+
+
+def test_edges_of_a_hub_come_in_parts(spark, monkeypatch):
+    rows = spark.range(100_000).select(F.concat(F.lit("n"), "id").alias("from_id"), F.when(F.col("id") % 10 > 0, "hub").otherwise(F.concat(F.lit("n"), F.col("id") % 7)).alias("to_id"), F.lit("cites").alias("relation_type"), F.lit("").alias("to_section_id"), F.lit(None).cast("string").alias("locator"))
+    rows = rows.unionByName(rows.where("from_id = 'n1'")).unionByName(rows.where("from_id = 'n1'"))  # the same edge again counts again
+    ids = spark.createDataFrame([("hub",), ("n1",), ("n3",), ("none",), ("hub",), (None,)], "id string")
+    parts = joins.edge_parts(rows, ids, 500)
+    seen = parts.select("id", "direction", "part", F.size("edges").alias("n")).collect()
+    assert max(r.n for r in seen) <= 500 and len({(r.id, r.direction, r.part) for r in seen}) == len(seen) and sum(r.id == "hub" for r in seen) >= 181
+    edges = lambda df: df.select("id", "direction", F.explode("edges").alias("e")).select("id", "direction", "e.from_id", "e.to_id", "e.relation_type", "e.to_section_id")
+    want = joins.list_relations(rows, ids)
+    assert edges(parts).exceptAll(want).isEmpty() and want.exceptAll(edges(parts)).isEmpty()
+    monkeypatch.setattr(joins, "BROADCAST_HUBS", 0)
+    assert edges(joins.edge_parts(rows, ids, 500)).exceptAll(want).isEmpty()
+    assert joins.edge_parts(rows.limit(0), ids).isEmpty()
 
 
 def test_budget_closes_for_good(spark):
