@@ -322,16 +322,29 @@ def grep(files: DataFrame, queries: DataFrame, limit: int = 20, prefix: str = MA
     places back to the source line.  The section is that of the last marker above, in Markdown
     files only; a file's few markers ride along with its lines.
     """
+    return _placed(lines_with(_lines(files, prefix), _wanted(queries, limit)).withColumn("section_id", _section()), limit)
+
+
+def _wanted(queries: DataFrame, limit: int) -> DataFrame:
     if not 1 <= limit <= 200:
         raise ValueError("SEARCH_QUERY_INVALID")
-    wanted = queries.select("query_id", tx.normalize_query(F.col("query")).alias("q")).where("q is not null")
+    return queries.select("query_id", tx.normalize_query(F.col("query")).alias("q")).where("q is not null")
+
+
+def _lines(files: DataFrame, prefix: str) -> DataFrame:
+    """(path, object_id, marks, n, source, line, normal) of every line."""
     mark = rf"<!--\s*{prefix}:section\s+id=(sec_[a-z0-9][a-z0-9_-]{{2,63}})\s"
     whole = files.select("path", "object_id", tx.lines(F.col("text")).alias("lines"))
     marks = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), F.regexp_extract(x, mark, 1).alias("id"))), lambda m: m["id"] != "")
     whole = whole.withColumn("marks", F.when(F.col("path").endswith(".md"), marks))
-    rows = whole.select("path", "object_id", "marks", F.posexplode("lines").alias("n", "source")).withColumns({"line": F.col("n") + 1, "normal": tx.normalized(F.col("source"))})
-    hits = lines_with(rows, wanted).withColumn("section_id", F.try_element_at(F.filter("marks", lambda m: m["i"] < F.col("line")), F.lit(-1))["id"])
+    return whole.select("path", "object_id", "marks", F.posexplode("lines").alias("n", "source")).withColumns({"line": F.col("n") + 1, "normal": tx.normalized(F.col("source"))})
+
+
+def _section() -> Column:
+    return F.try_element_at(F.filter("marks", lambda m: m["i"] < F.col("line")), F.lit(-1))["id"]
+
 
+def _placed(hits: DataFrame, limit: int) -> DataFrame:
     @F.pandas_udf("array<int>")
     def places(line: pd.Series, query: pd.Series) -> pd.Series:
         return pd.Series([_columns(a, b) for a, b in zip(line, query, strict=True)])
@@ -339,3 +352,62 @@ def grep(files: DataFrame, queries: DataFrame, limit: int = 20, prefix: str = MA
     found = hits.withColumn("column", F.explode(places("source", "q"))).withColumn("excerpt", F.trim("source"))
     order = Window.partitionBy("query_id").orderBy("path", "line", "column")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "path", "line", "column", "excerpt", "object_id", "section_id", "rank")
+
+
+#: Lines of a file that the trigram index holds together.
+BLOCK_LINES = 32
+#: Trigrams of a query that a block must hold before its lines are read.
+RAREST = 3
+
+
+def _trigrams(text: Column) -> Column:
+    """Every run of three characters, at each place."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{3}))"), F.lit(1)))
+
+
+def grep_index(files: DataFrame, prefix: str = MARKER) -> dict[str, DataFrame]:
+    """line_blocks(block_id, path, object_id, lines), trigrams(trigram, block_id), trigram_stats(trigram, df): what ``grep_indexed`` reads.
+
+    To be written with ``write_projection``, which deals blocks and trigrams to buckets.  Only
+    trigrams that are distinct within their line are shuffled.
+    """
+    lines = _lines(files, prefix).withColumn("section_id", _section())
+    lines = lines.withColumn("block_id", F.concat("path", F.lit(":"), F.floor(F.col("n") / BLOCK_LINES)))
+    grams = lines.select("block_id", F.explode(_trigrams(F.col("normal"))).alias("trigram")).distinct()
+    blocks = lines.groupBy("block_id", "path", "object_id").agg(F.array_sort(F.collect_list(F.struct("line", "source", "normal", "section_id"))).alias("lines"))
+    return {"line_blocks": blocks, "trigrams": grams, "trigram_stats": grams.groupBy("trigram").agg(F.count("*").alias("df"))}
+
+
+def candidate_lines(index: dict[str, DataFrame], wanted: DataFrame) -> DataFrame:
+    """(path, object_id, line, source, normal, section_id) of the blocks that hold the rarest trigrams of some query (query_id, q).
+
+    A query of which a trigram is nowhere reads nothing.
+    """
+    grams = wanted.select("q").distinct().select("q", F.explode(_trigrams(F.col("q"))).alias("trigram"))
+    grams = grams.withColumn("n", F.count("*").over(Window.partitionBy("q"))).persist(StorageLevel.DISK_ONLY)  # read at every step below
+    small = F.broadcast if grams.count() <= BROADCAST_TERMS else lambda df: df
+    known = small(grams.select("trigram").distinct()).join(index["trigram_stats"], "trigram")
+    by_rarity = Window.partitionBy("q").orderBy("df", "trigram")
+    picks = grams.join(known, "trigram").withColumns({"place": F.row_number().over(by_rarity), "present": F.count("*").over(Window.partitionBy("q"))}).where((F.col("present") == F.col("n")) & (F.col("place") <= RAREST))
+    found = pruned(index["trigrams"], picks.select("trigram")).join(small(picks.select("trigram", "q", "n")), "trigram")
+    blocks = found.groupBy("q", "block_id").agg(F.count("*").alias("held"), F.first("n").alias("n")).where(F.col("held") == F.least("n", F.lit(RAREST))).select("block_id").distinct()
+    return _block_lines(pruned(index["line_blocks"], blocks).join(blocks, "block_id", "left_semi"))
+
+
+def _block_lines(blocks: DataFrame) -> DataFrame:
+    return blocks.select("path", "object_id", F.explode("lines").alias("l")).select("path", "object_id", "l.*")
+
+
+def grep_indexed(index: dict[str, DataFrame], queries: DataFrame, limit: int = 20) -> DataFrame:
+    """What ``grep`` gives, from a trigram index (``grep_index``).
+
+    Only blocks that hold a query's rarest trigrams are read, and the automaton verifies their
+    lines.  Queries of fewer than three characters have no trigram: they read all lines.
+    """
+    wanted = _wanted(queries, limit)
+    short = F.length("q") < 3
+    hits = lines_with(candidate_lines(index, wanted.where(~short)), wanted.where(~short))
+    brief = wanted.where(short)
+    if not brief.isEmpty():
+        hits = hits.unionByName(lines_with(_block_lines(index["line_blocks"].drop("bucket")), brief))
+    return _placed(hits, limit)

@@ -154,6 +154,18 @@ def index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return read_projection(spark, _stored[key])
 
 
+def grep_index(spark: SparkSession, sf_dir: str, files: DataFrame) -> dict[str, DataFrame]:
+    """The trigram index of the files, which the session's first query over these data writes."""
+    from quire.operators.search import grep_index as built
+
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#trigrams")
+    if key not in _stored:
+        out = f"{shared_folder(spark)}/trigrams-{uuid.uuid4().hex}"
+        write_projection(built(files), out, 16)
+        _stored[key] = out
+    return read_projection(spark, _stored[key])
+
+
 def built_index(spark: SparkSession, sf_dir: str, at: str | None = None) -> dict[str, DataFrame]:
     """The tables that search reads, from the test tables; tokens are written to ``at``, if given, so that texts are cut once for all."""
     from quire.operators.index import build_postings

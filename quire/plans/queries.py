@@ -146,7 +146,7 @@ def grep_lines(spark, d):
 _REST = "<!-- kb:section id=sec_rest role=human -->"
 
 
-@query(rf"""{", "}q AS ({fx.QUERY_SQL}), qn AS (SELECT query_id, replace(lower(query), 'ß', 'ss') AS q FROM q),
+_GREP = rf"""{", "}q AS ({fx.QUERY_SQL}), qn AS (SELECT query_id, replace(lower(query), 'ß', 'ss') AS q FROM q),
     t AS (SELECT doc_id, substring(text, 1, CAST(floor(length(text) / 2) AS INTEGER)) AS a, substring(text, CAST(floor(length(text) / 2) AS INTEGER) + 1, length(text)) AS b FROM documents),
     l AS (SELECT doc_id, marker, generate_subscripts(ls, 1) AS line, unnest(ls) AS source FROM (SELECT doc_id, len(string_split(a, chr(10))) + 1 AS marker, string_split(a || chr(10) || '{_REST}' || chr(10) || b, chr(10)) AS ls FROM t)),
     h AS (SELECT query_id, doc_id, marker, line, source, string_split(replace(lower(source), 'ß', 'ss'), q) AS parts, q FROM l JOIN qn ON contains(replace(lower(source), 'ß', 'ss'), q)),
@@ -154,13 +154,26 @@ _REST = "<!-- kb:section id=sec_rest role=human -->"
     c AS (SELECT query_id, concat('notes/', doc_id, '.md') AS path, CASE WHEN line > marker THEN 'sec_rest' END AS section_id, line, list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(q) AS before, source FROM p),
     m AS (SELECT *, list_max(list_filter(range(0, length(source) + 1), lambda i: length(replace(lower(substring(source, 1, i)), 'ß', 'ss')) <= before)) + 1 AS col FROM c),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path, line, col) AS rank FROM m)
-    SELECT query_id, path, section_id, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS col, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 200""")
-def grep_hits(spark, d):
-    """SE6, WI3: places, and the section that begins in the middle of each text."""
+    SELECT query_id, path, section_id, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS col, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 200"""
+
+
+def _halved(spark, d):
+    """(path, object_id, text): every document with a section marker in its middle."""
     half = F.floor(F.length("text") / 2).cast("int")
     text = F.concat(F.substring("text", F.lit(1), half), F.lit(f"\n{_REST}\n"), F.substring("text", half + 1, F.length("text")))
-    files = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("notes/"), F.col("doc_id"), F.lit(".md")).alias("path"), F.concat(F.lit("note_"), F.col("doc_id")).alias("object_id"), text.alias("text"))
-    return search.grep(files, fx.queries_of(spark, d), 200).select("query_id", "path", "section_id", "line", F.col("column").alias("col"), "rank")
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("notes/"), F.col("doc_id"), F.lit(".md")).alias("path"), F.concat(F.lit("note_"), F.col("doc_id")).alias("object_id"), text.alias("text"))
+
+
+@query(_GREP)
+def grep_hits(spark, d):
+    """SE6, WI3: places, and the section that begins in the middle of each text."""
+    return search.grep(_halved(spark, d), fx.queries_of(spark, d), 200).select("query_id", "path", "section_id", "line", F.col("column").alias("col"), "rank")
+
+
+@query(_GREP)
+def grep_trigrams(spark, d):
+    """SE6 from a stored trigram index."""
+    return search.grep_indexed(fx.grep_index(spark, d, _halved(spark, d)), fx.queries_of(spark, d), 200).select("query_id", "path", "section_id", "line", F.col("column").alias("col"), "rank")
 
 
 @query(f"{CODES.replace(',', ', ', 1)} SELECT segment_id, code, n_citations FROM audit")

@@ -218,7 +218,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 #: Tables that are hashed to buckets, and by which column.
-BUCKETED = {"segments": "segment_id", "postings": "term"}
+BUCKETED = {"segments": "segment_id", "postings": "term", "trigrams": "trigram", "line_blocks": "block_id"}
 #: How a change takes rows out of a table: the list of keys that names them, and the table's column with that key.
 OUT_BY = {
     "objects": ("objects", "id"), "details": ("objects", "id"), "type_transitions": ("objects", "object_id"), "sections": ("objects", "object_id"), "segments": ("objects", "object_id"), "object_tags": ("objects", "object_id"),

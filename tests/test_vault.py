@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -371,6 +373,24 @@ def test_grep_finds_decomposed_words_as_composed_ones(spark):
     assert [(r.line, r.column) for r in search.grep(f, q).orderBy("rank").collect()] == [(1, 5), (1, 15), (2, 5), (3, 4)]
 
 
+def test_grep_reads_only_blocks_with_the_rarest_trigrams(spark, tmp_path):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)] + ["Straße", "ﬁn", "cafe\u0301", "𝔘nd", "日本語"]
+    texts = ["\n".join(" ".join(rng.choices(words, k=8)) if k != 40 else "<!-- kb:section id=sec_late role=human -->" for k in range(rng.randint(0, 120))) for _ in range(60)]
+    f = spark.createDataFrame([(f"{i}.md", t, f"o{i}") for i, t in enumerate(texts)] + [("empty.md", "", "e"), ("none.md", None, "n")], "path string, text string, object_id string")
+    asked = [words[3], words[77] + " " + words[9], "STRASSE", "fin", "café", "日本語", "ab", "a", "nowhere at all", "?!", "aa\nbb"] + [" ".join(t.split("\n")[0].split()[1:3]) for t in texts[:20]]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    vault.write_projection(search.grep_index(f), f"{tmp_path}/t", 8)
+    index = vault.read_projection(spark, f"{tmp_path}/t")
+    got, want = (sorted(map(str, df.collect())) for df in (search.grep_indexed(index, queries, 200), search.grep(f, queries, 200)))
+    assert got == want and len({r.query_id for r in search.grep(f, queries, 200).select("query_id").distinct().collect()}) > 20
+    few = queries.where("query_id between 11 and 14").select("query_id", F.col("query").alias("q"))
+    lines = sum(len(t.split("\n")) for t in texts)
+    assert 0 < search.candidate_lines(index, few).count() < 0.25 * lines
+    assert search.candidate_lines(index, spark.createDataFrame([(1, "nowhere at all")], "query_id int, q string")).isEmpty()
+    assert search.grep_indexed(index, queries.limit(0)).isEmpty()
+
+
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
