@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from quire.functions import identity as idn
 from quire.functions.locators import locator_json, locator_mismatches
 from quire.functions.text import finding_category
 from quire.operators.catalog import all_findings
-from quire.sources.vault import Roots
+from quire.sources.vault import Roots, stored
 
 
 def findings(rows: DataFrame, code: Column | str, path="path", object_id="id", section_id=None, details: Column | None = None) -> DataFrame:
@@ -258,3 +259,41 @@ def scan(objects: DataFrame, bodies: DataFrame, edges: DataFrame, sections: Data
     )
     at = first.select(F.col("id").alias("object_id"), F.col("path").alias("own_path"))
     return found.join(at, "object_id", "left").withColumn("path", F.coalesce("path", "own_path")).select([f.split()[0] for f in ("code", "severity", "category", "message", "path", "object_id", "section_id", "details")])
+
+
+def pointers(objects: DataFrame, bodies: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, target): what each object's rules look up elsewhere: cited sources, artifacts, a snippet's source, inputs, and the ends of its edges."""
+    cited = _cited(bodies)
+    parts = (
+        cited.select("object_id", "c.source_id"), cited.select("object_id", "artifact_id"), objects.select("id", "source_id"), objects.select("id", F.explode("input_refs").alias("r")).select("id", "r.object_id"),
+        edges.select("from_id", "to_id"),
+    )
+    rows = reduce(DataFrame.unionByName, (p.toDF("id", "target") for p in parts))
+    return rows.where("target is not null and id is not null").distinct()
+
+
+def rescan(
+    before: DataFrame, changed: DataFrame, old_objects: DataFrame, old_edges: DataFrame, objects: DataFrame, bodies: DataFrame, edges: DataFrame, sections: DataFrame, parsed: Sequence[DataFrame] = (), roots: Roots = Roots()
+) -> DataFrame:
+    """What ``scan`` finds in the present rows, from the findings ``before`` and the changed paths (path).
+
+    ``old_objects`` (path, id) and ``old_edges`` (path, from_id) are those of before; ``parsed`` are
+    the findings of parsing the changed files.  A rule's finding belongs to the object that it
+    names, so the objects to judge anew are those of changed files, before or after, and those
+    that point at one of them.  These are scanned with what they point at, whose own findings
+    are not taken; findings of all other objects stay.  Unchanged rows are read to find who
+    points where, not judged.
+    """
+    paths = changed.select("path").distinct()
+    at = lambda df, key: df.join(paths, "path", "left_semi").select(F.col(key).alias("id"))
+    touched = at(old_objects, "id").unionByName(at(objects, "id")).unionByName(at(old_edges, "from_id")).unionByName(at(edges, "from_id")).distinct()
+    links = pointers(objects, bodies, edges).persist(StorageLevel.DISK_ONLY)
+    anew = touched.unionByName(links.join(touched.withColumnRenamed("id", "target"), "target", "left_semi").select("id")).distinct().persist(StorageLevel.DISK_ONLY)
+    near = anew.unionByName(links.join(anew, "id", "left_semi").select(F.col("target").alias("id"))).distinct().persist(StorageLevel.DISK_ONLY)
+    own = lambda df, ids, key: df.join(ids.withColumnRenamed("id", key), key, "left_semi").select(df.columns)
+    # Written, so that the rules' plans start from them.
+    judged = (stored(own(*x)) for x in ((objects, near, "id"), (bodies, anew, "object_id"), (edges, anew, "from_id"), (sections, near, "object_id")))
+    found = scan(*judged, (), roots)
+    rules = before.where("object_id is not null").join(anew.withColumnRenamed("id", "object_id"), "object_id", "left_anti").unionByName(own(found, anew, "object_id"))
+    read = before.where("object_id is null").join(paths, "path", "left_anti").select(rules.columns)
+    return all_findings(rules, read, *parsed).select(before.columns)

@@ -108,6 +108,28 @@ def test_broken_files_give_their_first_error(spark, tmp_path):
     assert "OBJECT_ID_DUPLICATE" in rest
 
 
+def test_a_rescan_equals_a_scan_for_removed_added_and_changed_targets(spark, tmp_path):
+    old = files() | {"notes/ideas/twin.md": files()["notes/ideas/c.md"], "sources/web/broken.md": "no frontmatter"}
+    old[f"relations/{ID['con4']}.yaml"] = f"schema_version: 2\nfrom_id: {ID['con4']}\nrelations:\n- {{to_id: {ID['lit3']}, to_section_id: sec_mine, relation_type: supports, reason: r, created_at: '2024-01-01T00:00:00Z', actor: {{type: human, id: me}}}}\n"
+    new = dict(old)
+    del new["sources/oss/o.md"], new["notes/ideas/twin.md"], new["sources/web/broken.md"]  # a snippet's source, a second file of an id, a file with an error
+    new["sources/web/w.md"] = new["sources/web/w.md"].replace("visibility: public", "visibility: private").replace("sha256:h", "sha256:i")  # a literature note cites and summarizes it
+    new["notes/literature/l.md"] = new["notes/literature/l.md"].replace("sec_mine", "sec_ours")  # an artifact and an edge name its section
+    new["ai/none.md"] = "---\n: [\n---\n"
+    written(tmp_path / "old", old)
+    written(tmp_path / "new", new)
+    states = [parsed(spark, tmp_path / name) for name in ("old", "new")]
+    scans = [vault.stored(scan(o, b, e, bad)) for _, o, b, e, bad in states]
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert {"SNIPPET_SOURCE_INVALID", "RELATION_PRIVATE_DEPENDENCY", "FACT_LOCATOR_MISMATCH", "AI_INPUT_SECTION_MISSING", "RELATION_SECTION_MISSING", "FRONTMATTER_INVALID"} <= {r.code for r in scans[1].collect()} - {r.code for r in scans[0].collect()}
+    for i, j in ((0, 1), (1, 0)):
+        (f, o, _, e, _), (g, now, b, links, bad) = states[i], states[j]
+        changed = catalog.changed_paths(g, f)
+        worse = bad.join(changed.select("path"), "path", "left_semi").select(bad.columns)
+        got = validate.rescan(scans[i], changed, o, e, now, b, links, projection.project_sections(b), [worse])
+        assert rows(got) == rows(scans[j].select(got.columns))
+
+
 def test_only_sound_projections_are_published(spark, small, tmp_path):
     f, objects, bodies, edges, bad = small
     out = f"{tmp_path}/p"
