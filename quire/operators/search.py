@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, fields
 from functools import reduce
 
@@ -26,6 +26,8 @@ K1, B = 1.2, 0.75
 DEFAULT_ROLES = ("source", "human", "fact", "snippet")
 #: Terms of all queries up to which they are broadcast to the postings.
 BROADCAST_TERMS = 200_000
+#: Blocks of postings that are searched first, as a multiple of the limit.
+FIRST_BLOCKS = 2
 #: Characters of all queries that are looked for in one pass over the lines, about.
 BROADCAST_CHARS = 1_000_000
 
@@ -106,22 +108,73 @@ def matches(index: dict[str, DataFrame], queries: DataFrame, fold_diacritics: bo
     sends its postings to every query that has it.  Of postings in buckets only those of the
     terms are read.  Query terms are broadcast while their number is small.  Scores are rounded to nine digits so that their sum's order is no matter.
     """
-    terms = query_terms(queries, fold_diacritics).persist(StorageLevel.DISK_ONLY)  # read at every step below
-    few = terms.count() <= BROADCAST_TERMS
-    small = F.broadcast if few else lambda df: df
-    known = small(terms.select("term").distinct()).join(index["term_stats"], "term")
-    by_rarity = Window.partitionBy("query_id").orderBy("df", "term")
-    terms = terms.join(known, "term").withColumns({"place": F.row_number().over(by_rarity), "present": F.count("*").over(Window.partitionBy("query_id"))}).where("present = n_terms")
+    terms, small = _known_terms(index, queries, fold_diacritics)
     postings = pruned(index["postings"], terms.select("term")).join(small(terms.select("term").distinct()), "term", "left_semi")
     rarest = postings.join(small(terms.where("place = 1").select("query_id", "term", "times", "df", "n_terms")), "term")
     others = terms.where("place > 1").select("query_id", "term", "times", "df")
     looked = rarest.where("n_terms > 1").select("query_id", "segment_id", "n_terms").join(small(others), "query_id").join(postings, ["term", "segment_id"])
     hits = rarest.unionByName(looked).join(index["segment_stats"], "segment_id").crossJoin(F.broadcast(index["corpus_stats"]))
+    return _scored(hits)
+
+
+def _known_terms(index: dict[str, DataFrame], queries: DataFrame, fold_diacritics: bool) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The terms of the queries whose terms all occur, with df and their place by rarity; and what marks tables of them as small, if they are."""
+    terms = query_terms(queries, fold_diacritics).persist(StorageLevel.DISK_ONLY)  # read at every step of a search
+    few = terms.count() <= BROADCAST_TERMS
+    small = F.broadcast if few else lambda df: df
+    known = small(terms.select("term").distinct()).join(index["term_stats"], "term")
+    by_rarity = Window.partitionBy("query_id").orderBy("df", "term")
+    return terms.join(known, "term").withColumns({"place": F.row_number().over(by_rarity), "present": F.count("*").over(Window.partitionBy("query_id"))}).where("present = n_terms"), small
+
+
+def _scored(hits: DataFrame) -> DataFrame:
+    """(query_id, segment_id, score) of the segments that have a hit for each term."""
     share = F.col("times") * bm25(F.col("tf"), F.col("df"), F.col("n_segments"), F.col("n_tokens"), F.col("avg_tokens"))
     scored = hits.groupBy("query_id", "segment_id", "n_terms").agg(F.count("*").alias("found"), F.round(F.sum(share), 9).alias("score"))
     return scored.where("found = n_terms").select("query_id", "segment_id", "score")
 
 
+def bounded_matches(index: dict[str, DataFrame], queries: DataFrame, accept: Callable[[DataFrame], DataFrame], limit: int, fold_diacritics: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The accepted matches among which each query's best ``limit`` are, and the blocks (query_id, block, bound, n) they come from.
+
+    ``index`` needs ``score_blocks``.  A query's blocks are those in which all its terms occur, and
+    the best score possible in one follows from its terms' highest tf and least length.  The blocks
+    with the best bounds are searched first; if they give ``limit`` matches that ``accept`` keeps,
+    blocks whose bound is worse than the last of these are left out, ties never.  Other queries
+    search all their blocks, so results are those of ``matches``.
+    """
+    terms, small = _known_terms(index, queries, fold_diacritics)
+    stats = F.broadcast(index["corpus_stats"])
+    blocks = pruned(index["score_blocks"], terms.select("term"))
+    best = F.col("times") * bm25(F.col("most"), F.col("df"), F.col("n_segments"), F.col("shortest"), F.col("avg_tokens"))
+    asked = terms.select("query_id", "term", "times", "df", "n_terms")
+    possible = blocks.drop("hits").join(small(asked), "term").crossJoin(stats).groupBy("query_id", "block", "n_terms").agg(F.count("*").alias("found"), F.sum(best).alias("bound"), F.sum("n").alias("n"))
+    possible = possible.where("found = n_terms").drop("found", "n_terms").persist(StorageLevel.DISK_ONLY)
+
+    def found(chosen: DataFrame) -> DataFrame:
+        wanted = chosen.select("query_id", "block").join(small(asked), "query_id")
+        hits = blocks.select("term", "block", "hits").join(wanted, ["term", "block"]).select("query_id", "times", "df", "n_terms", F.inline("hits")).crossJoin(stats)
+        return accept(_scored(hits))
+
+    by_bound, by_score = (Window.partitionBy("query_id").orderBy(*c) for c in (("bound", "block"), ("score",)))
+    first = possible.withColumn("nth", F.row_number().over(by_bound)).where(F.col("nth") <= FIRST_BLOCKS * limit)
+    last = found(first).withColumn("nth", F.row_number().over(by_score)).where(F.col("nth") <= limit).where(F.col("nth") == limit).select("query_id", F.col("score").alias("last"))
+    # scores are rounded to nine digits, bounds are not
+    chosen = possible.join(last, "query_id", "left").where(F.col("last").isNull() | (F.col("bound") <= F.col("last") + 1e-8)).drop("last")
+    return found(chosen), chosen
+
+
+def bounded_search(index: dict[str, DataFrame], queries: DataFrame, filters: SearchFilters = SearchFilters(), scope: str = "local", limit: int = 20, fold_diacritics: bool = True) -> DataFrame:
+    """The rows of ``search``, from an index that also holds ``score_blocks``: postings that can't be among a query's best are not scored."""
+    _check_search(filters, scope, limit)
+
+    def accept(hits: DataFrame) -> DataFrame:
+        rows = apply_search_filters(described(hits, index), filters)
+        return public_safe(rows, index) if scope == "public" else rows
+
+    return shown(with_text(ranked(bounded_matches(index, queries, accept, limit, fold_diacritics)[0], limit), index))
+
+
 def _order() -> list[Column]:
     return [F.col("score"), F.col("object_id"), F.when(F.col("section_id") == "__body__", "").otherwise(F.col("section_id")), F.col("ordinal"), F.col("segment_id")]
 
@@ -131,16 +184,20 @@ def ranked(hits: DataFrame, limit: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*_order()))).where(F.col("rank") <= limit)
 
 
+def _check_search(filters: SearchFilters, scope: str, limit: int) -> None:
+    if not 1 <= limit <= 200:
+        raise ValueError("SEARCH_QUERY_INVALID")
+    if scope == "public" and (filters.role == "ai" or filters.kind == "ai_artifact"):
+        raise ValueError("SEARCH_QUERY_INVALID: AI in public scope")
+
+
 def search(index: dict[str, DataFrame], queries: DataFrame, filters: SearchFilters = SearchFilters(), scope: str = "local", limit: int = 20, fold_diacritics: bool = True) -> DataFrame:
     """Ranked hits of a table of queries (query_id, query).
 
     ``index`` holds the projection's tables.  In ``public`` scope hits are audited before the
     limit, and asking for AI text is an error.
     """
-    if not 1 <= limit <= 200:
-        raise ValueError("SEARCH_QUERY_INVALID")
-    if scope == "public" and (filters.role == "ai" or filters.kind == "ai_artifact"):
-        raise ValueError("SEARCH_QUERY_INVALID: AI in public scope")
+    _check_search(filters, scope, limit)
     found = apply_search_filters(matched(index, queries, fold_diacritics), filters)
     if scope == "public":
         found = public_safe(found, index)
@@ -159,7 +216,12 @@ def invalid_queries(queries: DataFrame) -> DataFrame:
 
 def matched(index: dict[str, DataFrame], queries: DataFrame, fold_diacritics: bool = True) -> DataFrame:
     """Matches with the columns of their segment, but for its text, and object."""
-    return matches(index, queries, fold_diacritics).join(index["segments"].drop("text", "bucket"), "segment_id").join(index["objects"].withColumnRenamed("id", "object_id"), "object_id")
+    return described(matches(index, queries, fold_diacritics), index)
+
+
+def described(hits: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
+    """Hits with the columns of their segment, but for its text, and object."""
+    return hits.join(index["segments"].drop("text", "bucket"), "segment_id").join(index["objects"].withColumnRenamed("id", "object_id"), "object_id")
 
 
 def shown(hits: DataFrame) -> DataFrame:

@@ -154,6 +154,19 @@ def index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return read_projection(spark, _stored[key])
 
 
+def score_index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """``index`` with its postings in bounded blocks, which the session's first query over these data writes."""
+    from quire.operators.index import score_blocks
+
+    tables, base = index(spark, sf_dir), _stored[spark.sparkContext.applicationId, sf_dir]
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#scores")
+    if key not in _stored:
+        out = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
+        write_projection({"score_blocks": score_blocks(spark.read.parquet(f"{base}/fields"))}, out, 16)
+        _stored[key] = out
+    return tables | read_projection(spark, _stored[key])
+
+
 def grep_index(spark: SparkSession, sf_dir: str, files: DataFrame) -> dict[str, DataFrame]:
     """The trigram index of the files, which the session's first query over these data writes."""
     from quire.operators.search import grep_index as built

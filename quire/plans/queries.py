@@ -71,6 +71,13 @@ def search_batch(spark, d):
     return search.search(fx.index(spark, d), fx.queries_of(spark, d)).select("query_id", "rank", "segment_id", "object_id", "section_id", "role", "score")
 
 
+@query(f"""{", "}{HITS} SELECT query_id, CAST(rank AS INTEGER) AS rank, segment_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, object_id, section_id, ordinal) AS rank FROM full_hits WHERE record_status = 'active' AND role IN ('human', 'fact')) WHERE rank <= 5""")
+def search_bounded(spark, d):
+    """SE2, SE3, SO6: the best five by bounds of blocks of postings."""
+    return search.bounded_search(fx.score_index(spark, d), fx.queries_of(spark, d), limit=5).select("query_id", "rank", "segment_id", "score")
+
+
 @query(f"""{", "}{HITS} SELECT query_id, CAST(rank AS INTEGER) AS rank, segment_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, object_id, section_id, ordinal) AS rank FROM full_hits JOIN v_objects o ON o.id = object_id
     WHERE full_hits.record_status = 'active' AND role IN ('human', 'fact') AND o.maturity = 'mature' AND (o.tag1 = 'en' OR o.tag2 = 'en') AND full_hits.visibility = 'public') WHERE rank <= 200""")

@@ -218,7 +218,9 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 #: Tables that are hashed to buckets, and by which column.
-BUCKETED = {"segments": "segment_id", "postings": "term", "trigrams": "trigram", "line_blocks": "block_id"}
+BUCKETED = {"segments": "segment_id", "postings": "term", "trigrams": "trigram", "line_blocks": "block_id", "score_blocks": "term"}
+#: Bucketed tables with very frequent keys, by which other column a bucket is dealt to several tasks, and to how many.
+SPREAD = {"score_blocks": ("block", 8)}
 #: How a change takes rows out of a table: the list of keys that names them, and the table's column with that key.
 OUT_BY = {
     "objects": ("objects", "id"), "details": ("objects", "id"), "type_transitions": ("objects", "object_id"), "sections": ("objects", "object_id"), "segments": ("objects", "object_id"), "object_tags": ("objects", "object_id"),
@@ -248,7 +250,13 @@ def overlaid(name: str, parts: Sequence[DataFrame], gone: DataFrame) -> DataFram
 def _write(tables: dict[str, DataFrame], at: str, buckets: int) -> None:
     for name, df in tables.items():
         if name in BUCKETED:
-            df = df.withColumn("bucket", bucket_of(F.col(BUCKETED[name]), buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", BUCKETED[name])
+            df = df.withColumn("bucket", bucket_of(F.col(BUCKETED[name]), buckets))
+            if name in SPREAD:
+                by, ways = SPREAD[name]
+                df = df.repartition(buckets * ways, "bucket", bucket_of(F.col(by), ways))
+            else:
+                df = df.repartition(buckets, "bucket")
+            df = df.sortWithinPartitions("bucket", BUCKETED[name])
             df.write.partitionBy("bucket").parquet(f"{at}/{name}")
         else:
             df.write.parquet(f"{at}/{name}")

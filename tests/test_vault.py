@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators.index import build_postings
+from quire.operators.index import build_postings, score_blocks
 from quire.operators import bulk, catalog, joins, maintain, migrate, projection, search, validate
 from quire.sources import vault
 from quire.streaming import refresh
@@ -413,6 +413,35 @@ def test_grep_reads_only_blocks_with_the_rarest_trigrams(spark, tmp_path):
     assert search.grep_indexed(index, queries.limit(0)).isEmpty()
 
 
+def test_bounded_search_equals_search_and_scores_fewer_postings(spark, tmp_path):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(200)]
+    weights = [1 / (i + 1) for i in range(200)]
+    tokens = [rng.choices(words, weights, k=rng.choice([0, 3, 8, 20, 60, 150])) for _ in range(4000)]
+    tokens += [["w1", "w2", "tie"]] * 300  # equal scores beyond every limit
+    fields = spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(tokens)], "segment_id string, tokens array<string>")
+    rows = [(f"s{i}", f"o{i % 900}", "__body__" if i % 5 else "sec", i % 7, rng.choice(["human", "fact", "ai"]), " ".join(t)) for i, t in enumerate(tokens)]
+    objects = [(f"o{i}", "note", "idea", rng.choice(["public", "private"]), rng.choice(["active", "active", "archived"]), "inbox", "mature", None, ["en"]) for i in range(900)]
+    columns = "id string, kind string, subtype string, visibility string, record_status string, workflow_stage string, maturity string, review_status string, tags array<string>"
+    index = build_postings(fields) | {
+        "segments": spark.createDataFrame(rows, "segment_id string, object_id string, section_id string, ordinal int, role string, text string"), "objects": spark.createDataFrame(objects, columns),
+    }
+    held = {name: df.cache() for name, df in index.items()}
+    vault.write_projection({"score_blocks": score_blocks(fields, 4)}, f"{tmp_path}/s", 8)
+    blocks = vault.read_projection(spark, f"{tmp_path}/s")
+    asked = ["w0", "w1 w2", "w150", "w0 w1 w2 w3", "tie", "w2 tie w2", "nowhere", "w0 nowhere", "?!"] + [" ".join(rng.choices(words, weights, k=rng.randint(1, 4))) for _ in range(12)]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    for filters, limit in ((search.SearchFilters(), 5), (search.SearchFilters(visibility="public", role="ai"), 1), (search.SearchFilters(), 200)):
+        got, want = (sorted(map(str, f(held | blocks, queries, filters, limit=limit).select("query_id", "rank", "segment_id", "score").collect())) for f in (search.bounded_search, search.search))
+        assert got == want and len(want) > 15
+    one = spark.createDataFrame([(1, "w5")], "query_id int, query string")
+    _, chosen = search.bounded_matches(held | blocks, one, lambda hits: hits, 5)
+    _, every = search.bounded_matches(held | blocks, one, lambda hits: hits.limit(0), 5)
+    assert 0 < chosen.agg(F.sum("n")).first()[0] < 0.5 * every.agg(F.sum("n")).first()[0]
+    assert search.bounded_search(held | blocks, queries.limit(0)).isEmpty()
+    assert score_blocks(fields.limit(0)).isEmpty()
+
+
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
