@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quire.llm import chat, decontam, jaccard, packing, quality, tokencount, topk, toxicity, urlfilter, warc
+from quire.llm import chat, decontam, jaccard, packing, quality, queries, tokencount, topk, toxicity, urlfilter, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, length string, sequence_id int"
@@ -401,6 +401,18 @@ def test_url_rules_equal_brute_force(spark, monkeypatch):
     assert some == {f"h{i}.example.com": (f"h{i}.example.com/", "block" if i % 3 else "allow") for i in range(300)}
 
 
+def test_url_query_gives_each_rule_the_verdict_of_its_contract(spark, tmp_path):
+    want = {
+        "http://com/en/": ("com/en/", "block"), "http://www.example.com/en/6": ("com/en/", "block"), "http://a.example.com/en/70": ("example.com/en/7", "allow"),
+        "http://NET/de/": ("net/de/", "allow"), "http://example.net/de/7": ("net/de/", "allow"), "http://other.net/de/8": ("net/de/", "allow"),
+        "http://example.net/de/8": ("example.net/de/8", "block"), "http://a.example.net/de/80?q": ("example.net/de/8", "block"),
+        "http://a.org/es/x": ("org/es/", "block"), "http://a.net/en/": (None, "allow"), "http://a.org/de/": (None, "allow"), "": (None, "allow"),
+    }
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = queries.op8_urls(spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in rows] == list(want.values())
+
+
 def test_rules_with_both_verdicts_and_repeated_pages(spark):
     both = spark.createDataFrame([("com/en/", "allow", "com", "/en/"), ("com/en/", "block", "com", "/en/"), ("net/x", "allow", "net", "/x")], "key string, verdict string, host string, path string")
     df = spark.createDataFrame([(1, "http://com/en/a", "v"), (1, "http://com/en/a", "v"), (2, "http://net/x", "v")], "page_id long, url string, verdict string")
