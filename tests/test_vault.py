@@ -522,3 +522,43 @@ def test_stream_equals_batch(spark, tmp_path):
     refresh.stream_postings(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     got = refresh.current_stats(spark, f"{tmp_path}/out")
     assert sorted(map(tuple, got["term_stats"].collect())) == [("a", 1), ("b", 2)] and got["corpus_stats"].first().avg_tokens == 2.0
+
+
+def test_plain_relation_files_are_written_and_read_without_the_yaml_parser(spark, monkeypatch):
+    import yaml
+
+    assert vault.yaml_dumped({"b": ["ü", "x y"], "a": "yes"}) == yaml.safe_dump({"b": ["ü", "x y"], "a": "yes"}, allow_unicode=True, sort_keys=False)
+    for text in ("a:\tb", '"\\\'"', "[a?b]", "a: [", "a: 1\nb: {c: [d, 'e']}\n", "2024-01-01"):
+        results = []
+        for f in (vault.yaml_loaded, yaml.safe_load):
+            try:
+                results.append(f(text))
+            except yaml.YAMLError as error:
+                results.append(str(error))
+        assert results[0] == results[1], text
+    at, actor = "'2024-01-01T00:00:00Z'", "  actor:\n    id: me\n    type: human\n"
+    note, src = "note_" + "1".zfill(26), "src_" + "2".zfill(26)
+    paper = "  locator:\n    locator_version: 2\n    page: 3\n    source_type: paper\n"
+    oss = "  locator:\n    commit: c1\n    locator_version: 2\n    path: a/b.py\n    repository_host: git.example.org\n    repository_path: a/b\n    source_type: oss\n    symbol: f\n"
+    tail = f"  created_at: {at}\n{actor}"
+    plain = f"schema_version: 2\nfrom_id: {note}\nrelations:\n- to_id: {src}\n  relation_type: cites\n{paper}  reason: R\n{tail}- to_id: {src}\n  to_section_id: sec_mine\n  relation_type: derived_from\n{oss}{tail}"
+    edits = [
+        ("reason: R", "reason: yes"), ("reason: R", "reason: No"), ("reason: R", "reason: 'no'"), ("reason: R", "reason: two words"), ("reason: R", "reason: R # r"), ("reason: R", "reason: ~"), ("page: 3", "page: 0"), ("page: 3", "page: x"), ("page: 3", "pages: 3"),
+        ("2024-01-01T", "2024-02-30T"), (at, "2024-01-01T00:00:00Z"), ("type: human", "type: robot"), ("sec_mine", "sec_M"), ("cites", "likes"), (src, "src_1"), ("from_id: note", "from_id: x"), ("version: 2", "version: 1"), ("symbol: f\n", "symbol: f\n    start_line: 2\n"), ("    symbol: f\n", ""),
+        ("  reason: R\n", "  reason: R\n  reason: S\n"), ("\n- to", "\n\n- to"), (tail, f"{actor}  created_at: {at}\n"),
+    ]
+    texts = [plain, plain + "\n", plain.rstrip("\n"), *(plain.replace(a, b) for a, b in edits)]
+    rows = [(f"relations/{i}.yaml", "c", bytearray(t.encode())) for i, t in enumerate(texts)] + [("relations/a/b.yaml", "c", bytearray(plain.encode()))]
+    files_ = spark.createDataFrame(rows, "path string, checksum string, content binary")
+    results = []
+    for head in (vault._SHARD_HEAD, "never"):  # by expressions where they can, and by the parser alone
+        monkeypatch.setattr(vault, "_SHARD_HEAD", head if head != "never" else "never(x)")
+        results.append([sorted(map(str, df.collect())) for df in vault.parse_relation_shards(files_)])
+    assert results[0] == results[1] and len(results[0][1]) >= 12
+    monkeypatch.undo()
+    edges = vault.parse_relation_shards(files_.where("path in ('relations/0.yaml', 'relations/4.yaml', 'relations/5.yaml', 'relations/6.yaml')"))[0].withColumn("from_id", F.concat("from_id", F.regexp_extract("path", "[0-9]", 0)))
+    for r in vault.render_relation_shards(edges).collect():
+        assert r.content == yaml.safe_dump(yaml.safe_load(r.content), allow_unicode=True, sort_keys=False)
+    cut = []
+    vault.parse_relation_shards(files_, keep=lambda df: cut.append(df) or df)
+    assert [r.path for r in cut[0].where("cut is not null").collect()] == ["relations/0.yaml"]
