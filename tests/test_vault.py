@@ -562,3 +562,11 @@ def test_plain_relation_files_are_written_and_read_without_the_yaml_parser(spark
     cut = []
     vault.parse_relation_shards(files_, keep=lambda df: cut.append(df) or df)
     assert [r.path for r in cut[0].where("cut is not null").collect()] == ["relations/0.yaml"]
+
+
+def test_files_of_a_scan_are_parsed_once(spark):
+    from quire.plans import documents
+
+    for df in documents._parsed(spark, documents.files(spark, "/root/testdata/sf0.001")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInPandas" not in plan and "ArrowEvalPython" not in plan
