@@ -570,3 +570,13 @@ def test_files_of_a_scan_are_parsed_once(spark):
     for df in documents._parsed(spark, documents.files(spark, "/root/testdata/sf0.001")):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInPandas" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_trigrams_lie_in_lists_and_blocks_are_not_shuffled(spark, tmp_path):
+    f = spark.createDataFrame([(f"{i}.md", "\n".join(["same words"] * 70), "o") for i in range(50)], "path string, text string, object_id string").coalesce(1)
+    tables = search.grep_index(f)
+    assert "Exchange" not in tables["line_blocks"]._jdf.queryExecution().sparkPlan().toString()
+    vault.write_projection(tables, f"{tmp_path}/t", 1)
+    index = vault.read_projection(spark, f"{tmp_path}/t")
+    assert index["line_blocks"].count() == 150 and index["trigrams"].count() == index["trigram_stats"].count() == 8
+    assert {r.df for r in index["trigram_stats"].collect()} == {150}
