@@ -580,3 +580,13 @@ def test_trigrams_lie_in_lists_and_blocks_are_not_shuffled(spark, tmp_path):
     index = vault.read_projection(spark, f"{tmp_path}/t")
     assert index["line_blocks"].count() == 150 and index["trigrams"].count() == index["trigram_stats"].count() == 8
     assert {r.df for r in index["trigram_stats"].collect()} == {150}
+
+
+def test_a_public_audit_reads_its_hits_from_a_table(spark):
+    from quire.plans import fixtures as fx
+
+    index = fx.built_index(spark, "/root/testdata/sf0.001")
+    hits = index["segments"].select("segment_id", "object_id", "role").mapInPandas(lambda frames: frames, "segment_id string, object_id string, role string")
+    found = search.public_exclusion(hits, index)
+    assert "MapInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == hits.count()
