@@ -590,3 +590,11 @@ def test_a_public_audit_reads_its_hits_from_a_table(spark):
     found = search.public_exclusion(hits, index)
     assert "MapInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.count() == hits.count()
+
+
+def test_private_hits_leave_before_the_audit(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(search, "public_exclusion", lambda hits, tables: seen.append(hits) or hits.withColumn("public_code", F.lit(None).cast("string")))
+    rows = [("public", "active", "human"), ("private", "active", "human"), ("public", "archived", "fact"), ("public", "active", "ai"), (None, "active", "human")]
+    search.public_safe(spark.createDataFrame(rows, "visibility string, record_status string, role string"), {})
+    assert sorted(map(str, seen[0].collect())) == sorted(map(str, spark.createDataFrame([rows[0], rows[4]], seen[0].schema).collect()))
