@@ -598,3 +598,19 @@ def test_private_hits_leave_before_the_audit(spark, monkeypatch):
     rows = [("public", "active", "human"), ("private", "active", "human"), ("public", "archived", "fact"), ("public", "active", "ai"), (None, "active", "human")]
     search.public_safe(spark.createDataFrame(rows, "visibility string, record_status string, role string"), {})
     assert sorted(map(str, seen[0].collect())) == sorted(map(str, spark.createDataFrame([rows[0], rows[4]], seen[0].schema).collect()))
+
+
+def test_a_page_and_its_total_come_from_one_run(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            runs.add(len(frame))
+            yield frame
+
+    rows = spark.range(0, 120, 1, 6).mapInPandas(counted, "id long")
+    page, facts = catalog.paginate(rows, [F.desc("id")], 2)
+    assert [r.id for r in page.collect()] == list(range(69, 19, -1)) and facts == {"total": 120, "page": 2, "pages": 3, "has_previous": True, "has_next": True}
+    assert runs.value == 120
+    last, facts = catalog.paginate(rows.where("id < 0"), ["id"], 1)
+    assert last.isEmpty() and facts["total"] == 0 and facts["pages"] == 1
